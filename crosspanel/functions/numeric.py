@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,8 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 def safe_sqrt(x: Column) -> Column:
     return F.when(x >= 0, F.sqrt(x))
+
+
+def beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """``one`` plus the columns of the one-row ``other``, as scalar subqueries."""
+    return one.select("*", *[other.select(c).scalar().alias(c) for c in other.columns])

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.numeric import ratio, safe_corr
+from crosspanel.functions.numeric import beside, ratio, safe_corr
 from crosspanel.functions.tails import chi2_p, noise_benchmark, normal_cdf
 from crosspanel.session import stage
 
@@ -263,7 +263,7 @@ def positive_spectrum(series: DataFrame, n_dates: int) -> DataFrame:
         eig = np.linalg.eigvalsh((corr + corr.T) / 2)
         eig = eig[eig > 0]
         return pd.DataFrame({"s1": [eig.sum()], "s2": [(eig * eig).sum()]})
-    return series.groupBy(F.lit(1)).applyInPandas(run, "s1 double, s2 double")
+    return series.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "s1 double, s2 double")
 
 
 def effective_breadth(panel: DataFrame, value: str = "weekly_return", block: int = BLOCK) -> DataFrame:
@@ -287,7 +287,7 @@ def effective_breadth(panel: DataFrame, value: str = "weekly_return", block: int
                        (F.col("n_live") + 2 * F.col("cc")).alias("s2"))
     elif n_names <= EIGEN_LIMIT:
         sums = correlation_sums(series, n_dates, n_names, block)
-        out = sums.join(positive_spectrum(series, n_dates)).drop("cc")
+        out = beside(sums.drop("cc"), positive_spectrum(series, n_dates))
     else:
         raise ValueError(f"{n_names} entities with incomplete overlap exceed {EIGEN_LIMIT}; "
                          "use dates or entities without gaps, or mean_correlation alone")
@@ -309,7 +309,7 @@ def mean_correlation(panel: DataFrame, value: str = "weekly_return", block: int
 def fundamental_law(breadth: DataFrame, mean_ic: DataFrame, per_year: int = 52) -> DataFrame:
     """Implied and naive information ratio from effective and plain headcount."""
     ic = F.col("mean_rank_ic")
-    return breadth.join(mean_ic.select("mean_rank_ic")).select(
+    return beside(breadth, mean_ic.select("mean_rank_ic")).select(
         "mean_rank_ic", F.col("effective_bets").alias("effective_names"),
         (F.col("effective_bets") * per_year).alias("breadth"),
         (ic * F.sqrt(F.col("effective_bets") * per_year)).alias("implied_ir"),

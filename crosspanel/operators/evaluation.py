@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions.calendar import week_ending_friday
-from crosspanel.functions.numeric import ratio, safe_corr
+from crosspanel.functions.numeric import beside, ratio, safe_corr
 from crosspanel.functions.tails import student_p
 from crosspanel.operators.alignment import by_entity
 from crosspanel.operators.groups import fits, with_group_stats
@@ -21,14 +21,21 @@ def rank_ic(preds: DataFrame, pred: str, keys: list[str] | None = None,
     """(keys, date, n, ic): Spearman correlation per date over complete pairs.
 
     Dates with fewer than ``min_names`` pairs or without variance are absent.
+    Ranks average (n + 1) / 2, so plain sums of half-integers give the
+    covariance, and a correlation of zero comes out as exactly zero.
     """
     group = (keys or []) + [DATE]
     pairs = (preds.where(F.col(pred).isNotNull() & F.col(target).isNotNull())
              .select(*group, F.col(pred).cast("double").alias("_p"), F.col(target).alias("_y")))
     ranked = average_ranks(bounded_like(pairs, preds), group, ["_p", "_y"], pct=False)
-    return (ranked.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), safe_corr(F.col("_p_rank"), F.col("_y_rank")).alias("ic"))
-        .where((F.col("n") >= min_names) & F.col("ic").isNotNull()))
+    p, y = F.col("_p_rank"), F.col("_y_rank")
+    sums = ranked.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(p * y).alias("_py"), F.sum(p * p).alias("_pp"),
+        F.sum(y * y).alias("_yy"))
+    centre = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / F.lit(4.0)
+    ic = ratio(F.col("_py") - centre, F.sqrt((F.col("_pp") - centre) * (F.col("_yy") - centre)))
+    return (sums.where(F.col("n") >= min_names).select(*group, "n", ic.alias("ic"))
+            .where(F.col("ic").isNotNull()))
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
@@ -54,7 +61,7 @@ def hit_rate(preds: DataFrame, pred: str, target: str = "fwd_return") -> DataFra
 
 def summarise(preds: DataFrame, pred: str, label: str) -> DataFrame:
     """The model card: rank-correlation summary and hit rate, one row."""
-    return (ic_summary(rank_ic(preds, pred)).join(hit_rate(preds, pred))
+    return (beside(ic_summary(rank_ic(preds, pred)), hit_rate(preds, pred))
             .select(F.lit(label).alias("model"), "*"))
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosspanel.functions.numeric import beside
 from crosspanel.operators.evaluation import rank_ic
 from crosspanel.operators.features import FEATURE_TAGS, FEATURES, RANKS, TARGET, feature_tags
 from crosspanel.operators.folds import date_index, fold_dates, inner_folds, walk_forward
@@ -196,7 +197,7 @@ def nested_summary(coefs: DataFrame, n_inner: int = 3, grid_size: int = len(ENET
         F.count_if(alive).alias("nonzero_coefficients"),
         F.count_if(alive & F.col("category").startswith("external")).alias("external_retained"))
     fits = coefs.agg((F.count_distinct("fold") * (grid_size + boosting_grid) * n_inner).alias("total_fits"))
-    return kept.join(fits)
+    return beside(kept, fits)
 
 
 def external_features() -> list[str]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.numeric import ratio
+from crosspanel.functions.numeric import beside, ratio
 from crosspanel.operators.alignment import by_entity
 from crosspanel.operators.order_stats import group_quantiles
 
@@ -172,7 +172,7 @@ def series_totals(information: DataFrame) -> DataFrame:
         F.count_if("constant").alias("n_constant"))
     median = group_quantiles(information, [], ["distinct"], [0.5]).select(
         F.col("quantiles")[0].alias("median_distinct"))
-    return counts.join(median)
+    return beside(counts, median)
 
 
 def feature_coverage(features: DataFrame, columns: list[str]) -> DataFrame:

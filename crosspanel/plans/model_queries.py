@@ -106,8 +106,8 @@ def m01(spark, sf):
 
 
 @query("m02_model_rows", sql(f"""
-    select week_ending_friday, ticker, {r('fwd_return')}, {r('coalesce(pred_a, 0.5)', 'asvi_rank')},
-           {r('coalesce(pred_b, 0.5)', 'mom_12_1_rank')} from live"""))
+    select week_ending_friday, ticker, {r('fwd_return')}, {r('coalesce(asvi_rank, 0.5)', 'asvi_rank')},
+           {r('coalesce(mom_12_1_rank, 0.5)', 'mom_12_1_rank')} from rank_rows"""))
 def m02(spark, sf):
     return rounded(L.prepare(T.ranked_features(spark, sf), ["asvi_rank", "mom_12_1_rank"]))
 
@@ -115,7 +115,7 @@ def m02(spark, sf):
 @query("m03_date_moments", sql(f"""
     select week_ending_friday, count(*) as n, {r('sum(fwd_return)', 'sy')}, {r('sum(x)', 'sx')},
            {r('sum(x * fwd_return)', 'sxy')}, {r('sum(x * x)', 'sxx')}
-    from (select *, coalesce(pred_a, 0.5) as x from live) group by 1"""))
+    from (select *, coalesce(asvi_rank, 0.5) as x from rank_rows) group by 1"""))
 def m03_moments(spark, sf):
     out = L.date_moments(L.prepare(T.ranked_features(spark, sf), ["asvi_rank"]), ["asvi_rank"])
     return rounded(out.select("week_ending_friday", "n", "sy", *[F.col(c)[0].alias(c) for c in ("sx", "sxy", "sxx")]))
@@ -124,12 +124,12 @@ def m03_moments(spark, sf):
 @query("m03_enet_one_column", sql(f"""
     select week_ending_friday, ticker, t.fold, {r('fwd_return')},
            {r('my + sign(c) * greatest(abs(c) - 0.0005, 0) / (1 + 0.0005) * (x - mx) / sx', 'pred_enet')}
-    from (select fold, week_ending_friday, ticker, fwd_return, coalesce(pred_a, 0.5) as x
-          from live join dates using (week_ending_friday) join folds on d >= test_lo and d < test_hi) t
+    from (select fold, week_ending_friday, ticker, fwd_return, coalesce(asvi_rank, 0.5) as x
+          from rank_rows join dates using (week_ending_friday) join folds on d >= test_lo and d < test_hi) t
          join fits using (fold)""", **FOLD_SQL, fits="""
     select fold, avg(fwd_return) as my, avg(x) as mx, stddev_pop(x) as sx, covar_pop(x, fwd_return) / stddev_pop(x) as c
-    from (select fold, fwd_return, coalesce(pred_a, 0.5) as x
-          from live join dates using (week_ending_friday) join folds on d < train_n) group by 1 having count(*) >= 200"""))
+    from (select fold, fwd_return, coalesce(asvi_rank, 0.5) as x
+          from rank_rows join dates using (week_ending_friday) join folds on d < train_n) group by 1 having count(*) >= 200"""))
 def m03_one(spark, sf):
     preds, _ = L.walk_forward_enet(T.ranked_features(spark, sf), columns=["asvi_rank"], **FOLDS)
     return rounded(preds)
@@ -175,7 +175,7 @@ def m06(spark, sf):
            {r('quantile_cont(ic, 0.5)', 'median_rank_ic')}, {r('stddev_samp(ic)', 'std_rank_ic')},
            {r('avg(ic) / stddev_samp(ic)', 'ic_ir')}, {r('avg(ic) / stddev_samp(ic) * sqrt(count(ic))', 'ic_t_stat')},
            {r('100 * avg(case when ic > 0 then 1.0 else 0.0 end)', 'pct_weeks_positive_ic')},
-           (select {r('100 * avg(case when sign(round(p - mp, 12)) = sign(round(y - my, 12)) then 1.0 else 0.0 end)', 'h')} from tilts) as hit_rate_pct,
+           (select {r('100 * avg(case when sign(p - mp) = sign(y - my) then 1.0 else 0.0 end)', 'h')} from tilts) as hit_rate_pct,
            (select count(*) from ic_pairs) as n_predictions
     from ic""", tilts="""
     select pred_a as p, fwd_return as y, avg(pred_a) over d as mp, avg(fwd_return) over d as my
@@ -211,12 +211,15 @@ def m09_trials(spark, sf):
 
 
 SECTOR_SQL = {"sector_ics": """
-    select sector, week_ending_friday, case when var_samp(ra) > 0 and var_samp(ry) > 0 then corr(ra, ry) end as ic
+    select sector, week_ending_friday,
+           (sum(ra * ry) - count(*) * pow(count(*) + 1, 2) / 4.0)
+               / nullif(sqrt((sum(ra * ra) - count(*) * pow(count(*) + 1, 2) / 4.0)
+                             * (sum(ry * ry) - count(*) * pow(count(*) + 1, 2) / 4.0)), 0) as ic
     from (select sector, week_ending_friday,
                  rank() over (partition by sector, week_ending_friday order by pred_a)
-                     + (count(*) over (partition by sector, week_ending_friday, pred_a) - 1) / 2.0 as ra,
+                     + (count(*) over (partition by sector, week_ending_friday, pred_a) - 1) / 2.0::double as ra,
                  rank() over (partition by sector, week_ending_friday order by fwd_return)
-                     + (count(*) over (partition by sector, week_ending_friday, fwd_return) - 1) / 2.0 as ry
+                     + (count(*) over (partition by sector, week_ending_friday, fwd_return) - 1) / 2.0::double as ry
           from ic_pairs) group by 1, 2 having count(*) >= 5"""}
 
 

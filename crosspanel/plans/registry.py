@@ -93,20 +93,25 @@ CTES = {
         from features_raw where row_no >= 52""",
     "preds": """
         select week_ending_friday, ticker, sector, weekly_return, fwd_return,
-               {asvi} as pred_a, {mom_12_1} as pred_b
+               asvi as pred_a, mom_12_1 as pred_b
         from features""",
+    "rank_rows": """
+        select * from (select *, {asvi} as asvi_rank, {mom_12_1} as mom_12_1_rank from features)
+        where fwd_return is not null""",
     "live": """
         select * from preds where fwd_return is not null""",
     "ic_pairs": """
         select * from live where pred_a is not null""",
     "ic": """
         select week_ending_friday, count(*) as n,
-               case when var_samp(ra) > 0 and var_samp(ry) > 0 then corr(ra, ry) end as ic
+               (sum(ra * ry) - count(*) * pow(count(*) + 1, 2) / 4.0)
+                   / nullif(sqrt((sum(ra * ra) - count(*) * pow(count(*) + 1, 2) / 4.0)
+                                 * (sum(ry * ry) - count(*) * pow(count(*) + 1, 2) / 4.0)), 0) as ic
         from (select week_ending_friday,
                      rank() over (partition by week_ending_friday order by pred_a)
-                         + (count(*) over (partition by week_ending_friday, pred_a) - 1) / 2.0 as ra,
+                         + (count(*) over (partition by week_ending_friday, pred_a) - 1) / 2.0::double as ra,
                      rank() over (partition by week_ending_friday order by fwd_return)
-                         + (count(*) over (partition by week_ending_friday, fwd_return) - 1) / 2.0 as ry
+                         + (count(*) over (partition by week_ending_friday, fwd_return) - 1) / 2.0::double as ry
               from ic_pairs)
         group by 1 having count(*) >= 5""",
     "names": """
@@ -165,7 +170,7 @@ def _pct(column: str, by: str = "week_ending_friday") -> str:
             f"/ count({column}) over (partition by {by}) end")
 
 
-for _name, _column in (("preds", "asvi"), ("preds", "mom_12_1"), ("ranked", "pred_b")):
+for _name, _column in (("rank_rows", "asvi"), ("rank_rows", "mom_12_1"), ("ranked", "pred_b")):
     CTES[_name] = CTES[_name].replace("{" + _column + "}", _pct(_column))
 
 

@@ -148,8 +148,8 @@ def ranked_features(spark: SparkSession, sf: str, entity: str = "nation") -> Dat
 
 
 def predictions(spark: SparkSession, sf: str, entity: str = "nation") -> DataFrame:
-    """Two signals with their forward returns; ranks stand in for model output."""
-    ranked = ranked_features(spark, sf, entity)
-    return bounded_like(ranked.where(F.col("fwd_return").isNotNull()).select(
+    """Two raw features with their forward returns stand in for model output."""
+    rows = features(spark, sf, entity)
+    return bounded_like(rows.where(F.col("fwd_return").isNotNull()).select(
         "week_ending_friday", "ticker", "sector", "weekly_return", "fwd_return",
-        F.col("asvi_rank").alias("pred_a"), F.col("mom_12_1_rank").alias("pred_b")), ranked)
+        F.col("asvi").alias("pred_a"), F.col("mom_12_1").alias("pred_b")), rows)

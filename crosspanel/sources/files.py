@@ -36,8 +36,9 @@ def scan_entity_csv(spark: SparkSession, path: str, fields: list[str]) -> DataFr
         F.array(*[F.col(f"_c{i}") for i in range(_MAX_FIELDS)]).alias("cells"))
     wanted = [f.lower() for f in fields]
     names = F.transform("cells", lambda c: F.lower(F.trim(c)))
-    is_header = F.array_contains(F.col("names"), "date") & ~F.coalesce(
-        F.element_at("cells", 1).try_cast("date").isNotNull(), F.lit(False))
+    # array_contains is null, not false, where the padding nulls hide the answer.
+    is_header = (F.coalesce(F.array_contains(F.col("names"), "date"), F.lit(False))
+                 & F.element_at("cells", 1).try_cast("date").isNull())
     tagged = lines.withColumn("names", names).withColumn("is_header", is_header)
     headers = (tagged.where("is_header and block = 0").groupBy("file")
                .agg(F.first("names").alias("header"))

@@ -44,6 +44,15 @@ def rows_of(columns, rows):
                   key=lambda t: tuple((v is None, str(type(v)), v if v is not None else 0) for v in t))
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "boolean": "BOOLEAN"}
+
+
+def type_gaps(df, con, oracle: str) -> list[str]:
+    theirs = {r[0]: r[1] for r in con.execute(f"describe {oracle}").fetchall()}
+    return [f"{c} {t} vs {theirs.get(c)}" for c, t in df.dtypes if SQL_TYPES.get(t) != theirs.get(c)]
+
+
 def compare(spark, con, name: str, fn, oracle: str | None, sf: str) -> tuple[bool, str]:
     df = fn(spark, sf)
     ours = rows_of(df.columns, df.collect())
@@ -58,6 +67,9 @@ def compare(spark, con, name: str, fn, oracle: str | None, sf: str) -> tuple[boo
         return False, f"{len(ours)} rows vs {len(theirs)}"
     if not ours:
         return False, "no rows on either side"
+    gaps = type_gaps(df, con, oracle)
+    if gaps:
+        return False, f"types differ: {gaps}"
     bad = [(a, b) for a, b in zip(ours, theirs)
            if any(x != y or _kind(x) != _kind(y) for x, y in zip(a, b))]
     if bad:
