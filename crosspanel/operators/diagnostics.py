@@ -107,7 +107,7 @@ def residual_report(preds: DataFrame, pred: str) -> DataFrame:
         F.max(F.when(F.col("lag") == k, F.col(c))).alias(f"ljung_box_{k}_{c}")
         for k in LJUNG_BOX_LAGS for c in ("stat", "p_value")])
     jb = jarque_bera(series).withColumnsRenamed({"stat": "jarque_bera", "p_value": "jarque_bera_p"})
-    bp = breusch_pagan_p(breusch_pagan(preds, pred)).withColumnsRenamed(
+    bp = breusch_pagan_p(stage(breusch_pagan(preds, pred), "breusch-pagan")).withColumnsRenamed(
         {"stat": "breusch_pagan", "p_value": "breusch_pagan_p"})
     out = durbin_watson(series)
     for part in (lag1_autocorrelation(series), lb, jb, bp):

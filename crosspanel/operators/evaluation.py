@@ -17,17 +17,22 @@ DATE = "week_ending_friday"
 
 
 def rank_ic(preds: DataFrame, pred: str, keys: list[str] | None = None,
-            target: str = "fwd_return", min_names: int = 5) -> DataFrame:
+            target: str = "fwd_return", min_names: int = 5,
+            target_rank: str | None = None, small: bool | None = None) -> DataFrame:
     """(keys, date, n, ic): Spearman correlation per date over complete pairs.
 
     Dates with fewer than ``min_names`` pairs or without variance are absent.
     Ranks average (n + 1) / 2, so plain sums of half-integers give the
-    covariance, and a correlation of zero comes out as exactly zero.
+    covariance, and a correlation of zero comes out as exactly zero. A caller
+    that knows the target's rank within each group, or that groups fit a task,
+    passes it on.
     """
     group = (keys or []) + [DATE]
+    y_rank = [F.col(target_rank).alias("_y_rank")] if target_rank else []
     pairs = (preds.where(F.col(pred).isNotNull() & F.col(target).isNotNull())
-             .select(*group, F.col(pred).cast("double").alias("_p"), F.col(target).alias("_y")))
-    ranked = average_ranks(bounded_like(pairs, preds), group, ["_p", "_y"], pct=False)
+             .select(*group, F.col(pred).cast("double").alias("_p"), F.col(target).alias("_y"), *y_rank))
+    small = fits(bounded_like(pairs, preds), group) if small is None else small
+    ranked = average_ranks(pairs, group, ["_p"] if y_rank else ["_p", "_y"], pct=False, small=small)
     p, y = F.col("_p_rank"), F.col("_y_rank")
     sums = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(p * y).alias("_py"), F.sum(p * p).alias("_pp"),

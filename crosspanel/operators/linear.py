@@ -16,7 +16,9 @@ from crosspanel.functions.numeric import beside
 from crosspanel.operators.evaluation import rank_ic
 from crosspanel.operators.features import FEATURE_TAGS, FEATURES, RANKS, TARGET, feature_tags
 from crosspanel.operators.folds import date_index, fold_dates, inner_folds, walk_forward
-from crosspanel.session import stage
+from crosspanel.operators.groups import fits
+from crosspanel.operators.order_stats import average_ranks
+from crosspanel.session import bounded_like, stage
 
 # The default fit and the search grid.
 DEFAULT_CONFIG = [(0, 1e-3, 0.5)]
@@ -30,8 +32,8 @@ def prepare(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows with a target; missing ranks take the neutral 0.5."""
     columns = columns or RANKS
     filled = [F.coalesce(F.col(c), F.lit(0.5)).alias(c) for c in columns]
-    return features.where(F.col(TARGET).isNotNull()).select(
-        "week_ending_friday", "ticker", TARGET, *filled)
+    return bounded_like(features.where(F.col(TARGET).isNotNull()).select(
+        "week_ending_friday", "ticker", TARGET, *filled), features)
 
 
 def _pairs(n: int) -> list[tuple[int, int]]:
@@ -116,7 +118,8 @@ def fit(train: DataFrame, k: int, grid: list[tuple[int, float, float]] | None =
             yield pd.DataFrame(out, columns=keys + [
                 "config", "alpha", "l1_ratio", "n", "coef", "slope", "const"])
 
-    return train.mapInPandas(solve, schema)
+    # A handful of rows, each with many solves: spread them over the cores.
+    return train.repartition(train.sparkSession.sparkContext.defaultParallelism).mapInPandas(solve, schema)
 
 
 def linear_prediction(columns: list[str]) -> Column:
@@ -164,8 +167,7 @@ def nested_enet(features: DataFrame, n_folds: int = 6, n_inner: int = 3, min_tra
     inner = inner_folds(outer, n_inner, purge, embargo)
 
     trials = fit(train_moments(moments, inner, dates, k), k, grid)
-    tried = stage(predict(rows, trials, inner, dates, columns, "pred"), "inner-predictions")
-    ic = rank_ic(tried, "pred", keys=["fold", "inner", "config"])
+    ic = _inner_scores(rows, trials, inner, dates, columns)
     scores = (ic.groupBy("fold", "inner", "config").agg(F.avg("ic").alias("ic"))
               .groupBy("fold", "config").agg(F.avg("ic").alias("score")))
     best = scores.groupBy("fold").agg(
@@ -179,6 +181,31 @@ def nested_enet(features: DataFrame, n_folds: int = 6, n_inner: int = 3, min_tra
     return predict(rows, chosen, outer, dates, columns), chosen
 
 
+def _inner_scores(rows: DataFrame, trials: DataFrame, inner: DataFrame, dates: DataFrame,
+                  columns: list[str]) -> DataFrame:
+    """Rank correlation of every (fold, inner, config, date).
+
+    The target's rank depends on the date alone and is taken once. Rows are
+    shuffled by (fold, inner, date) before they multiply by the grid, so the
+    ranking of each grid point needs no further shuffle. The models are a row
+    per fold and grid point, which bounds what is broadcast.
+    """
+    small = fits(rows, ["week_ending_friday"])
+    ranked = average_ranks(rows, ["week_ending_friday"], [TARGET], pct=False, small=small)
+    models = trials.groupBy("fold", "inner").agg(
+        F.collect_list(F.struct("config", "slope", "const")).alias("_models"))
+    tried = (ranked.join(F.broadcast(fold_dates(inner, dates, "test")), "week_ending_friday")
+             .repartition("fold", "inner", "week_ending_friday")
+             .join(F.broadcast(models), ["fold", "inner"])
+             .select("fold", "inner", "week_ending_friday", TARGET, TARGET + "_rank", *columns,
+                     F.inline("_models"))
+             .select("fold", "inner", "config", "week_ending_friday", TARGET, TARGET + "_rank",
+                     linear_prediction(columns).alias("pred")))
+    if not small:
+        tried = stage(tried, "inner-predictions")
+    return rank_ic(tried, "pred", ["fold", "inner", "config"], target_rank=TARGET + "_rank", small=small)
+
+
 def coefficient_table(coefs: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Mean standardized coefficient per feature over the folds."""
     tags = feature_tags(coefs.sparkSession)

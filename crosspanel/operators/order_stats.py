@@ -82,16 +82,18 @@ def _window_rank(keys: list[str], column: str, pct: bool) -> Column:
 
 def average_ranks(df: DataFrame, keys: list[str], columns: list[str],
                   ids: list[str] | None = None, suffix: str = "_rank",
-                  pct: bool = True, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                  pct: bool = True, rows_per_task: int = ROWS_PER_TASK,
+                  small: bool | None = None) -> DataFrame:
     """Ranks with ties averaged, per group, as ``{column}{suffix}``.
 
     With ``pct`` the rank is divided by the group's non-null count, giving
     (0, 1]; nulls, and rows with a null key, stay null. ``ids`` identify a row
     and are needed to rank more than two columns of large groups, which then
-    happens in long form so that the wide table is shuffled once. ``df`` is
-    counted first and read several times: stage it when it is costly.
+    happens in long form so that the wide table is shuffled once. Unless
+    ``small`` tells whether groups fit a task, ``df`` is counted first; large
+    groups read it several times. Stage it when it is costly.
     """
-    if fits(df, keys, rows_per_task):
+    if fits(df, keys, rows_per_task) if small is None else small:
         ranked = df.withColumns({c + suffix: _window_rank(keys, c, pct) for c in columns})
         return bounded_like(ranked, df)
     return _bucketed_ranks(df, keys, columns, ids, suffix, pct)

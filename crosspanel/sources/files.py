@@ -12,28 +12,35 @@ NOT_SERIES = ["provenance", "cross_sectional_summary", "manifest"]
 _MAX_FIELDS = 16
 
 
-def scan_entity_csv(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def scan_entity_csv(spark: SparkSession, path: str, fields: list[str],
+                    layout: list[str] | None = None) -> DataFrame:
     """Rows of one-CSV-per-entity files, the entity taken from the file name.
 
     A ``ticker=`` folder, as the per-entity sink writes, names the entity too.
-
     Columns are matched by each file's own header, so order may differ between
-    files; files whose header lacks a wanted field are left out. Fields come
-    back as text together with ``block`` and ``position`` (byte offset of the
-    split, order inside it), ``file`` and ``modified``.
+    files; files whose header lacks a wanted field are left out. Finding the
+    headers reads the files once more: where all files are known to share one
+    column order, pass it as ``layout`` and a single scan does.
+
+    Fields come back as text together with ``block`` and ``position`` (byte
+    offset of the split, order inside it), ``file`` and ``modified``.
     """
-    raw = (spark.read.schema(", ".join(f"_c{i} string" for i in range(_MAX_FIELDS)))
-           .option("header", False).option("pathGlobFilter", "*.csv")
-           .option("recursiveFileLookup", True).csv(path))
+    if layout:
+        source = spark.read.schema(", ".join(f"`{c}` string" for c in layout)).option("header", True)
+    else:
+        source = spark.read.schema(", ".join(f"_c{i} string" for i in range(_MAX_FIELDS)))
+    raw = source.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(path)
     folder = F.regexp_extract("_metadata.file_path", r"/ticker=([^/]+)/", 1)
     stem = F.regexp_extract("_metadata.file_name", r"(.+)\.csv$", 1)
-    lines = raw.select(
+    origin = [
         F.when(folder != "", F.url_decode(folder)).otherwise(stem).alias("ticker"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").alias("modified"),
-        F.monotonically_increasing_id().alias("position"),
-        F.array(*[F.col(f"_c{i}") for i in range(_MAX_FIELDS)]).alias("cells"))
+        F.monotonically_increasing_id().alias("position")]
+    if layout:
+        return raw.select(*origin, *[F.col(f"`{f}`") for f in fields])
+    lines = raw.select(*origin, F.array(*[F.col(f"_c{i}") for i in range(_MAX_FIELDS)]).alias("cells"))
     wanted = [f.lower() for f in fields]
     names = F.transform("cells", lambda c: F.lower(F.trim(c)))
     # array_contains is null, not false, where the padding nulls hide the answer.
@@ -51,9 +58,9 @@ def scan_entity_csv(spark: SparkSession, path: str, fields: list[str]) -> DataFr
 
 
 def read_prices(spark: SparkSession, path: str, fields: tuple[str, ...] = (
-        "Date", "Close", "Adj Close", "Volume")) -> DataFrame:
+        "Date", "Close", "Adj Close", "Volume"), layout: list[str] | None = None) -> DataFrame:
     """Daily prices: (ticker, date, close, adj_close, volume) as far as asked for."""
-    rows = scan_entity_csv(spark, path, list(fields)).where(~F.col("ticker").isin(NOT_SERIES))
+    rows = scan_entity_csv(spark, path, list(fields), layout).where(~F.col("ticker").isin(NOT_SERIES))
     out = ["ticker"]
     for f in fields:
         name = f.lower().replace(" ", "_")
@@ -63,9 +70,9 @@ def read_prices(spark: SparkSession, path: str, fields: tuple[str, ...] = (
     return rows.select(*out)
 
 
-def read_interest(spark: SparkSession, path: str) -> DataFrame:
+def read_interest(spark: SparkSession, path: str, layout: list[str] | None = None) -> DataFrame:
     """Weekly search interest: (ticker, date, search_interest, modified)."""
-    rows = scan_entity_csv(spark, path, ["date", "search_interest"])
+    rows = scan_entity_csv(spark, path, ["date", "search_interest"], layout)
     keep = ~F.col("ticker").isin(NOT_SERIES) & ~F.col("ticker").startswith("_")
     return rows.where(keep).select(
         "ticker", F.col("date").try_cast("date").alias("date"),
