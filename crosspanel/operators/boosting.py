@@ -91,7 +91,7 @@ def nested_gbt(features: DataFrame, n_folds: int = 6, n_inner: int = 3, min_trai
         scores = (rank_ic(all_tried, "pred_gbt", ["fold", "inner", "config"])
                   .groupBy("fold", "inner", "config").agg(F.avg("ic").alias("ic"))
                   .groupBy("fold", "config").agg(F.avg("ic").alias("score"))
-                  .groupBy("fold").agg(F.min(F.struct((-F.col("score")).alias("loss"), "config")).alias("b")))
+                  .groupBy("fold").agg(F.min(F.struct((-F.round("score", 12)).alias("loss"), "config")).alias("b")))
         best = {r["fold"]: r["b"]["config"] for r in scores.collect()}   # a row per fold
     parts, chosen = [], []
     for key, train, test in _spans(rows, dates, outer):

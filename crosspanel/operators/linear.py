@@ -170,8 +170,10 @@ def nested_enet(features: DataFrame, n_folds: int = 6, n_inner: int = 3, min_tra
     ic = _inner_scores(rows, trials, inner, dates, columns)
     scores = (ic.groupBy("fold", "inner", "config").agg(F.avg("ic").alias("ic"))
               .groupBy("fold", "config").agg(F.avg("ic").alias("score")))
+    # Neighbouring penalties often rank alike; rounding keeps such ties ties,
+    # whatever order their dates were averaged in.
     best = scores.groupBy("fold").agg(
-        F.min(F.struct((-F.col("score")).alias("loss"), "config")).alias("b")
+        F.min(F.struct((-F.round("score", 12)).alias("loss"), "config")).alias("b")
     ).select("fold", F.col("b.config").alias("_best"))
 
     refits = fit(train_moments(moments, outer, dates, k), k, grid)

@@ -199,7 +199,10 @@ def costs(moves: DataFrame, adv: DataFrame, vol: DataFrame, aum: float = 10e6,
     """(book, date, turnover, cost): linear cost plus square-root impact.
 
     An entity without volume or volatility takes the median over all entities.
+    The two entity tables are read for the join and for the median: staged.
     """
+    adv, vol = stage(adv, "adv"), stage(vol, "vol")
+
     def median(df: DataFrame, c: str) -> Column:
         return group_quantiles(df, [], [c], [0.5]).select(F.col("quantiles")[0].alias("m")).scalar()
     size = F.abs("dw")

@@ -150,12 +150,35 @@ def p13(spark, sf):
     return rounded(V.smooth_signal(T.predictions(spark, sf), "pred_a", 4).select(*KEY, "pred_a"))
 
 
-@query("p14_weight_blend")
+def _held_sql(mix: str) -> dict[str, str]:
+    """Holdings date by date: mix target and yesterday, demean, rescale."""
+    return {
+        "targets": "select d, w.week_ending_friday, ticker, fwd_return, weight from weights w "
+                   "join book_dates b using (week_ending_friday)",
+        "held": f"""
+        select d, ticker, weight from targets where d = 1
+        union all
+        select d, ticker, c / sum(abs(c)) over () * 2.0
+        from (select d, ticker, m - avg(m) over () as c
+              from (select t.d, t.ticker, {mix} as m
+                    from targets t left join held h on h.ticker = t.ticker
+                    where t.d = (select max(d) + 1 from held)))"""}
+
+
+def _held_out(book: str) -> str:
+    return f"""
+    select '{book}' as book, t.week_ending_friday, ticker, {r('t.fwd_return', 'fwd_return')}, {r('h.weight', 'weight')}
+    from targets t join held h using (d, ticker)"""
+
+
+@query("p14_weight_blend", sql(_held_out("pred_b:weight_blend"), **_held_sql(
+    "0.4::double * t.weight + 0.6::double * coalesce(h.weight, 0)")))
 def p14(spark, sf):
     return rounded(V.build_variant(T.predictions(spark, sf), "pred_b", "weight_blend"))
 
 
-@query("p15_no_trade_band")
+@query("p15_no_trade_band", sql(_held_out("pred_b:no_trade_band"), **_held_sql(
+    "case when abs(t.weight - coalesce(h.weight, 0)) > 0.004::double then t.weight else coalesce(h.weight, 0) end")))
 def p15(spark, sf):
     return rounded(V.build_variant(T.predictions(spark, sf), "pred_b", "no_trade_band"))
 

@@ -153,14 +153,63 @@ def m05(spark, sf):
     return rounded(preds)
 
 
-@query("m05_inner_folds", sql("""
+INNER_SQL = """
     select fold, cast(row_number() over (partition by fold order by k) as integer) as inner, train_end - 1 as train_n,
            train_end + 1 as test_lo, least(train_end + 1 + size, n) as test_hi
     from (select fold, k, n, first + k * size as train_end, size
           from (select fold, train_n as n, greatest(52, train_n // 2) as first,
                        greatest(1, (train_n - greatest(52, train_n // 2)) // 3) as size from folds),
                (select unnest(range(3)) as k))
-    where train_end + 1 < n and train_end > 1 and least(train_end + 1 + size, n) > train_end + 1""", **FOLD_SQL))
+    where train_end + 1 < n and train_end > 1 and least(train_end + 1 + size, n) > train_end + 1"""
+
+# With one column the penalized slope has a closed form and every config with
+# a slope ranks alike up to its sign.
+NESTED_SQL = {
+    "inner_spans": INNER_SQL,
+    "x_rows": "select d, week_ending_friday, ticker, fwd_return, coalesce(asvi_rank, 0.5) as x "
+              "from rank_rows join dates using (week_ending_friday)",
+    "x_ranks": """
+    select d, rank() over (partition by d order by x) + (count(*) over (partition by d, x) - 1) / 2.0::double as a,
+           rank() over (partition by d order by fwd_return)
+               + (count(*) over (partition by d, fwd_return) - 1) / 2.0::double as b from x_rows""",
+    "x_ic": """
+    select d, (sum(a * b) - count(*) * pow(count(*) + 1, 2) / 4.0)
+              / nullif(sqrt((sum(a * a) - count(*) * pow(count(*) + 1, 2) / 4.0)
+                            * (sum(b * b) - count(*) * pow(count(*) + 1, 2) / 4.0)), 0) as ic
+    from x_ranks group by 1 having count(*) >= 5""",
+    "grid_points": "select * from (values " + ", ".join(f"({c}, {a}::double, {q}::double)" for c, a, q in L.ENET_GRID)
+                   + ") g(config, alpha, ratio)",
+    "inner_slopes": """
+    select fold, "inner", config, case when abs(c) > alpha * ratio then sign(c) else 0 end as side
+    from (select fold, "inner", covar_pop(x, fwd_return) / stddev_pop(x) as c
+          from x_rows join inner_spans on d < train_n group by 1, 2 having count(*) >= 200), grid_points""",
+    "inner_scores": """
+    select fold, config, round(avg(s), 12) as score
+    from (select s.fold, s."inner", s.config, avg(side * ic) as s
+          from inner_slopes s join inner_spans i on i.fold = s.fold and i."inner" = s."inner"
+               join x_ic on d >= test_lo and d < test_hi
+          where side <> 0 and ic is not null group by 1, 2, 3) group by 1, 2""",
+    "picked": "select fold, config from (select *, row_number() over (partition by fold order by score desc, config) as k "
+              "from inner_scores) where k = 1",
+    "outer_fits": """
+    select fold, avg(fwd_return) as my, avg(x) as mx, stddev_pop(x) as sx,
+           covar_pop(x, fwd_return) / stddev_pop(x) as c
+    from x_rows join folds on d < train_n group by 1 having count(*) >= 200""",
+    "outer_models": """
+    select f.fold, my, mx, sx, g.config, sign(c) * greatest(abs(c) - alpha * ratio, 0) / (1 + alpha * (1 - ratio)) as w
+    from outer_fits f left join picked p on p.fold = f.fold join grid_points g on g.config = coalesce(p.config, 0)""",
+}
+
+
+@query("m05_nested_one_column", sql(f"""
+    select week_ending_friday, ticker, {r('fwd_return')}, {r('my + w * (x - mx) / sx', 'pred_enet')}, fold, config
+    from x_rows join folds on d >= test_lo and d < test_hi join outer_models using (fold)""", **FOLD_SQL, **NESTED_SQL))
+def m05_one(spark, sf):
+    preds, _ = L.nested_enet(T.ranked_features(spark, sf), n_folds=8, columns=["asvi_rank"])
+    return rounded(preds)
+
+
+@query("m05_inner_folds", sql("select * from inner_spans", **FOLD_SQL, inner_spans=INNER_SQL))
 def m05_inner(spark, sf):
     return FO.inner_folds(FO.walk_forward(FO.date_index(T.predictions(spark, sf)), **FOLDS))
 

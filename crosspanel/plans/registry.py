@@ -179,6 +179,10 @@ def sql_pct(column: str, by: str = "week_ending_friday") -> str:
     return _pct(column, by)
 
 
+# Read once per date of a recursion, so computed once.
+MATERIALIZED = {"targets": " as materialized"}
+
+
 def sql(body: str, **extra: str) -> str:
     """``body`` with the common tables it reaches put in front."""
     tables = {**CTES, **extra}
@@ -192,8 +196,8 @@ def sql(body: str, **extra: str) -> str:
     reach(body)
     if not needed:
         return body
-    parts = [f"{n} as ({c})" for n, c in tables.items() if n in needed]
-    return "with " + ",\n".join(parts) + "\n" + body
+    parts = [f"{n}{MATERIALIZED.get(n, ' as')} ({c})" for n, c in tables.items() if n in needed]
+    return "with recursive " + ",\n".join(parts) + "\n" + body
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:

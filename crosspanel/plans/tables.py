@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosspanel.operators.alignment import (
@@ -82,9 +82,9 @@ def sunday(date: Column) -> Column:
 
 
 def _scaled_to_peak(counts: DataFrame) -> DataFrame:
-    peak = counts.groupBy("ticker").agg(F.max("n").alias("peak"))
-    return counts.join(peak, "ticker").select(
-        "ticker", "date", F.round(F.lit(100.0) * F.col("n") / F.col("peak")).alias("search_interest"))
+    """Each entity's series, a row per week, as whole percent of its own peak."""
+    peak = F.max("n").over(Window.partitionBy("ticker"))
+    return counts.select("ticker", "date", F.round(F.lit(100.0) * F.col("n") / peak).alias("search_interest"))
 
 
 def interest_weekly(spark: SparkSession, sf: str, entity: str = "nation",
