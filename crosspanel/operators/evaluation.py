@@ -10,7 +10,7 @@ from crosspanel.functions.numeric import beside, ratio, safe_corr
 from crosspanel.functions.tails import student_p
 from crosspanel.operators.alignment import by_entity
 from crosspanel.operators.groups import fits, with_group_stats
-from crosspanel.operators.order_stats import average_ranks, group_quantiles, tie_table
+from crosspanel.operators.order_stats import average_ranks, tie_table
 from crosspanel.session import bounded_like
 
 DATE = "week_ending_friday"
@@ -173,8 +173,3 @@ def strongest(scores: DataFrame, n: int = 8, value: str = "corr_svi_volume") ->
 
 def mean_by_group(scores: DataFrame, value: str = "corr_svi_volume") -> DataFrame:
     return scores.groupBy("sector").agg(F.avg(value).alias("mean_" + value))
-
-
-def median_of(df: DataFrame, value: str) -> DataFrame:
-    """One-row exact median of a column of any length."""
-    return group_quantiles(df, [], [value], [0.5]).select(F.col("quantiles")[0].alias("median"))

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions.numeric import beside
 from crosspanel.operators.evaluation import rank_ic
-from crosspanel.operators.features import FEATURE_TAGS, FEATURES, RANKS, TARGET, feature_tags
+from crosspanel.operators.features import RANKS, TARGET, feature_tags
 from crosspanel.operators.folds import date_index, fold_dates, inner_folds, walk_forward
 from crosspanel.operators.groups import fits
 from crosspanel.operators.order_stats import average_ranks
@@ -208,7 +208,7 @@ def _inner_scores(rows: DataFrame, trials: DataFrame, inner: DataFrame, dates: D
     return rank_ic(tried, "pred", ["fold", "inner", "config"], target_rank=TARGET + "_rank", small=small)
 
 
-def coefficient_table(coefs: DataFrame, features: list[str] | None = None) -> DataFrame:
+def coefficient_table(coefs: DataFrame) -> DataFrame:
     """Mean standardized coefficient per feature over the folds."""
     tags = feature_tags(coefs.sparkSession)
     mean = (coefs.select(F.posexplode("coef").alias("ordinal", "coef"))
@@ -227,11 +227,3 @@ def nested_summary(coefs: DataFrame, n_inner: int = 3, grid_size: int = len(ENET
         F.count_if(alive & F.col("category").startswith("external")).alias("external_retained"))
     fits = coefs.agg((F.count_distinct("fold") * (grid_size + boosting_grid) * n_inner).alias("total_fits"))
     return beside(kept, fits)
-
-
-def external_features() -> list[str]:
-    return [f for f in FEATURES if FEATURE_TAGS[f][0] == "external"]
-
-
-def grid_table(spark: SparkSession, grid: list | None = None) -> DataFrame:
-    return spark.createDataFrame(grid or ENET_GRID, "config int, alpha double, l1_ratio double")

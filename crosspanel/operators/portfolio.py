@@ -37,7 +37,7 @@ def ranked_names(df: DataFrame, pred: str, small: bool) -> DataFrame:
     """Rows with a prediction on dates with enough names, plus the percentile rank."""
     rows = bounded_like(df.where(F.col(pred).isNotNull()), df)
     group = ["book", DATE]
-    ranked = average_ranks(rows, group, [pred], suffix="_r", rows_per_task=ROWS_PER_TASK if small else 0)
+    ranked = average_ranks(rows, group, [pred], suffix="_r", small=small)
     return (with_group_stats(ranked, group, small, n_names=F.count(F.lit(1)))
             .where(F.col("n_names") >= MIN_NAMES).withColumnRenamed(pred + "_r", "r"))
 
