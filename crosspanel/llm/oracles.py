@@ -102,3 +102,69 @@ SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(part, words.
   coalesce(part, words.doc_id) = words.doc_id AS kept
 FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN parts ON node = words.doc_id
 """
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y
+  ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9),
+reach AS (
+  SELECT DISTINCT a AS node, a AS root FROM links
+  UNION
+  SELECT b, root FROM reach JOIN links ON a = node),
+parts AS (SELECT node, min(root) AS part FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(part, vec_id) AS component_id,
+  coalesce(part, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN parts ON node = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""
+
+
+def url_filters(rules: list[tuple[str, str, str]]) -> str:
+    """The verdicts for the rules; edges from canonical and refresh links and from equal keys."""
+    listed = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    rest = "substr({u}, position('://' IN {u}) + 3)"
+    host = f"CASE WHEN contains({{u}}, '://') THEN translate(regexp_extract({rest}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') ELSE '' END"
+    path = f"CASE WHEN contains({{u}}, '://') THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+    query = r"regexp_extract({u}, '^[^?#]*(\?[^#]*)', 1)"
+    plain = rf"regexp_replace(regexp_replace({query}, '([?&])(?:utm_[^&]*(?:&|$))+', '\1', 'g'), '[?&]+$', '')"
+    key = f"CASE WHEN {host} <> '' THEN {host} || {path} || {plain} END"
+    tag = r"(?i)<{t}\b[^>]*\b{a}\s*=\s*[\"'']?{v}\b[^>]*>"
+    link = lambda t, a, v, target: (
+        f"regexp_extract(regexp_extract(html, '{tag.format(t=t, a=a, v=v)}'), '(?i)\\b{target}\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)")
+    return rf"""
+WITH RECURSIVE own AS (
+  SELECT row_number() OVER () AS row_id, page_id, coalesce({host.format(u='url')}, '') AS host,
+    coalesce({path.format(u='url')}, '') AS path, {key.format(u='url')} AS key,
+    {link('link', 'rel', 'canonical', 'href')} AS canonical, {link('meta', 'http-equiv', 'refresh', 'url')} AS refresh
+  FROM pages),
+full_links AS (
+  SELECT key AS a, CASE WHEN contains(l, '://') THEN l WHEN l LIKE '//%' THEN ':' || l
+    WHEN l LIKE '/%' THEN '://' || host || l
+    ELSE '://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || l END AS l
+  FROM (SELECT key, host, path, unnest([canonical, refresh]) AS l FROM own) WHERE l <> ''),
+edges AS (
+  SELECT a, b FROM (SELECT a, {key.format(u='l')} AS b FROM full_links) WHERE a <> b),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (
+  SELECT DISTINCT a AS node, a AS root FROM both_ways
+  UNION
+  SELECT b, root FROM reach JOIN both_ways ON a = node),
+parts AS (SELECT node, min(root) AS part FROM reach GROUP BY node),
+rules(verdict, h, p) AS (VALUES {listed}),
+ruled AS (
+  SELECT row_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM own JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row_id),
+placed AS (
+  SELECT own.*, rule, verdict, coalesce(part, key) AS part
+  FROM own LEFT JOIN ruled USING (row_id) LEFT JOIN parts ON node = key),
+said AS (
+  SELECT part, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked
+  FROM placed WHERE part IS NOT NULL GROUP BY part)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM placed LEFT JOIN said USING (part)
+"""

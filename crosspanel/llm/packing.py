@@ -25,6 +25,7 @@ import heapq
 import os
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,50 +35,27 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crosspanel.llm.graph import staged
-from crosspanel.llm.text import byte_rows
+from crosspanel.llm.text import Remembered, byte_rows
 
 CAPACITY, END = 2048, 0
-_CACHE, _CACHED_BYTES, _BATCH_CHUNKS = 200_000, 64, 20_000
+_BATCH_CHUNKS = 20_000
 
 
-class _Encoder:
-    """Token ids of texts, with the ids of short space-separated chunks remembered.
+def _encoded(tokenizer: Tokenizer):
+    """Little-endian unsigned 32-bit ids of space-separated chunks.
 
     The tokenizer drops white space and never joins what white space parts, so a
-    text's ids are those of its chunks in a row. Two generations of chunks are
-    kept, so memory is bounded and frequent chunks stay.
+    text's ids are those of its chunks in a row.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
 
-    def __init__(self, tokenizer: Tokenizer):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
-        self.tokenizer = tokenizer
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+    def make(chunks: list[bytes]) -> list[bytes]:
         made = []
         for k in range(0, len(chunks), _BATCH_CHUNKS):
             some = [c.decode() for c in chunks[k:k + _BATCH_CHUNKS]]
-            made += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            made += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         return made
-
-    def ids(self, texts: list[bytes]):
-        """The ids of each text, as little-endian unsigned 32-bit."""
-        split = [t.split() for t in texts]
-        need, long = [], {}
-        for c in set().union(*split):
-            if c not in self.young:
-                if (known := self.old.get(c)) is not None:
-                    self.young[c] = known
-                else:
-                    need.append(c)
-        for c, made in zip(need, self._encode(need)):
-            (self.young if len(c) <= _CACHED_BYTES else long)[c] = made
-        find = self.young.__getitem__ if not long else lambda c: long[c] if c in long else self.young[c]
-        out = [b"".join(map(find, words)) for words in split]
-        if len(self.young) > _CACHE:
-            self.young, self.old = {}, self.young
-        return out
+    return Remembered(make)
 
 
 def _groups(texts, size: int = 1 << 20):
@@ -95,13 +73,15 @@ def _groups(texts, size: int = 1 << 20):
 
 def _cut(tokenizer: Tokenizer, capacity: int, end: int):
     def run(batches):
-        encoder, ranks, part = _Encoder(tokenizer), Counter(), TaskContext.get().partitionId()
+        encoded, ranks, part = _encoded(tokenizer), Counter(), TaskContext.get().partitionId()
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = {k: [] for k in ("row", "piece", "start", "length", "ids", "rank")}
             for some in _groups(byte_rows(batch.column(1))):
-                for (i, _), ids in zip(some, encoder.ids([t for _, t in some])):
-                    ids += last
+                split = [t.split() for _, t in some]
+                made = iter(encoded.of([c for words in split for c in words]))
+                for (i, _), words in zip(some, split):
+                    ids = b"".join([*islice(made, len(words)), last])
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         body = ids[at:at + 4 * capacity]
                         n = len(body) // 4

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import decontamination, near_dedup, oracles, packing, pii, quality
+from crosspanel.llm import (
+    decontamination, embeddings, kneser_ney, language, near_dedup, oracles, packing, pii, quality, token_counts, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@_query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary)
+
+
 @_query(oracles.PERSONAL_DATA)
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
@@ -54,11 +61,35 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.digest(F.col("spans")).alias("spans"))
 
 
+@_query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trees = language.train(docs.where(language.fold() != 2))
+    return language.identify(docs, trees).select(
+        "doc_id", F.coalesce(language.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @_query(oracles.NEAR_DUPLICATES)
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+#: (verdict, host, beginning of the path)
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@_query(oracles.url_filters(URL_RULES))
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query(oracles.NEAR_VECTORS)
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query()
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -67,3 +98,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(quality.fold() == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query()
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(kneser_ney.fold() != 0))
+    return kneser_ney.log_probabilities(docs, model).select(
+        "doc_id", F.coalesce(kneser_ney.fold() == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

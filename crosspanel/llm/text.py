@@ -113,3 +113,27 @@ def byte_rows(column: pa.Array) -> Iterator[bytes]:
     raw = data.tobytes()
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         yield raw[a:b]
+
+
+class Remembered:
+    """What ``make`` gives for short chunks, kept for two generations: bounded memory, frequent chunks stay."""
+
+    def __init__(self, make, most: int = 200_000, longest: int = 64):
+        self.make, self.most, self.longest = make, most, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, chunks: list) -> list:
+        need, extra = [], {}
+        for c in set(chunks):
+            if c not in self.young:
+                if c in self.old:
+                    self.young[c] = self.old[c]
+                else:
+                    need.append(c)
+        for c, made in zip(need, self.make(need) if need else ()):
+            (self.young if len(c) <= self.longest else extra)[c] = made
+        found = [extra[c] if c in extra else self.young[c] for c in chunks] if extra else [*map(self.young.__getitem__, chunks)]
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        return found
