@@ -29,10 +29,6 @@ def safe_corr(x: Column, y: Column) -> Column:
     return ratio(F.covar_samp(px, py), F.stddev_samp(px) * F.stddev_samp(py))
 
 
-def safe_sqrt(x: Column) -> Column:
-    return F.when(x >= 0, F.sqrt(x))
-
-
 def beside(one: DataFrame, other: DataFrame) -> DataFrame:
     """``one`` plus the columns of the one-row ``other``, as scalar subqueries."""
     return one.select("*", *[other.select(c).scalar().alias(c) for c in other.columns])

@@ -37,10 +37,10 @@ def winsorize(df: DataFrame, columns: list[str], date: str = "week_ending_friday
 
 
 def rank_standardize(df: DataFrame, columns: list[str], date: str = "week_ending_friday",
-                     ids: list[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per-date percentile rank with ties averaged, as ``{column}_rank``."""
     columns = [c for c in columns if c in df.columns]
-    return average_ranks(df, [date], columns, ids or [date, "ticker"], rows_per_task=rows_per_task)
+    return average_ranks(df, [date], columns, rows_per_task=rows_per_task)
 
 
 def neutralize(df: DataFrame, columns: list[str], group: str = "sector",

@@ -53,10 +53,7 @@ def ljung_box(series: DataFrame, lags: tuple[int, ...] = LJUNG_BOX_LAGS) -> Data
 
 
 def ljung_box_p(table: DataFrame) -> DataFrame:
-    p = F.lit(None).cast("double")
-    for k in LJUNG_BOX_LAGS:
-        p = F.when(F.col("lag") == k, chi2_p(F.col("stat"), k)).otherwise(p)
-    return table.withColumn("p_value", p)
+    return table.withColumn("p_value", chi2_p(F.col("stat"), F.col("lag")))
 
 
 def moments(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -85,7 +82,7 @@ def breusch_pagan(preds: DataFrame, pred: str) -> DataFrame:
 
 
 def breusch_pagan_p(table: DataFrame) -> DataFrame:
-    return table.withColumn("p_value", chi2_p(F.col("stat"), 1))
+    return table.withColumn("p_value", chi2_p(F.col("stat"), F.lit(1)))
 
 
 def lag1_autocorrelation(series: DataFrame) -> DataFrame:
@@ -145,10 +142,6 @@ def deflated_sharpe(book_returns: DataFrame, n_trials: int = 342, benchmark: flo
 
 # --- effective breadth --------------------------------------------------------
 
-BLOCK = 512            # entities per block of the pairwise correlation
-EIGEN_LIMIT = 4096     # largest correlation matrix one task may decompose
-
-
 def entity_series(panel: DataFrame, value: str = "weekly_return") -> DataFrame:
     """(ticker, days, values, n): one bounded array pair per entity."""
     dates = (panel.select(DATE).distinct()
@@ -166,63 +159,14 @@ def _matrix(pdf: pd.DataFrame, t: int) -> np.ndarray:
     return x
 
 
-def pairwise_correlation(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Correlations over the dates two rows share, undefined ones zero; and overlaps."""
-    ma, mb = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
-    # Shift each row by its mean so that sums of squares keep their precision.
-    za = np.where(ma > 0, a - np.nanmean(a, axis=1, keepdims=True), 0.0)
-    zb = np.where(mb > 0, b - np.nanmean(b, axis=1, keepdims=True), 0.0)
-    n = ma @ mb.T
-    safe = np.where(n > 0, n, 1.0)
-    sa, sb = za @ mb.T, ma @ zb.T
-    va = (za * za) @ mb.T - sa * sa / safe
-    vb = ma @ (zb * zb).T - sb * sb / safe
-    cov = za @ zb.T - sa * sb / safe
-    scale = np.sqrt(np.clip(va, 0, None) * np.clip(vb, 0, None))
-    tiny = 1e-14 * np.sqrt(np.outer((za * za).sum(1), (zb * zb).sum(1)) + 1e-300)
-    ok = (n > 1) & (scale > tiny)
-    return np.where(ok, np.clip(cov / np.where(ok, scale, 1.0), -1.0, 1.0), 0.0), n
-
-
-def correlation_sums(series: DataFrame, n_dates: int, n_names: int, block: int = BLOCK) -> DataFrame:
-    """One row: pairs, incomplete pairs, and the sums of c and c squared over pairs.
-
-    Entities hash into blocks; a task holds two blocks, multiplies their
-    matrices and returns sums, so pairs themselves are never emitted. Work is
-    quadratic in entities because every pair has its own set of shared dates.
-    """
-    blocks = max(1, -(-n_names // block))
-    mine = F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")
-    copies = (series.withColumn("_b", mine)
-              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-              .withColumn("_lo", F.least("_b", "_o")).withColumn("_hi", F.greatest("_b", "_o")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-        left = pdf[pdf["_b"] == lo]
-        right = pdf[pdf["_b"] == hi]
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"pairs": [0], "incomplete": [0], "c": [0.0], "cc": [0.0]})
-        a, b = _matrix(left, n_dates), _matrix(right, n_dates)
-        corr, n = pairwise_correlation(a, b)
-        na, nb = np.isfinite(a).sum(1), np.isfinite(b).sum(1)
-        partial = (n < na[:, None]) | (n < nb[None, :])
-        pick = np.triu(np.ones_like(corr, dtype=bool), 1) if lo == hi else np.ones_like(corr, dtype=bool)
-        c = corr[pick]
-        return pd.DataFrame({"pairs": [int(pick.sum())], "incomplete": [int(partial[pick].sum())],
-                             "c": [float(c.sum())], "cc": [float((c * c).sum())]})
-    parts = copies.groupBy("_lo", "_hi").applyInPandas(run, "pairs long, incomplete long, c double, cc double")
-    return parts.agg(F.sum("pairs").alias("n_pairs"), F.sum("incomplete").alias("n_incomplete"),
-                     F.sum("c").alias("c"), F.sum("cc").alias("cc"))
-
-
 def gram_sums(series: DataFrame, n_dates: int) -> DataFrame:
-    """The same sums when every entity has every date, linear in entities.
+    """One row: entities that vary, squared norms of the Gram matrix and of the rows' sum.
 
-    The squared entries of the entity correlation matrix sum to those of the
-    dates' Gram matrix of standardized rows, and its entries to the squared
-    norm of the rows' sum. Each partition adds its rows into one matrix as
-    large as the calendar squared.
+    Every entity is standardized over its own dates, with zeros in its gaps.
+    The squared entries of the entity correlation matrix then sum to those of
+    the dates' Gram matrix, and its entries to the squared norm of the rows'
+    sum. Each partition adds its rows into one matrix as large as the calendar
+    squared, so the work is linear in entities.
     """
     t = n_dates
 
@@ -230,9 +174,10 @@ def gram_sums(series: DataFrame, n_dates: int) -> DataFrame:
         gram, total, live = np.zeros((t, t)), np.zeros(t), 0
         for pdf in batches:
             x = _matrix(pdf, t)
-            z = x - x.mean(axis=1, keepdims=True)
+            there = np.isfinite(x)
+            z = np.where(there, x - np.nanmean(x, axis=1, keepdims=True), 0.0)
             size = np.sqrt((z * z).sum(axis=1, keepdims=True))
-            varies = (size > 1e-14 * np.abs(x).max(axis=1, keepdims=True))[:, 0]
+            varies = (size > 1e-14 * np.nanmax(np.abs(x), axis=1, keepdims=True))[:, 0]
             z = z[varies] / size[varies]
             gram += z.T @ z
             total += z.sum(axis=0)
@@ -245,65 +190,29 @@ def gram_sums(series: DataFrame, n_dates: int) -> DataFrame:
                                      F.sum("live").alias("live")))
     first = F.col("u") == 0
     return summed.agg(
-        F.sum(F.col("g") * F.col("g")).alias("_ff"),
-        F.sum(F.when(first, F.col("total") * F.col("total"))).alias("_tt"),
-        F.sum(F.when(first, F.col("live"))).alias("n_live")).select(
-        "n_live", ((F.col("_tt") - F.col("n_live")) / 2).alias("c"),
-        ((F.col("_ff") - F.col("n_live")) / 2).alias("cc"))
+        F.sum(F.col("g") * F.col("g")).alias("squares"),
+        F.sum(F.when(first, F.col("total") * F.col("total"))).alias("entries"),
+        F.sum(F.when(first, F.col("live"))).alias("n_live"))
 
 
-def positive_spectrum(series: DataFrame, n_dates: int) -> DataFrame:
-    """(s1, s2): sums of positive eigenvalues and of their squares, in one task.
+def effective_breadth(panel: DataFrame, value: str = "weekly_return") -> DataFrame:
+    """One row: names, pairs, names with gaps, mean correlation, effective bets.
 
-    Only called for at most ``EIGEN_LIMIT`` entities.
-    """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf, n_dates)
-        corr, _ = pairwise_correlation(x, x)
-        eig = np.linalg.eigvalsh((corr + corr.T) / 2)
-        eig = eig[eig > 0]
-        return pd.DataFrame({"s1": [eig.sum()], "s2": [(eig * eig).sum()]})
-    return series.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "s1 double, s2 double")
-
-
-def effective_breadth(panel: DataFrame, value: str = "weekly_return", block: int = BLOCK) -> DataFrame:
-    """One row: names, pairs, incomplete pairs, mean correlation, effective bets.
-
-    Complete data takes the linear way. Otherwise correlations are pairwise
-    complete and may have negative eigenvalues, which must be dropped, so the
-    matrix is decomposed; beyond ``EIGEN_LIMIT`` entities that has no exact
-    distributed form and the call fails rather than approximate.
+    The correlation of two entities is the product of their series, each
+    standardized over its own dates and zero in its gaps. That equals the usual
+    one where data are complete, and with gaps its matrix stays positive
+    semidefinite, so effective bets are the squared trace over the squared
+    norm, without eigenvalues. Constant series count as names without links.
     """
     series = stage(entity_series(panel, value), "entity-series")
     n_dates = panel.select(DATE).distinct().count()
-    seen = series.agg(F.count(F.lit(1)), F.min("n"), F.max("n")).first()
-    used = panel.where(F.col(value).isNotNull()).select(DATE).distinct().count()
-    n_names = seen[0]
-    if n_names and seen[1] == used and used == n_dates:
-        s = gram_sums(series, n_dates)
-        out = s.select(F.lit(n_names * (n_names - 1) // 2).cast("long").alias("n_pairs"),
-                       F.lit(0).cast("long").alias("n_incomplete"), "c",
-                       F.col("n_live").cast("double").alias("s1"),
-                       (F.col("n_live") + 2 * F.col("cc")).alias("s2"))
-    elif n_names <= EIGEN_LIMIT:
-        sums = correlation_sums(series, n_dates, n_names, block)
-        out = beside(sums.drop("cc"), positive_spectrum(series, n_dates))
-    else:
-        raise ValueError(f"{n_names} entities with incomplete overlap exceed {EIGEN_LIMIT}; "
-                         "use dates or entities without gaps, or mean_correlation alone")
-    return out.select(
-        F.lit(n_names).cast("long").alias("n_names"), "n_pairs", "n_incomplete",
-        ratio(F.col("c"), F.col("n_pairs").cast("double")).alias("mean_correlation"),
-        ratio(F.col("s1") * F.col("s1"), F.col("s2")).alias("effective_bets"))
-
-
-def mean_correlation(panel: DataFrame, value: str = "weekly_return", block: int = BLOCK) -> DataFrame:
-    """One row: names, pairs, incomplete pairs and the mean pairwise correlation."""
-    series = stage(entity_series(panel, value), "entity-series")
-    n_dates, n_names = panel.select(DATE).distinct().count(), series.count()
-    return correlation_sums(series, n_dates, n_names, block).select(
-        F.lit(n_names).cast("long").alias("n_names"), "n_pairs", "n_incomplete",
-        ratio(F.col("c"), F.col("n_pairs").cast("double")).alias("mean_correlation"))
+    names = series.agg(F.count(F.lit(1)).alias("n_names"), F.count_if(F.col("n") < n_dates).alias("n_gappy"))
+    pairs = F.floor(F.col("n_names") * (F.col("n_names") - 1) / 2).cast("long")
+    live = F.col("n_live").cast("double")
+    return beside(names, gram_sums(series, n_dates)).select(
+        "n_names", pairs.alias("n_pairs"), "n_gappy",
+        ratio((F.col("entries") - live) / 2, pairs.cast("double")).alias("mean_correlation"),
+        ratio(live * live, F.col("squares")).alias("effective_bets"))
 
 
 def fundamental_law(breadth: DataFrame, mean_ic: DataFrame, per_year: int = 52) -> DataFrame:

@@ -131,10 +131,11 @@ def coupling(panel: DataFrame, dollar_volume: DataFrame, min_rows: int = 60,
 
 
 def coupling_p(scores: DataFrame) -> DataFrame:
-    """Two-sided p of a correlation through its t statistic."""
-    r, dof = F.col("corr_svi_volume"), F.col("n_obs") - 2
+    """Two-sided p of a correlation through its t statistic; 0 where it is 1 or -1."""
+    r, dof = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr_svi_volume"))), F.col("n_obs") - 2
     t = r * F.sqrt(dof / F.nullif(1 - r * r, F.lit(0.0)))
-    return scores.withColumn("p_value", student_p(t, dof))
+    exact = (F.abs(r) == 1) & (dof > 0)
+    return scores.withColumn("p_value", F.when(exact, 0.0).otherwise(student_p(t, dof)))
 
 
 def label_coupling(scores: DataFrame, members: DataFrame, concerns: DataFrame) -> DataFrame:

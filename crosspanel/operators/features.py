@@ -94,8 +94,7 @@ def build_features(panel: DataFrame, min_history: int = MIN_HISTORY_WEEKS) -> Da
 
 def rank_features(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per-date percentile rank of each feature, as ``{feature}_rank``."""
-    return average_ranks(features, ["week_ending_friday"], columns or FEATURES,
-                         ["week_ending_friday", "ticker"])
+    return average_ranks(features, ["week_ending_friday"], columns or FEATURES)
 
 
 def feature_table(panel: DataFrame) -> DataFrame:

@@ -189,15 +189,18 @@ def _inner_scores(rows: DataFrame, trials: DataFrame, inner: DataFrame, dates: D
 
     The target's rank depends on the date alone and is taken once. Rows are
     shuffled by (fold, inner, date) before they multiply by the grid, so the
-    ranking of each grid point needs no further shuffle. The models are a row
+    ranking of each grid point needs no further shuffle; dates beyond a task
+    stay where they are and the ranking spreads them. The models are a row
     per fold and grid point, which bounds what is broadcast.
     """
     small = fits(rows, ["week_ending_friday"])
     ranked = average_ranks(rows, ["week_ending_friday"], [TARGET], pct=False, small=small)
     models = trials.groupBy("fold", "inner").agg(
         F.collect_list(F.struct("config", "slope", "const")).alias("_models"))
-    tried = (ranked.join(F.broadcast(fold_dates(inner, dates, "test")), "week_ending_friday")
-             .repartition("fold", "inner", "week_ending_friday")
+    tested = ranked.join(F.broadcast(fold_dates(inner, dates, "test")), "week_ending_friday")
+    if small:
+        tested = tested.repartition("fold", "inner", "week_ending_friday")
+    tried = (tested
              .join(F.broadcast(models), ["fold", "inner"])
              .select("fold", "inner", "week_ending_friday", TARGET, TARGET + "_rank", *columns,
                      F.inline("_models"))

@@ -98,18 +98,21 @@ def _neutralise_by_sums(weights: DataFrame, sector_neutral: bool, beta_neutral:
     known = F.count("beta") if beta_neutral else F.sum(F.lit(0))
     group = ["book", DATE] + (["sector"] if sector_neutral else [])
     w = F.col("w")
-    usable = weights.where(F.col("sector").isNotNull()) if sector_neutral else weights
-    sums = usable.groupBy(*group).agg(
-        F.count(w).alias("_n"), F.sum(w).alias("_sw"), F.sum(beta).alias("_sb"),
-        F.sum(beta * beta).alias("_sbb"), F.sum(beta * w).alias("_swb"), known.alias("_known"))
-    sums = sums.withColumn("_m", F.col("_sw") / F.col("_n") if sector_neutral else F.lit(0.0))
+    # Rows without a sector get no weight, but their betas count.
+    weighed = F.when(F.col("sector").isNotNull(), w) if sector_neutral else w
+    of_weighed = F.when(weighed.isNotNull(), beta)
+    sums = weights.groupBy(*group).agg(
+        F.count(weighed).alias("_n"), F.coalesce(F.sum(weighed), F.lit(0.0)).alias("_sw"),
+        F.coalesce(F.sum(of_weighed), F.lit(0.0)).alias("_sb"), F.sum(beta * beta).alias("_sbb"),
+        F.coalesce(F.sum(of_weighed * weighed), F.lit(0.0)).alias("_swb"), known.alias("_known"))
+    sums = sums.withColumn("_m", F.coalesce(ratio(F.col("_sw"), F.col("_n").cast("double")), F.lit(0.0)) if sector_neutral else F.lit(0.0))
     per_date = sums.groupBy("book", DATE).agg(
         F.sum("_n").alias("_n"), F.sum(F.col("_sw") - F.col("_m") * F.col("_n")).alias("_sw"),
         F.sum("_sb").alias("_sb"), F.sum("_sbb").alias("_sbb"),
         F.sum(F.col("_swb") - F.col("_m") * F.col("_sb")).alias("_swb"), F.sum("_known").alias("_known"))
     multiple = F.when(F.col("_known") > 0, ratio(F.col("_swb"), F.col("_sbb")))
     per_date = per_date.withColumn("_k", F.coalesce(multiple, F.lit(0.0))).select(
-        "book", DATE, "_k", ((F.col("_sw") - F.col("_k") * F.col("_sb")) / F.col("_n")).alias("_c"))
+        "book", DATE, "_k", ratio(F.col("_sw") - F.col("_k") * F.col("_sb"), F.col("_n").cast("double")).alias("_c"))
     terms = sums.select(*group, "_m").join(per_date, ["book", DATE])
     return (weights.join(terms, group, "left")
             .withColumn("w", w - F.col("_m") - beta * F.col("_k") - F.col("_c"))

@@ -27,8 +27,11 @@ def input_coverage(members: DataFrame, sources: dict[str, DataFrame]) -> DataFra
     return out.withColumn("issue", F.when(F.col("n_missing") > 0, issue))
 
 
-def price_checks(prices: DataFrame, short_history: list[str] | None = None) -> DataFrame:
-    """Missing and stale prices per entity, with the flags they raise."""
+def price_checks(prices: DataFrame, short_history: DataFrame | None = None) -> DataFrame:
+    """Missing and stale prices per entity, with the flags they raise.
+
+    ``short_history(ticker)`` names entities known to start late.
+    """
     close, before = F.col("close"), F.lag("close").over(by_entity("date"))
     stats = (prices.withColumn("_same", close - before == 0)
              .groupBy("ticker").agg(
@@ -37,14 +40,17 @@ def price_checks(prices: DataFrame, short_history: list[str] | None = None) -> D
                  F.count_if(F.col("volume") == 0).alias("n_zero_volume"),
                  F.count_if("_same").alias("n_repeated_close"),
                  F.min("date").alias("first_date"), F.max("date").alias("last_date")))
-    short = F.col("ticker").isin(short_history or [])
+    if short_history is None:
+        stats = stats.withColumn("_short", F.lit(None).cast("boolean"))
+    else:
+        stats = stats.join(short_history.select("ticker", F.lit(True).alias("_short")).distinct(), "ticker", "left")
     flags = F.array_compact(F.array(
         F.when(F.col("n_null_adj_close") > 0, F.format_string("%d NaN in Adj Close", "n_null_adj_close")),
-        F.when(short, F.format_string("short history: %d rows", "n_rows")),
+        F.when(F.col("_short"), F.format_string("short history: %d rows", "n_rows")),
         F.when(F.col("n_zero_volume") > 0, F.format_string("%d zero-volume days", "n_zero_volume")),
         F.when(F.col("n_repeated_close") > 5,
                F.format_string("%d repeated-Close days", "n_repeated_close"))))
-    return stats.withColumn("flags", flags)
+    return stats.withColumn("flags", flags).drop("_short")
 
 
 def split_checks(prices: DataFrame, splits: DataFrame) -> DataFrame:
@@ -137,17 +143,23 @@ def validate_news(rows: DataFrame, start: str, end: str) -> DataFrame:
         F.when(F.col("n_outside") > 0, "date(s) outside requested window"))))
 
 
-def missing_columns(columns: list[str], required: tuple[str, ...] = ("date", "tone", "volume")) -> list[str]:
-    """Required columns a file lacks, as one error line; empty when complete."""
-    gone = sorted(set(required) - set(columns))
-    return [f"missing column(s): {', '.join(gone)}"] if gone else []
+def missing_columns(lacking: DataFrame) -> DataFrame:
+    """(ticker, errors) of files that lack columns, from ``lacking(ticker, missing)``."""
+    return lacking.groupBy("ticker").agg(F.max("missing").alias("missing")).select("ticker", F.array(F.concat(
+        F.lit("missing column(s): "), F.array_join("missing", ", "))).alias("errors"))
 
 
-def validate_news_directory(rows: DataFrame, members: DataFrame, start: str, end: str) -> DataFrame:
-    """(ticker, errors) of every expected entity that fails, missing files included."""
+def validate_news_directory(rows: DataFrame, members: DataFrame, start: str, end: str,
+                            lacking: DataFrame | None = None) -> DataFrame:
+    """(ticker, errors) of every expected entity that fails, missing files included.
+
+    ``lacking(ticker, missing)`` names files whose rows could not be read for want of columns.
+    """
     if start > end:
         raise ValueError("start must be on or before end")
     checked = validate_news(rows, start, end).select("ticker", "errors")
+    if lacking is not None:
+        checked = checked.unionByName(missing_columns(lacking))
     expected = members.select("ticker").distinct()
     return (expected.join(checked, "ticker", "left")
             .withColumn("errors", F.coalesce("errors", F.array(F.lit("file is missing"))))

@@ -20,7 +20,9 @@ SOURCE_MODES = {
 
 def choose_source(series: DataFrame, mode: str = "best") -> DataFrame:
     """Keep, per entity, the whole series of its best available source."""
-    order = SOURCE_MODES.get(mode, SOURCE_MODES["best"])
+    if mode not in SOURCE_MODES:
+        raise ValueError(f"unknown mode {mode!r}; expected one of {', '.join(SOURCE_MODES)}")
+    order = SOURCE_MODES[mode]
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source"))
     usable = series.withColumn("_priority", rank).where(F.col("_priority") > 0)
     # One entity's weekly series is bounded by the calendar.
@@ -53,13 +55,14 @@ def match_batches(entities: DataFrame, anchors: DataFrame, tolerance: float = 5.
     both = (marks.select("bucket", "us", F.struct("us", "batch").alias("mark"))
             .unionByName(instants.select("bucket", "us", F.lit(None).cast(
                 "struct<us:bigint,batch:int>").alias("mark"))))
-    order = Window.partitionBy("bucket").orderBy("us")
+    # Frames that only grow: one that shrinks would be summed anew for every row.
+    upward = Window.partitionBy("bucket").orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    downward = Window.partitionBy("bucket").orderBy(F.desc("us")).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
     near = both.select(
         "bucket", "us", "mark",
-        F.last("mark", ignorenulls=True).over(
-            order.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("left"),
-        F.first("mark", ignorenulls=True).over(
-            order.rangeBetween(Window.currentRow, Window.unboundedFollowing)).alias("right"),
+        F.last("mark", ignorenulls=True).over(upward).alias("left"),
+        F.last("mark", ignorenulls=True).over(downward).alias("right"),
     ).where("mark is null").drop("mark")
     near = (near.join(edges.select((F.col("bucket") + 1).alias("bucket"), "tail"), "bucket", "left")
             .join(edges.select((F.col("bucket") - 1).alias("bucket"), "head"), "bucket", "left"))
@@ -107,9 +110,10 @@ def rescale(interest: DataFrame, anchor: DataFrame, zero_handling: str = "ffill"
     if zero_handling == "ffill":
         seen = F.when(~F.col("zero_anchor"), F.col("anchor"))
         back = by_entity("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ahead = by_entity("date").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        ahead = Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
         usable = F.coalesce(F.last(seen, ignorenulls=True).over(back),
-                            F.first(seen, ignorenulls=True).over(ahead))
+                            F.last(seen, ignorenulls=True).over(ahead))
     elif zero_handling == "clip":
         any_zero = F.max("zero_anchor").over(Window.partitionBy("ticker"))
         usable = F.when(any_zero, F.greatest(F.col("anchor"), F.lit(1.0))).otherwise(F.col("anchor"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crosspanel.functions.tails import expected_max_sharpe
 from crosspanel.operators import diagnostics as D
 from crosspanel.operators import evaluation as E
 from crosspanel.operators import portfolio as PF
 from crosspanel.operators import variants as V
+from crosspanel.operators.groups import fits
 from crosspanel.plans import tables as T
-from crosspanel.plans.registry import query, r, rounded, sql, sql_pct
-from crosspanel.session import bounded_like, stage
+from crosspanel.plans.registry import normal_sql, query, r, rounded, sql, sql_pct
+from crosspanel.session import bounded_like
 
 KEY = ["week_ending_friday", "ticker"]
 
@@ -30,9 +32,12 @@ def base_returns(spark, sf) -> DataFrame:
     return T.staged(spark, ("book-returns", sf), build)
 
 
-def _ranked(spark, sf) -> DataFrame:
+def _ranked(spark, sf) -> tuple[DataFrame, bool]:
+    """Ranked names of one book, and whether its dates fit a task."""
     preds = T.predictions(spark, sf)
-    return PF.ranked_names(bounded_like(preds.withColumn("book", F.lit("b")), preds), "pred_b", True)
+    named = bounded_like(preds.withColumn("book", F.lit("b")), preds)
+    small = fits(named, ["book", "week_ending_friday"])
+    return PF.ranked_names(named, "pred_b", small), small
 
 
 @query("p01_average_dollar_volume", sql(f"select ticker, {r('adv', digits=3)} from adv"))
@@ -50,12 +55,14 @@ def p02(spark, sf):
     from (select *, count(*) filter (r > 1 - 1 / 5.0::double) over d as nl, count(*) filter (r < 1 / 5.0::double) over d as ns
           from ranked window d as (partition by week_ending_friday))"""))
 def p03(spark, sf):
-    return rounded(PF.raw_weights(_ranked(spark, sf), "decile", 5, True).select(*KEY, "w"))
+    ranked, small = _ranked(spark, sf)
+    return rounded(PF.raw_weights(ranked, "decile", 5, small).select(*KEY, "w"))
 
 
 @query("p04_rank_weights", sql(f"select week_ending_friday, ticker, {r('w0', 'w')} from w_rank"))
 def p04(spark, sf):
-    return rounded(PF.raw_weights(_ranked(spark, sf), "rank", 5, True).select(*KEY, "w"))
+    ranked, small = _ranked(spark, sf)
+    return rounded(PF.raw_weights(ranked, "rank", 5, small).select(*KEY, "w"))
 
 
 BETA_SQL = {
@@ -69,15 +76,17 @@ BETA_SQL = {
 @query("p05_neutralise", sql(f"""
     select week_ending_friday, ticker, {r('wb - avg(wb) over (partition by week_ending_friday)', 'w')} from with_tilt""", **BETA_SQL))
 def p05(spark, sf):
-    raw = PF.raw_weights(_ranked(spark, sf), "rank", 5, True)
+    ranked, small = _ranked(spark, sf)
+    raw = PF.raw_weights(ranked, "rank", 5, small)
     beta = raw.withColumn("beta", F.when(F.col("weekly_return") > 0, 1 + F.col("weekly_return")))
-    return rounded(PF.neutralise(beta, True, True, True).select(*KEY, "w"))
+    return rounded(PF.neutralise(beta, True, True, small).select(*KEY, "w"))
 
 
 @query("p06_limits", sql(f"select week_ending_friday, ticker, {r('weight', 'w')} from weights"))
 def p06(spark, sf):
-    neutral = PF.neutralise(PF.raw_weights(_ranked(spark, sf), "rank", 5, True), True, False, True)
-    return rounded(PF.apply_limits(neutral, 0.05, 2.0, True).select(*KEY, "w"))
+    ranked, small = _ranked(spark, sf)
+    neutral = PF.neutralise(PF.raw_weights(ranked, "rank", 5, small), True, False, small)
+    return rounded(PF.apply_limits(neutral, 0.05, 2.0, small).select(*KEY, "w"))
 
 
 @query("p07_book_weights", sql(f"select 'pred_b' as book, week_ending_friday, ticker, {r('fwd_return')}, {r('weight')} from weights"))
@@ -246,7 +255,17 @@ def d03(spark, sf):
     return rounded(D.ljung_box(residuals(spark, sf)))
 
 
-@query("d03_ljung_box_p")
+CHI_SQL = {
+    1: f"2 * (1 - {normal_sql('sqrt(stat)')})", 4: "exp(-stat / 2) * (1 + stat / 2)",
+    8: "exp(-stat / 2) * (1 + stat / 2 + pow(stat / 2, 2) / 2 + pow(stat / 2, 3) / 6)"}
+LJUNG_SQL = {**LAGS_SQL, "ljung": f"""
+    select lag, stat, case lag when 1 then {CHI_SQL[1]} when 4 then {CHI_SQL[4]} else {CHI_SQL[8]} end as p_value
+    from (select m.lag, any_value(n) * (any_value(n) + 2) * sum(rho * rho / (n - k)) as stat
+          from (values (1), (4), (8)) m(lag) join rho on k <= m.lag group by m.lag)"""}
+
+
+@query("d03_ljung_box_p", sql(f"""
+    select 'pred_a' as book, cast(lag as integer) as lag, {r('stat')}, {r('p_value')} from ljung""", **LJUNG_SQL))
 def d03_p(spark, sf):
     return rounded(D.ljung_box_p(D.ljung_box(residuals(spark, sf))))
 
@@ -274,19 +293,33 @@ def d06(spark, sf):
     return rounded(D.lag1_autocorrelation(residuals(spark, sf)))
 
 
-@query("d07_residual_report")
+READING_SQL = {**LJUNG_SQL, "watson": """
+    select sum(pow(e - b, 2)) / sum(e * e) as dw, corr(e, b) as acf
+    from (select e, lag(e) over (order by week_ending_friday) as b from residuals)""",
+    "said": """
+    select case when dw < 1.7 and p_value < 0.05 then 'positive'
+                when dw > 2.3 and p_value < 0.05 then 'negative' else 'none' end as reading
+    from watson cross join ljung where lag = 1""",
+    "shape_e": """
+    select n, m3 / pow(m2, 1.5) as skew, m4 / (m2 * m2) as kurtosis
+    from (select count(*) as n, avg(u * u) as m2, avg(u * u * u) as m3, avg(u * u * u * u) as m4 from centred_e)""",
+    "pagan": "select count(*) * pow(corr(pow(fwd_return - pred_a, 2), pred_a), 2) as stat from ic_pairs"}
+_JB = "n / 6.0 * (skew * skew + pow(kurtosis - 3, 2) / 4)"
+_LB = ", ".join(f"(select {r(c, 'v')} from ljung where lag = {k}) as ljung_box_{k}_{c}" for k in (1, 4, 8) for c in ("stat", "p_value"))
+
+
+@query("d07_residual_report", sql(f"""
+    select 'pred_a' as book, {r('dw', 'durbin_watson')}, {r('acf', 'acf_lag1')}, {_LB}, {r(_JB, 'jarque_bera')},
+           {r(f'exp(-{_JB} / 2)', 'jarque_bera_p')}, {r('skew')}, {r('kurtosis')}, {r('stat', 'breusch_pagan')},
+           {r(CHI_SQL[1], 'breusch_pagan_p')}, reading
+    from watson cross join shape_e cross join pagan cross join said""", **READING_SQL))
 def d07(spark, sf):
     return rounded(D.residual_report(T.predictions(spark, sf), "pred_a"))
 
 
-@query("d07_reading", """
-    select cast(user_id as bigint) as user_id, case when dw < 1.7 and p < 0.05 then 'positive'
-                when dw > 2.3 and p < 0.05 then 'negative' else 'none' end as reading
-    from (select user_id, avg(value) / 25 as dw, min(value) / 10 as p from events group by 1)""")
+@query("d07_reading", sql("select 'pred_a' as book, reading from said", **READING_SQL))
 def d07_reading(spark, sf):
-    stats = T.table(spark, sf, "events").groupBy("user_id").agg(
-        (F.avg("value") / 25).alias("dw"), (F.min("value") / 10).alias("p"))
-    return stats.select("user_id", D.reading(F.col("dw"), F.col("p")).alias("reading"))
+    return D.residual_report(T.predictions(spark, sf), "pred_a").select("book", "reading")
 
 
 SHARPE_SQL = {"ret_centred": "select gross_return as g, gross_return - avg(gross_return) over () as u from book_returns",
@@ -309,54 +342,52 @@ def d09_z(spark, sf):
         "sr_variance")
 
 
-@query("d08_d09_deflated_sharpe")
+@query("d08_d09_deflated_sharpe", sql(f"""
+    select book, n, {r('sharpe')}, {r('sharpe * sqrt(52.0)', 'sharpe_annualised')}, {r('skew')}, {r('kurtosis')},
+           {r('v', 'sr_variance')}, cast(null as varchar) as error, {r('b', 'benchmark')}, {r('z')},
+           {r(normal_sql('z'), 'probability')}, {normal_sql('z')} > 0.95 as passes_at_95pct
+    from (select 'pred_b' as book, n, sr as sharpe, skew, kurtosis, shape / (n - 1) as v,
+                 {expected_max_sharpe(342, 1.0)!r} * sqrt(greatest(shape / (n - 1), 1e-12)) as b,
+                 (sr - {expected_max_sharpe(342, 1.0)!r} * sqrt(greatest(shape / (n - 1), 1e-12))) * sqrt(n - 1) / sqrt(shape) as z
+          from ret_shape)""", **SHARPE_SQL))
 def d09(spark, sf):
     return rounded(D.deflated_sharpe(base_returns(spark, sf)))
 
 
-PAIRS_SQL = {
-    "numbered": "select week_ending_friday, ticker, weekly_return as x from panel",
-    "cells": "select a.ticker as i, b.ticker as j, count(*) as n, coalesce(corr(a.x, b.x), 0) as c "
-             "from numbered a join numbered b using (week_ending_friday) where a.ticker < b.ticker group by 1, 2",
+GRAM_SQL = {
+    "centred": """select ticker, week_ending_friday as w, weekly_return - avg(weekly_return) over (partition by ticker) as x
+                  from panel where weekly_return is not null""",
+    "scaled": "select ticker, w, x / sqrt(sum(x * x) over (partition by ticker)) as z from centred "
+              "qualify sum(x * x) over (partition by ticker) > 1e-28",
+    "gram": "select a.w as s, b.w as u, sum(a.z * b.z) as g from scaled a join scaled b using (ticker) group by 1, 2",
+    "breadth": """
+        select (select count(distinct ticker) from panel where weekly_return is not null) as n_names,
+               (select count(*) from (select ticker from panel where weekly_return is not null group by 1 having
+                count(*) < (select count(distinct week_ending_friday) from panel))) as n_gappy,
+               (select sum(t * t) from (select sum(z) as t from scaled group by w)) as tt,
+               (select count(distinct ticker) from scaled) as live, (select sum(g * g) from gram) as ff""",
 }
 
 
 @query("d10_pairwise_correlation", sql(f"""
-    select (select count(distinct ticker) from panel) as n_names, count(*) as n_pairs,
-           count(*) filter (n < ni or n < nj) as n_incomplete, {r('avg(c)', 'mean_correlation')}
-    from cells join (select ticker as i, count(*) as ni from numbered group by 1) using (i)
-         join (select ticker as j, count(*) as nj from numbered group by 1) using (j)""", **PAIRS_SQL))
+    select n_names, n_names * (n_names - 1) // 2 as n_pairs, n_gappy,
+           {r('(tt - live) / (n_names * (n_names - 1))', 'mean_correlation')} from breadth""", **GRAM_SQL))
 def d10(spark, sf):
-    return rounded(D.mean_correlation(T.panel(spark, sf)))
+    return rounded(D.effective_breadth(T.panel(spark, sf)).drop("effective_bets"))
 
 
-@query("d11_effective_bets")
+@query("d11_effective_bets", sql(f"""
+    select n_names, n_names * (n_names - 1) // 2 as n_pairs, n_gappy,
+           {r('(tt - live) / (n_names * (n_names - 1))', 'mean_correlation')},
+           {r('live * live / ff', 'effective_bets')} from breadth""", **GRAM_SQL))
 def d11(spark, sf):
     return rounded(D.effective_breadth(T.panel(spark, sf)))
 
 
-def balanced_panel(spark, sf) -> DataFrame:
-    """The dates on which every entity reported."""
-    panel = T.panel(spark, sf)
-    names = panel.agg(F.count_distinct("ticker")).scalar()
-    full = panel.groupBy("week_ending_friday").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == names)
-    return stage(panel.join(full.select("week_ending_friday"), "week_ending_friday", "left_semi"), "balanced")
-
-
-@query("d11_effective_bets_balanced", sql(f"""
-    select n_names, count(*) as n_pairs, cast(0 as bigint) as n_incomplete, {r('avg(c)', 'mean_correlation')},
-           {r('n_names * n_names / (n_names + 2 * sum(c * c))', 'effective_bets')}
-    from (select a.ticker as i, b.ticker as j, corr(a.weekly_return, b.weekly_return) as c
-          from balanced a join balanced b using (week_ending_friday) where a.ticker < b.ticker group by 1, 2)
-         cross join (select count(distinct ticker) as n_names from panel) group by n_names""",
-    balanced="""select * from panel where week_ending_friday in (
-        select week_ending_friday from panel group by 1
-        having count(*) = (select count(distinct ticker) from panel))"""))
-def d11_balanced(spark, sf):
-    return rounded(D.effective_breadth(balanced_panel(spark, sf)))
-
-
-@query("d12_fundamental_law")
+@query("d12_fundamental_law", sql(f"""
+    select {r('ic', 'mean_rank_ic')}, {r('bets', 'effective_names')}, {r('bets * 52', 'breadth')},
+           {r('ic * sqrt(bets * 52)', 'implied_ir')}, {r('ic * sqrt(n_names * 52.0)', 'naive_ir')}
+    from (select n_names, live * live / ff as bets from breadth) cross join (select avg(ic) as ic from ic)""", **GRAM_SQL))
 def d12(spark, sf):
     ic = E.ic_summary(E.rank_ic(T.predictions(spark, sf), "pred_a"))
     return rounded(D.fundamental_law(D.effective_breadth(T.panel(spark, sf)), ic))

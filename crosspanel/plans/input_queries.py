@@ -235,13 +235,19 @@ def s15(spark, sf):
     from (select 'prices' as source, ticker from prices group by 2
           union all select 'trends', ticker from interest where search_interest = 0 group by 2
           union all select 'late', ticker from prices where date < date '1995-01-09' group by 2) h
-         left join members m using (ticker) group by source"""))
+         left join members m using (ticker) group by source
+    union all
+    select source, (select count(*) from members), 0, (select count(*) from members),
+           (select count(*) from members) || ' tickers missing ' || source
+    from (select 'prices' as source, not exists (from prices) as none
+          union all select 'trends', not exists (from interest where search_interest = 0)
+          union all select 'late', not exists (from prices where date < date '1995-01-09')) where none"""))
 def v01(spark, sf):
     prices = T.prices_daily(spark, sf)
     out = Q.input_coverage(T.members(spark, sf), {
         "prices": prices, "trends": T.interest_weekly(spark, sf).where("search_interest = 0"),
         "late": prices.where(F.col("date") < F.lit("1995-01-09").cast("date"))})
-    return out.where("n_present > 0")
+    return out
 
 
 @query("v02_price_checks", sql("""
@@ -263,7 +269,7 @@ def v02(spark, sf):
     prices = T.prices_daily(spark, sf).select(
         "ticker", "date", F.round(F.col("close") / 1000).alias("close"),
         F.when(F.col("volume") >= 2, F.col("adj_close")).alias("adj_close"), (F.col("volume") - 1).alias("volume"))
-    return Q.price_checks(prices, ["NATION_3"]).withColumn("flags", F.array_join("flags", "; "))
+    return Q.price_checks(prices, spark.createDataFrame([("NATION_3",)], "ticker string")).withColumn("flags", F.array_join("flags", "; "))
 
 
 def news_rows(spark, sf) -> DataFrame:

@@ -13,7 +13,7 @@ from crosspanel.operators import folds as FO
 from crosspanel.operators import linear as L
 from crosspanel.operators import quality as Q
 from crosspanel.plans import tables as T
-from crosspanel.plans.registry import query, r, rounded, sql, sql_pct
+from crosspanel.plans.registry import query, r, rounded, sql, sql_pct, student_sql
 from crosspanel.session import stage
 
 KEY = ["week_ending_friday", "ticker"]
@@ -283,7 +283,20 @@ def m10(spark, sf):
     return rounded(E.sector_ic(T.predictions(spark, sf), "pred_a"))
 
 
-@query("m10_sector_ic_tested")
+@query("m10_sector_ic_tested", sql(f"""
+    select s.* replace ({r('mean_ic')}, {r('std_ic')}, {r('t_stat')}, {r('pct_positive')}), {r('p_value')},
+           p_value <= coalesce((select max(p_value) from (
+               select p_value, row_number() over (order by p_value) as i, count(*) over () as m from sector_tests)
+               where p_value <= i * 0.10 / m), -1) as survives_bh
+    from (select * exclude (p_value) from sector_tests) s join (select sector, p_value from sector_tests) using (sector)""",
+    **SECTOR_SQL, sector_scores="""
+    select sector, count(ic) as n_weeks, avg(ic) as mean_ic, stddev_samp(ic) as std_ic,
+           avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) as t_stat,
+           100 * avg(case when ic > 0 then 1.0 else 0.0 end) as pct_positive, any_value(n_names) as n_names,
+           abs(avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))) > 2 as naive_t_gt_2
+    from sector_ics join (select sector, count(distinct ticker) as n_names from ic_pairs group by 1) using (sector)
+    where ic is not null group by sector having count(ic) >= 20""",
+    sector_tests=f"select *, {student_sql('t_stat', 'n_weeks - 1')} as p_value from sector_scores"))
 def m10_tested(spark, sf):
     return rounded(E.sector_ic_tested(T.predictions(spark, sf), "pred_a"))
 
@@ -344,7 +357,10 @@ def m13(spark, sf):
     return rounded(E.label_coupling(coupling_scores(spark, sf), T.members(spark, sf), concerns))
 
 
-@query("m13_coupling_p")
+@query("m13_coupling_p", sql(f"""
+    select ticker, n_obs, {r('corr_svi_volume')},
+           {r(student_sql('corr_svi_volume * sqrt((n_obs - 2) / (1 - corr_svi_volume * corr_svi_volume))', 'n_obs - 2'), 'p_value')}
+    from scores""", **DV_SQL))
 def m13_p(spark, sf):
     return rounded(E.coupling_p(coupling_scores(spark, sf)))
 
@@ -362,7 +378,15 @@ def m14(spark, sf):
     return rounded(E.welch(labelled, "corr_svi_volume", F.col("sector").startswith("A")))
 
 
-@query("m14_welch_p")
+@query("m14_welch_p", sql(f"""
+    select n_flagged, n_rest, {r('mean_flagged')}, {r('mean_rest')}, {r('t_stat')}, {r('dof')},
+           {r(student_sql('t_stat', 'dof'), 'p_value')} from welch""", **DV_SQL, welch="""
+    select nx as n_flagged, ny as n_rest, mx as mean_flagged, my as mean_rest, (mx - my) / sqrt(vx / nx + vy / ny) as t_stat,
+           pow(vx / nx + vy / ny, 2) / (pow(vx / nx, 2) / (nx - 1) + pow(vy / ny, 2) / (ny - 1)) as dof
+    from (select count(*) filter (f) as nx, count(*) filter (not f) as ny,
+                 avg(corr_svi_volume) filter (f) as mx, avg(corr_svi_volume) filter (not f) as my,
+                 var_samp(corr_svi_volume) filter (f) as vx, var_samp(corr_svi_volume) filter (not f) as vy
+          from (select corr_svi_volume, starts_with(sector, 'A') as f from scores join members using (ticker)))"""))
 def m14_p(spark, sf):
     labelled = coupling_scores(spark, sf).join(T.members(spark, sf).select("ticker", "sector"), "ticker")
     return rounded(E.welch_p(E.welch(labelled, "corr_svi_volume", F.col("sector").startswith("A"))))

@@ -131,7 +131,7 @@ def run(spark: SparkSession, inputs: Inputs, out: str, settings: Settings | None
         return spark.read.schema(df.schema).parquet(written[name])
 
     prices = keep("prices", files.read_prices(spark, inputs.prices))
-    checks = keep("price_checks", Q.price_checks(prices, [r[0] for r in inputs.starts.select("ticker").collect()]))
+    checks = keep("price_checks", Q.price_checks(prices, inputs.starts))
     splits = keep("split_checks", Q.split_checks(prices, inputs.splits))
     keep("flag_counts", Q.flag_counts(Q.entity_flags(checks, splits)))
     returns = keep("daily_returns", A.daily_log_returns(prices).select("ticker", "date", "adj_close", "daily_return"))

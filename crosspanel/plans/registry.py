@@ -205,6 +205,26 @@ def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 as {name or expr}"
 
 
+def simpson(f: str, low: str, high: str, steps: int = 2000) -> str:
+    """SQL: the integral of ``f``, an expression of x, by Simpson's rule."""
+    width = f"(({high}) - ({low})) / {float(steps)}"
+    point = f.replace("{x}", f"(({low}) + k * {width})")
+    weight = f"case when k in (0, {steps}) then 1 when k % 2 = 1 then 4 else 2 end"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda k: {weight} * {point})) * {width} / 3)"
+
+
+def student_sql(t: str, df: str) -> str:
+    """SQL: two-sided Student p; with t = sqrt(df) tan(x) the density is a power of the cosine."""
+    power = f"pow(cos({{x}}), ({df}) - 1)"
+    return (simpson(power, f"atan(abs({t}) / sqrt({df}))", "pi() / 2")
+            + " / " + simpson(power, "0.0", "pi() / 2"))
+
+
+def normal_sql(z: str) -> str:
+    """SQL: the normal distribution function."""
+    return f"(0.5 + {simpson('exp(-{x} * {x} / 2) / sqrt(2 * pi())', '0.0', z)})"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double column rounded, without negative zero."""
     return df.select(*[

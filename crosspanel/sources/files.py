@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.functions.numeric import finite
 from crosspanel.session import stage_root
 
 NOT_SERIES = ["provenance", "cross_sectional_summary", "manifest"]
-_MAX_FIELDS = 16
+
+
+def _origin() -> list[Column]:
+    """The entity (folder or file name), and where a row comes from."""
+    folder = F.regexp_extract("_metadata.file_path", r"/ticker=([^/]+)/", 1)
+    stem = F.regexp_extract("_metadata.file_name", r"(.+)\.csv$", 1)
+    return [
+        F.when(folder != "", F.url_decode(folder)).otherwise(stem).alias("ticker"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.monotonically_increasing_id().alias("position")]
+
+
+def _files(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, file, line) with each file's first line."""
+    lines = _files(spark).text(path).select(*_origin(), "value").where("block = 0")
+    return lines.groupBy("ticker", "file").agg(F.min_by("value", "position").alias("line"))
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip().lower() for c in next(csv.reader([line]), [])]
+
+
+def files_lacking(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """(ticker, file, missing) of files whose header lacks a wanted field, with those fields."""
+    have = F.transform(F.split("line", ","), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
+    missing = F.array_sort(F.array_except(F.array(*[F.lit(f.lower()) for f in fields]), have))
+    return file_headers(spark, path).select("ticker", "file", missing.alias("missing")).where(F.size("missing") > 0)
 
 
 def scan_entity_csv(spark: SparkSession, path: str, fields: list[str],
@@ -17,44 +51,39 @@ def scan_entity_csv(spark: SparkSession, path: str, fields: list[str],
     """Rows of one-CSV-per-entity files, the entity taken from the file name.
 
     A ``ticker=`` folder, as the per-entity sink writes, names the entity too.
-    Columns are matched by each file's own header, so order may differ between
-    files; files whose header lacks a wanted field are left out. Finding the
-    headers reads the files once more: where all files are known to share one
-    column order, pass it as ``layout`` and a single scan does.
+    Columns are matched by each file's own header, whatever its width or order;
+    files whose header lacks a wanted field are left out (``files_lacking``
+    names them). The headers are read first, as lines; their different wordings
+    are few. With one wording a single scan reads the wanted columns only. With
+    several, one scan splits lines as wide as the widest and picks by header.
+    Where all files are known to share one, pass it as ``layout``.
 
     Fields come back as text together with ``block`` and ``position`` (byte
     offset of the split, order inside it), ``file`` and ``modified``.
     """
     if layout:
-        source = spark.read.schema(", ".join(f"`{c}` string" for c in layout)).option("header", True)
-    else:
-        source = spark.read.schema(", ".join(f"_c{i} string" for i in range(_MAX_FIELDS)))
-    raw = source.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(path)
-    folder = F.regexp_extract("_metadata.file_path", r"/ticker=([^/]+)/", 1)
-    stem = F.regexp_extract("_metadata.file_name", r"(.+)\.csv$", 1)
-    origin = [
-        F.when(folder != "", F.url_decode(folder)).otherwise(stem).alias("ticker"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        F.monotonically_increasing_id().alias("position")]
-    if layout:
-        return raw.select(*origin, *[F.col(f"`{f}`") for f in fields])
-    lines = raw.select(*origin, F.array(*[F.col(f"_c{i}") for i in range(_MAX_FIELDS)]).alias("cells"))
+        raw = _files(spark).schema(", ".join(f"`{c}` string" for c in layout)).option("header", True).csv(path)
+        return raw.select(*_origin(), *[F.col(f"`{f}`") for f in fields])
     wanted = [f.lower() for f in fields]
-    names = F.transform("cells", lambda c: F.lower(F.trim(c)))
-    # array_contains is null, not false, where the padding nulls hide the answer.
-    is_header = (F.coalesce(F.array_contains(F.col("names"), "date"), F.lit(False))
-                 & F.element_at("cells", 1).try_cast("date").isNull())
-    tagged = lines.withColumn("names", names).withColumn("is_header", is_header)
-    headers = (tagged.where("is_header and block = 0").groupBy("file")
-               .agg(F.first("names").alias("header"))
-               .where(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), "header")) == 0))
-    rows = tagged.where("not is_header").drop("names", "is_header").join(headers, "file")
-    return rows.select(
+    heads = file_headers(spark, path).select("file", "line")
+    wordings = {r.line: _cells(r.line) for r in heads.select("line").distinct().toLocalIterator() if r.line}
+    usable = {k: v for k, v in wordings.items() if set(wanted) <= set(v)}
+    if len(wordings) == 1 and usable:
+        cells, = usable.values()
+        names = [f"_c{i}" for i in range(len(cells))]
+        raw = _files(spark).schema(", ".join(f"{n} string" for n in names)).option("header", True).option(
+            "enforceSchema", True).csv(path)
+        picked = [F.col(names[cells.index(w)]).alias(f) for f, w in zip(fields, wanted)]
+        return raw.select(*_origin(), *picked).drop("file")
+    width = max(map(len, wordings.values()), default=1)
+    raw = _files(spark).schema(", ".join(f"_c{i} string" for i in range(width))).option("header", True).csv(path)
+    places = spark.createDataFrame(
+        [(k, [v.index(w) for w in wanted]) for k, v in usable.items()], "line string, places array<int>")
+    chosen = heads.join(F.broadcast(places), "line").select("file", "places")
+    lines = raw.select(*_origin(), F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"))
+    return lines.join(chosen, "file").select(
         "ticker", "block", "position", "modified",
-        *[F.element_at("cells", F.array_position("header", w).cast("int")).alias(f)
-          for f, w in zip(fields, wanted)])
+        *[F.get("cells", F.get("places", F.lit(i))).alias(f) for i, f in enumerate(fields)])
 
 
 def read_prices(spark: SparkSession, path: str, fields: tuple[str, ...] = (

@@ -55,7 +55,7 @@ def type_gaps(df, con, oracle: str) -> list[str]:
 
 # Queries whose feature is a solve, a decomposition, a recursion or a tail probability.
 PYTHON_NODES = ("m03_enet", "m04", "m05_nested", "m08", "m09_nested", "m10_sector_ic_tested", "m13_coupling_p",
-                "m14_welch_p", "p14", "p15", "p16_variant", "d03_ljung_box_p", "d07_residual", "d08", "d10", "d11", "d12")
+                "m14_welch_p", "p14", "p15", "p16_variant", "d03_ljung_box_p", "d07", "d08", "d10", "d11", "d12")
 
 
 def plan_gaps(df, name: str) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.operators import cross_section as X
 from crosspanel.operators import groups
-from crosspanel.operators.order_stats import average_ranks, group_quantiles, value_bucket
+from crosspanel.operators.order_stats import BUCKETS, average_ranks, group_quantiles, spread_values, value_bucket
 from helpers import KEY, merged, same, to_spark, weekly_panel
 
 DATE = "week_ending_friday"
@@ -96,12 +96,22 @@ def test_many_columns_of_large_groups(spark):
     pdf = weekly_panel(20, 4, seed=5)
     df = to_spark(spark, pdf.assign(z=pdf.weekly_return * 2 - 1))
     cols = ["weekly_return", "trends_interest", "z"]
-    a = average_ranks(df, [DATE], cols, KEY).orderBy(*KEY).toPandas()
-    b = average_ranks(df, [DATE], cols, KEY, rows_per_task=0).orderBy(*KEY).toPandas()
+    twice = df.unionByName(df.where("ticker = 'T01'").withColumn("weekly_return", F.col("weekly_return") + 1))
+    order = [*KEY, "weekly_return"]
+    a = average_ranks(twice, [DATE], cols).orderBy(*order).toPandas()
+    b = average_ranks(twice, [DATE], cols, rows_per_task=0).orderBy(*order).toPandas()
     for c in cols:
         same(a[c + "_rank"], b[c + "_rank"])
-    with pytest.raises(ValueError):
-        average_ranks(df, [DATE], cols, rows_per_task=0)
+
+
+def test_values_that_lie_close(spark):
+    """A bucket with too many different values is cut finer, twice where need be."""
+    df = spark.range(0, 40_000, 1, 8).select(F.lit("d").alias(DATE), (100 + F.col("id") * 1e-5).alias("x"))
+    close = df.unionByName(spark.range(0, 3000, 1, 4).select(F.lit("d").alias(DATE), (1 + F.col("id") * 1e-10).alias("x")))
+    ties = spread_values(close, [DATE], "x", 500)
+    assert ties.groupBy(*BUCKETS).count().agg(F.max("count")).first()[0] <= 500
+    got = average_ranks(close, [DATE], ["x"], pct=False, rows_per_task=500).orderBy("x").toPandas()
+    same(got.x.rank(), got.x_rank)
 
 
 @pytest.mark.parametrize("limit", [10 ** 6, 0])

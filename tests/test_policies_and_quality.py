@@ -165,20 +165,37 @@ def test_news_directory(spark, tmp_path):
     write(tmp_path, "GOOD.csv", "date,tone,volume\n2024-01-01,1.0,3\n2024-01-02,2.0,4\n")
     write(tmp_path, "BAD.csv", "date,tone,volume\n2024-01-02,1.0,2.5\n2024-01-02,,-1\n2024-01-01,1,1\nxx,1,1\n")
     rows = files.scan_entity_csv(spark, str(tmp_path), ["date", "tone", "volume"])
-    expected = spark.createDataFrame([("GOOD",), ("BAD",), ("GONE",)], "ticker string")
-    got = {r.ticker: r.errors for r in Q.validate_news_directory(rows, expected, "2024-01-01", "2024-01-02").collect()}
-    assert got == {"GONE": ["file is missing"], "BAD": [
+    write(tmp_path, "HALF.csv", "date,count\n2024-01-02,1\n")
+    rows = files.scan_entity_csv(spark, str(tmp_path), ["date", "tone", "volume"])
+    lacking = files.files_lacking(spark, str(tmp_path), ["date", "tone", "volume"])
+    expected = spark.createDataFrame([("GOOD",), ("BAD",), ("GONE",), ("HALF",)], "ticker string")
+    got = {r.ticker: r.errors for r in Q.validate_news_directory(rows, expected, "2024-01-01", "2024-01-02", lacking).collect()}
+    assert got == {"GONE": ["file is missing"], "HALF": ["missing column(s): tone, volume"], "BAD": [
         "1 invalid date(s)", "1 invalid/missing tone value(s)", "1 duplicate date(s)",
         "dates are not sorted ascending", "negative volume value(s)", "non-integer article count(s)"]}
     stats = {r.ticker: r for r in Q.validate_news(rows, "2024-01-01", "2024-01-02").collect()}
     assert stats["GOOD"].rows == 2 and stats["GOOD"].volume_max == 4.0 and stats["GOOD"].errors == []
     late = Q.validate_news(rows.where("ticker = 'GOOD'"), "2023-12-01", "2024-01-01").first().errors
     assert late == ["coverage starts after 2023-12-01", "date(s) outside requested window"]
-    assert Q.missing_columns(["date"]) == ["missing column(s): tone, volume"]
     with pytest.raises(ValueError):
         Q.validate_news_directory(rows, expected, "2024-01-02", "2024-01-01")
 
 
+def test_wide_files(spark, tmp_path):
+    """Any number of columns in any order; one wording of the header reads the wanted columns only."""
+    names = [f"x{k}" for k in range(40)]
+    write(tmp_path, "W.csv", ",".join([*names, "date", '"tone"', "volume"]) + "\n" + ",".join(["0"] * 40 + ["2024-01-01", "1.5", "3"]) + "\n")
+    fields = ["date", "tone", "volume"]
+    one = files.scan_entity_csv(spark, str(tmp_path), fields)
+    assert [tuple(r) for r in one.select("ticker", *fields).collect()] == [("W", "2024-01-01", "1.5", "3")]
+    plan = one.select("tone")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<_c41:string>" in plan
+    write(tmp_path, "N.csv", "volume,tone,date\n4,2.5,2024-01-02\n")
+    both = files.scan_entity_csv(spark, str(tmp_path), fields).select("ticker", *fields).collect()
+    assert sorted(map(tuple, both)) == [("N", "2024-01-02", "2.5", "4"), ("W", "2024-01-01", "1.5", "3")]
+    assert files.files_lacking(spark, str(tmp_path), ["x39"]).first().ticker == "N"
+
+
 def test_order_is_checked_across_blocks(spark):
     rows = [("A", 0, 0, "2024-01-03"), ("A", 0, 1, "2024-01-04"), ("A", 1, 2, "2024-01-01"), ("A", 1, 3, "2024-01-02")]
     df = spark.createDataFrame(rows, "ticker string, block long, position long, date string").selectExpr(
