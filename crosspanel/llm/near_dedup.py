@@ -9,8 +9,9 @@ every chunk with probability ``0.263 ** 12``, about 1e-7. All shared keys are
 followed, whatever the rest of the signature says, and confirmed on full sets.
 
 Groups never turn into all their pairs: equal sets are one class; a bucket first
-links its members to its smallest one; only members that are still in another
-component than that one are then compared with the rest of the bucket.
+links its members to its smallest one, its hub; only members that are still in
+another component than their hub are then compared with the hub's other members,
+in blocks whose tasks return links, never candidate pairs.
 
 Null or wordless texts have empty sets and link with nothing. Rows that share a
 doc_id are one document. A null doc_id links with nothing and is kept.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm.graph import connected_components, staged
+from crosspanel.llm.sieve import sieve, sieved
 from crosspanel.llm.text import mixed, row_slices, text_bytes, word_hashes
 
 WIDTH, SIMILARITY, CHUNKS, SYMBOLS = 5, 80, 12, 5
@@ -145,17 +147,77 @@ def _confirm(similarity: int):
     return run
 
 
-def linked(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .where("doc_id is not null").join(ids, "doc_id", "left_semi")
-    sets, *_ = staged(texts.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents named in ``ids(doc_id)``."""
+    texts = sieved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+                   "doc_id", sieve(ids), named=True).join(ids, "doc_id", "left_semi")
+    return staged(texts.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")[0]
+
+
+def linked(sets: DataFrame, pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full ``sets(doc_id, shingles)`` are similar enough."""
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long")
 
 
+def _compare_blocks(similarity: int):
+    """Links from the left sets of a block pair to its right ones in other components, one for each component."""
+    def run(table: pa.Table) -> pa.Table:
+        ids, parts, lefts = (table.column(c).to_pylist() for c in ("doc_id", "part", "left"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        left = [k for k, x in enumerate(lefts) if x]
+        sizes = np.array([len(sets[k]) for k in left], np.int64)
+        of = np.repeat(np.arange(len(left)), sizes)
+        values = np.concatenate([sets[k] for k in left]) if left else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        values, of = values[order], of[order]
+        own = np.array([parts[k] for k in left], np.int64)
+        found = {}
+        for k in (k for k, x in enumerate(lefts) if not x and left):
+            low, high = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(of[at], minlength=len(left))
+            good = (100 * common >= similarity * (sizes + len(sets[k]) - common)) & (common > 0) & (own != parts[k])
+            for j in np.flatnonzero(good).tolist():
+                found[left[j], parts[k]] = k
+        pairs = [(ids[j], ids[k]) for (j, _), k in found.items()]
+        return pa.table([pa.array([x[c] for x in pairs], pa.int64()) for c in (0, 1)], names=["a", "b"])
+    return run
+
+
+def _beyond_hubs(sets: DataFrame, members: DataFrame, parts: DataFrame, similarity: int,
+                 block: int = 1 << 16) -> DataFrame:
+    """Links between members of a hub's buckets that lie in different components.
+
+    Those apart from the hub meet all the others in blocks of bounded size;
+    only links leave a task, so members that share much and link little cost
+    comparisons but no rows.
+    """
+    of = parts.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "part")
+    wide = members.where("size > 2 and doc_id <> hub").select("hub", "doc_id", "n").distinct() \
+        .join(of, "doc_id", "left").join(
+            of.select(F.col("doc_id").alias("hub"), F.col("part").alias("hub_part")), "hub", "left") \
+        .withColumn("part", F.coalesce("part", "doc_id"))
+    wide, *_ = staged(wide.select(
+        "hub", "doc_id", "n", "part", (F.col("part") != F.coalesce("hub_part", "hub")).alias("apart")), "wide")
+    sums = wide.groupBy("hub").agg(
+        F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0)).alias("few"), F.sum("n").alias("all"),
+        F.countDistinct("part").alias("parts"))
+    sums = sums.where("few > 0 and parts > 1").select(
+        "hub", F.ceil(F.col("few") / block).cast("int").alias("rows"), F.ceil(F.col("all") / block / 4).cast("int").alias("cols"))
+    met = wide.join(sums, "hub")
+    row, col = (F.pmod(F.xxhash64("doc_id"), c).cast("int") for c in ("rows", "cols"))
+    left = met.where("apart").select("hub", "doc_id", "part", row.alias("row"), F.explode(
+        F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(True).alias("left"))
+    right = met.select("hub", "doc_id", "part", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"),
+                       col.alias("col"), F.lit(False).alias("left"))
+    sides, *_ = staged(left.unionByName(right), "sides")
+    return sides.join(sets, "doc_id").groupBy("hub", "row", "col").applyInArrow(
+        _compare_blocks(similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY,
                     chunks: int = CHUNKS, symbols: int = SYMBOLS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs(doc_id, text, ...)``.
@@ -182,28 +244,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     near, *_ = staged(members.where(
         (F.col("doc_id") != F.col("hub")) & _fits(F.col("n"), F.col("hub_n"), similarity))
         .select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "near")
-    edges, *_ = staged(linked(docs, near, width, similarity).unionByName(same), "links")
+    # The texts of documents that share a key with another cross one exchange, once.
+    sets = sets_of(docs, members.select("doc_id").distinct(), width)
+    edges, *_ = staged(linked(sets, near, similarity).unionByName(same), "links")
     parts = connected_components(edges)
 
-    # What the hubs did not link: compare it with the rest of its buckets, other components only.
-    of = parts.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "part")
-    wide = members.where("size > 2").join(of, "doc_id", "left").join(
-        of.select(F.col("doc_id").alias("hub"), F.col("part").alias("hub_part")), "hub", "left") \
-        .withColumns({"part": F.coalesce("part", "doc_id"), "hub_part": F.coalesce("hub_part", "hub")})
-    wide, *_ = staged(wide.where("doc_id <> hub").select(
-        "key", "doc_id", "n", "part", (F.col("part") != F.col("hub_part")).alias("apart")), "wide")
-    left, right = wide.where("apart").alias("l"), wide.alias("r")
-    rest, n, _ = staged(left.join(right, F.col("l.key") == F.col("r.key")).where(
-        (F.col("l.part") != F.col("r.part"))
-        & (~F.col("r.apart") | (F.col("l.doc_id") < F.col("r.doc_id")))
-        & _fits(F.col("l.n"), F.col("r.n"), similarity))
-        .select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b"))
-        .distinct(), "rest")
+    more, n, _ = staged(_beyond_hubs(sets, members, parts, similarity), "more")
     if n:
-        more, n, _ = staged(linked(docs, rest, width, similarity), "more")
-        if n:
-            flat = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = connected_components(flat.unionByName(more))
+        flat = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = connected_components(flat.unionByName(more))
     return rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -213,8 +262,12 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY)
     """``docs`` with one document of each near-duplicate group, columns unchanged."""
     found = near_duplicates(docs, width, similarity)
     ids, *_ = staged(found.select("doc_id", "kept"), "decisions")
-    gone = ids.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone, *_ = staged(ids.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    # Most rows are surely kept and stay where they are; the others meet the exact list.
+    bits = sieve(gone)
+    doubtful = sieved(docs, "doc_id", bits, named=True)
+    kept = sieved(docs, "doc_id", bits, named=False).unionByName(
+        doubtful.join(gone, doubtful["doc_id"].cast("long") == F.col("__gone"), "left_anti"))
     again, n, _ = staged(ids.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1"), "again")
     if not n:
         return kept
