@@ -299,8 +299,7 @@ def _score(model: dict, text: int):
                 known, at = np.unique(np.concatenate([before, word]), return_inverse=True)
                 total, once, twice, more, types, count = _looked_up(
                     known, word_shards(known, model["word_shards"]), opened("words", _WORD_KINDS), 6)
-                alone = spare / (v + 1) + (np.maximum(
-                    types - k[np.minimum(types, 3).astype(np.int64)], 0) / kinds if kinds else 0.0)
+                alone = spare / (v + 1) + np.maximum(types - k[np.minimum(types, 3).astype(np.int64)], 0) / max(kinds, 1)
                 rest = (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1)
                 u, w = at[:len(before)], at[len(before):]
                 hashes = pair_hashes(before, word)

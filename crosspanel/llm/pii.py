@@ -95,20 +95,32 @@ def _numbered(text: Column, kind: str) -> Column:
     return F.when(held, values).otherwise(none)
 
 
-def _placed(good: Column, values: Column, gaps: Column, kind: str) -> Column:
-    """Spans of the confirmed matches: starts are sums of lengths, by blocks so that many matches stay cheap."""
+_BLOCK = 256
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, n: acc + n)
+
+
+def _lengths(values: Column, gaps: Column) -> Column:
+    """Lengths of each match with the gap before it."""
+    return F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.length(g) + F.length(v.value))
+
+
+def _sums(lengths: Column) -> Column:
+    """Sums by blocks, so that a start needs few additions however many matches a text has."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / _BLOCK).cast("int")),
+                       lambda b: _sum(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+
+def _placed(good: Column, gaps: Column, lengths: Column, sums: Column, kind: str) -> Column:
+    """Spans of the confirmed matches."""
     _, _, base, words = KINDS[kind]
-    block = 256
-    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.length(g) + F.length(v.value))
-    add = lambda acc, n: acc + n
-    sums = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(values) / block).cast("int")),
-        lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), F.lit(0), add))
 
     def span(m: Column) -> Column:
-        whole = F.floor(m.i / block).cast("int")
-        before = F.aggregate(F.slice(sums, F.lit(1), whole), F.lit(0), add) \
-            + F.aggregate(F.slice(lengths, whole * block + 1, m.i - whole * block), F.lit(0), add)
+        whole = F.floor(m.i / _BLOCK).cast("int")
+        before = _sum(F.slice(sums, F.lit(1), whole)) + _sum(
+            F.slice(lengths, whole * _BLOCK + 1, m.i - whole * _BLOCK))
         start = before + F.length(F.get(gaps, m.i))
         near = F.lower(F.concat(
             F.right(F.get(gaps, m.i), F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(F.get(gaps, m.i + 1), F.lit(CONTEXT_CHARS))))
@@ -131,9 +143,11 @@ def find_personal_data(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -
     out = out.withColumns({f"good_{k}": F.filter(f"all_{k}", _confirmed(k)) for k in kinds})
     out = out.withColumns({f"gaps_{k}": F.when(
         F.size(f"good_{k}") > 0, F.split("text", KINDS[k][0], -1)) for k in kinds})
+    out = out.withColumns({f"lengths_{k}": _lengths(F.col(f"all_{k}"), F.col(f"gaps_{k}")) for k in kinds})
+    out = out.withColumns({f"sums_{k}": _sums(F.col(f"lengths_{k}")) for k in kinds})
     none = F.array().cast(_SPANS)
-    placed = [F.when(F.size(f"good_{k}") > 0, _placed(F.col(f"good_{k}"), F.col(f"all_{k}"), F.col(f"gaps_{k}"), k))
-              .otherwise(none) for k in kinds]
+    placed = [F.when(F.size(f"good_{k}") > 0, _placed(
+        *(F.col(f"{c}_{k}") for c in ("good", "gaps", "lengths", "sums")), k)).otherwise(none) for k in kinds]
     sure = F.filter(F.concat(*placed), lambda s: s.kind.isin(*BASE) | (s.score >= MIN_SCORE))
     return out.select("doc_id", F.array_sort(sure).alias("spans"))
 
@@ -143,18 +157,31 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _without(kind: str):
+    """A text with the kind's confirmed matches replaced."""
+    def rebuilt(gaps: Column, matches: Column) -> Column:
+        kept = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, _masked(kind))
+        return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
+
+    def body(text: Column) -> Column:
+        return _let(_numbered(text, kind), lambda matches: F.when(
+            F.exists(matches, _confirmed(kind)),
+            _let(F.split(text, KINDS[kind][0], -1), lambda gaps: rebuilt(gaps, matches))).otherwise(text))
+    return body
+
+
 def mask(docs: DataFrame, kinds: tuple[str, ...] = ("iban", "email", "ip", "card", "phone")) -> DataFrame:
     """``docs`` with confirmed personal data in ``text`` replaced by [KIND]; n_chars, where there is one, follows."""
-    out = docs
+    text = F.col("text").cast("string")
     for k in kinds:
-        out = out.withColumn("__all", _numbered(F.col("text"), k))
-        out = out.withColumn("__any", F.exists("__all", _confirmed(k)))
-        gaps = F.split("text", KINDS[k][0], -1)
-        put = F.zip_with(F.slice(gaps, F.lit(1), F.size("__all")), F.col("__all"), _masked(k))
-        out = out.withColumn("text", F.when(F.col("__any"), F.concat(
-            F.array_join(put, ""), F.element_at(gaps, -1))).otherwise(F.col("text"))).drop("__all", "__any")
+        text = _let(text, _without(k))
+    out = docs.withColumn("text", text)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = F.length("text").cast(kind)
+        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), changed).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
