@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from itertools import islice
 
@@ -38,7 +40,9 @@ from crosspanel.llm.graph import staged
 from crosspanel.llm.text import Remembered, byte_rows
 
 CAPACITY, END = 2048, 0
-_BATCH_CHUNKS = 20_000
+_BATCH_CHUNKS, _LINE = 20_000, 128
+#: Pieces that the tokenizer's first split makes of ASCII and Latin-1: runs of letters, digits, runs of other signs.
+_PARTS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 def _encoded(tokenizer: Tokenizer):
@@ -49,12 +53,38 @@ def _encoded(tokenizer: Tokenizer):
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
 
+    closes = np.zeros(tokenizer.get_vocab_size(), bool)
+    closes[[k for piece, k in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def alone(chunks: list[bytes]) -> list[bytes]:
+        made = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in made]
+
     def make(chunks: list[bytes]) -> list[bytes]:
-        made = []
-        for k in range(0, len(chunks), _BATCH_CHUNKS):
-            some = [c.decode() for c in chunks[k:k + _BATCH_CHUNKS]]
-            made += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        return made
+        """Plain chunks many at a time, parted again where pieces end a part; the rest one by one."""
+        made = {}
+        plain, parts, other = [], [], []
+        for c in chunks:
+            found = _PARTS.findall(c)
+            if sum(map(len, found)) == len(c) and b"<|" not in c:
+                plain.append(c)
+                parts.append(len(found))
+            else:
+                other.append(c)
+        lines = [slice(k, k + _LINE) for k in range(0, len(plain), _LINE)]
+        texts = [b" ".join(plain[x]).decode() for x in lines]
+        for x, line in zip(lines, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(line.ids, "<u4")
+            ends, last = 4 * (np.flatnonzero(closes[ids]) + 1), np.cumsum(parts[x])
+            if len(ends) == last[-1]:
+                raw, ends = ids.tobytes(), ends[last - 1].tolist()
+                made.update((c, raw[i:j]) for c, i, j in zip(plain[x], [0, *ends], ends))
+            else:
+                other += plain[x]
+        for k in range(0, len(other), _BATCH_CHUNKS):
+            some = other[k:k + _BATCH_CHUNKS]
+            made.update(zip(some, alone(some)))
+        return [made[c] for c in chunks]
     return Remembered(make)
 
 
@@ -144,7 +174,25 @@ def nonnegative(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, target: np
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Sequences as ((length, times), ...) with how often each is made; together they use up the histogram."""
+    """Sequences as ((length, times), ...) with how often each is made; together they use up the histogram.
+
+    Exact patterns may use up the short pieces that long ones need, so smaller
+    shares of the fitted counts are tried too, and the plan with the fewest
+    sequences is taken; the first that leaves no room to spare ends the search.
+    """
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best, fewest = [], None
+    for share in (1.0, 0.9, 0.7, 0.5, 0.3, 0.1, 0.0):
+        made = _planned(histogram, capacity, share)
+        n = sum(times for _, times in made)
+        if fewest is None or n < fewest:
+            best, fewest = made, n
+        if n <= least:
+            break
+    return best
+
+
+def _planned(histogram: dict[int, int], capacity: int, share: float):
     left = np.zeros(capacity + 1, np.int64)
     for n, count in histogram.items():
         left[n] = count
@@ -165,7 +213,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
         weights = nonnegative(rows, cols, vals.astype(float), left.astype(float), len(candidates))
         for k in np.argsort(-weights, kind="stable").tolist():
             pattern = Counter(candidates[k])
-            times = min(int(weights[k]), *(int(left[n]) // m for n, m in pattern.items()))
+            times = min(int(share * weights[k]), *(int(left[n]) // m for n, m in pattern.items()))
             if times > 0:
                 take(pattern, times)
     # Residuals, longest first: fill up with the longest that fits, and repeat while counts last.
