@@ -135,8 +135,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
-def patterns(lengths: np.ndarray, capacity: int, most: int = 4000) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths that fill a sequence exactly, else as far as two lengths can."""
+def patterns(lengths: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
+    """Patterns of two to four lengths that fill a sequence exactly, else as far as two lengths can.
+
+    Each length has at most about 25 in which it is the longest, and all are kept.
+    """
     there = np.zeros(capacity + 1, bool)
     there[lengths] = True
     # The longest length that fits into each room.
@@ -153,8 +156,7 @@ def patterns(lengths: np.ndarray, capacity: int, most: int = 4000) -> list[tuple
                 left = room - b - c
                 pattern = (a, b, c) + ((int(fit[left]),) if left and fit[left] else ())
                 found[tuple(sorted(pattern, reverse=True))] = capacity - sum(pattern)
-    best = sorted(found, key=lambda p: (found[p], p))
-    return best[:most]
+    return sorted(found, key=lambda p: (found[p], p))
 
 
 def nonnegative(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, target: np.ndarray, width: int,
@@ -162,8 +164,8 @@ def nonnegative(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, target: np
     """min |A x - target| with x >= 0 for a sparse A, by accelerated projected gradients."""
     times = lambda x: np.bincount(rows, vals * x[cols], len(target))
     back = lambda r: np.bincount(cols, vals * r[rows], width)
-    # |A|_1 |A|_inf bounds the squared norm.
-    bound = np.bincount(rows, vals, len(target)).max() * np.bincount(cols, vals, width).max()
+    # The diagonal of A'A 1 bounds A'A where A has no negative entry.
+    bound = np.maximum(back(times(np.ones(width))), 1e-12)
     x = y = np.zeros(width)
     t = 1.0
     for _ in range(steps):
@@ -179,11 +181,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     Exact patterns may use up the short pieces that long ones need, so smaller
     shares of the fitted counts are tried too, and the plan with the fewest
     sequences is taken; the first that leaves no room to spare ends the search.
+    A share so small that nothing of a fit is left of it isn't tried.
     """
     least = -(-sum(n * c for n, c in histogram.items()) // capacity)
-    best, fewest = [], None
-    for share in (1.0, 0.9, 0.7, 0.5, 0.3, 0.1, 0.0):
-        made = _planned(histogram, capacity, share)
+    fit = fitted(histogram, capacity)
+    best, fewest, kept = [], None, False
+    for share in (1.0, 0.9, 0.7, 0.5, 0.3, 0.1):
+        made, n_fitted = _planned(histogram, capacity, fit, share)
+        if kept and not n_fitted:
+            break
+        kept = kept or n_fitted > 0
         n = sum(times for _, times in made)
         if fewest is None or n < fewest:
             best, fewest = made, n
@@ -192,7 +199,23 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return best
 
 
-def _planned(histogram: dict[int, int], capacity: int, share: float):
+def fitted(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, float]]:
+    """Patterns that fill a sequence and how often the fit repeats each, most often first."""
+    left = np.zeros(capacity + 1)
+    for n, count in histogram.items():
+        if n < capacity:
+            left[n] = count
+    candidates = [p for p in patterns(np.flatnonzero(left), capacity) if sum(p) == capacity]
+    if not candidates:
+        return []
+    entries = [(n, k, m) for k, p in enumerate(candidates) for n, m in Counter(p).items()]
+    rows, cols, vals = (np.array(c) for c in zip(*entries))
+    weights = nonnegative(rows, cols, vals.astype(float), left, len(candidates))
+    return [(Counter(candidates[k]), float(weights[k])) for k in np.argsort(-weights, kind="stable").tolist()]
+
+
+def _planned(histogram: dict[int, int], capacity: int, fit: list[tuple[Counter, float]], share: float):
+    """The sequences with a share of the fitted counts, and how many of them are fitted ones."""
     left = np.zeros(capacity + 1, np.int64)
     for n, count in histogram.items():
         left[n] = count
@@ -205,17 +228,12 @@ def _planned(histogram: dict[int, int], capacity: int, share: float):
 
     if left[capacity]:
         take({capacity: 1}, int(left[capacity]))
-    lengths = np.flatnonzero(left)
-    candidates = [p for p in patterns(lengths, capacity) if sum(p) == capacity]
-    if candidates:
-        entries = [(n, k, m) for k, p in enumerate(candidates) for n, m in Counter(p).items()]
-        rows, cols, vals = (np.array(c) for c in zip(*entries))
-        weights = nonnegative(rows, cols, vals.astype(float), left.astype(float), len(candidates))
-        for k in np.argsort(-weights, kind="stable").tolist():
-            pattern = Counter(candidates[k])
-            times = min(int(share * weights[k]), *(int(left[n]) // m for n, m in pattern.items()))
-            if times > 0:
-                take(pattern, times)
+    n_fitted = 0
+    for pattern, weight in fit:
+        times = min(int(share * weight), *(int(left[n]) // m for n, m in pattern.items()))
+        if times > 0:
+            take(pattern, times)
+            n_fitted += times
     # Residuals, longest first: fill up with the longest that fits, and repeat while counts last.
     heap = [-int(n) for n in np.flatnonzero(left)]
     heapq.heapify(heap)
@@ -238,7 +256,7 @@ def _planned(histogram: dict[int, int], capacity: int, share: float):
             pattern[n] += m
             room -= n * m
         take(pattern, min(int(left[n]) // m for n, m in pattern.items()))
-    return made
+    return made, n_fitted
 
 
 def runs(made: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:

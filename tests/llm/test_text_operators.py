@@ -160,6 +160,17 @@ def test_packing_plan():
         assert len(made) <= 8192
 
 
+def test_packing_fits_long_lengths():
+    """Where all lengths occur, the fit has patterns of every longest length and makes the plan."""
+    histogram = {n: 1000 for n in range(1, 2048)}
+    fit = packing.fitted(histogram, 2048)
+    assert {max(p) for p, _ in fit} >= set(range(1024, 2048))
+    assert sum(w for p, w in fit if max(p) > 1024) > 0.9 * 1000 * 1023
+    made = packing.plan(histogram)
+    patterns = {tuple(sorted(p.items())) for p, _ in fit}
+    assert sum(t for p, t in made if tuple(sorted(p)) in patterns) > 0.9 * sum(t for _, t in made)
+
+
 def test_chunks_tokenize_alone():
     """The ids of a text are those of its space-separated chunks."""
     from tokenizers import Tokenizer
