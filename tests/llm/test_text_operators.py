@@ -213,6 +213,19 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language.identify(docs, language.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_keeps_rare_grams(spark):
+    """A language of one short row keeps its tree beside one of millions of grams."""
+    rng = np.random.default_rng(8)
+    rows = [("".join(map(chr, rng.integers(0x4E00, 0x9FFF, 60_000))), "zz") for _ in range(20)] * 2
+    rows += [("the cat and the hat", "aa")]
+    trees = language.train(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert sorted(trees) == ["aa", "zz"] and trees["aa"][1].sum() == 19
+    assert trees["zz"][1].sum() == 2 * 20 * 60_000 * 3
+    asked = spark.createDataFrame([(0, "the hat"), (1, rows[0][0][:50])], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(asked, trees).collect()}
+    assert [got[k].lang_pred for k in (0, 1)] == ["aa", "zz"]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     trees = language.train(docs.where(language.fold() != 2))
