@@ -1,13 +1,16 @@
-"""Interpolated modified Kneser-Ney bigram model counted in Spark (operator 10).
-
-Counting: each task hashes words, makes (previous, word) pairs with a start
-before and an end after every text, and sends sorted distinct pairs with counts
-to shards. A shard holds the pairs of its previous words; pairs of frequent
-previous words spread over all shards by the whole pair, so no word makes a
-shard large. A shard merges its blocks into one sorted array of pair hashes and
-counts, written as a file of the shared folder, and passes on sums by previous
-word (total and how many pairs occur once, twice, more) and by word (distinct
-previous words, count). Shards of words merge those into sorted word arrays.
+"""Interpolated modified Kneser-Ney model of any order counted in Spark (operator 10).
+
+Counting: each task hashes words, makes (context, word) grams with starts
+before and an end after every text, and sends sorted distinct grams with counts
+to shards. A shard holds the grams of its contexts; those of contexts made of
+frequent words only spread over all shards by the whole gram, so no context
+makes a shard large. A shard merges its blocks into one sorted array of gram
+hashes and counts and one of its contexts' sums (total and how many grams occur
+once, twice, more), files of the shared folder, and passes on each distinct gram
+without its first word to the shards of the next lower order, where these are
+the counts. Sums of spread contexts meet in shards of their own. The pairs pass
+on sums by previous word and by word (distinct previous words, count in the
+text), which shards of words merge into sorted word arrays.
 
 Scoring maps documents only: workers memory-map the arrays and look up sorted
 hashes. Nothing of the model passes through the driver but a handful of sums,
@@ -15,10 +18,13 @@ and the arrays grow with the text. Files are written under a temporary name and
 renamed, so a repeated or lost task leaves the same files. Workers map the
 arrays from ``spark.checkpoint.dir``, which must be a mounted folder.
 
-P(w | u) = (c(uw) - D(c)) / c(u) + g(u) P(w), P(w) from distinct previous words,
-interpolated with one share among the known words and one for all unknown ones.
-Three discounts follow from the counts of counts. After an unseen previous word
-P(w) alone counts. A null text is empty: one end token. Rows that repeat count each.
+P(w | u) = (c(uw) - D(c)) / c(u) + g(u) P(w | u without its first word), down to
+P(w) from distinct previous words, interpolated with one share among the known
+words and one for all unknown ones. Below the highest order c counts the
+different words before; an order has three discounts, from its counts of counts.
+A context never seen leaves the lower order alone. As many starts stand before a
+text as a context has words. A null text is empty: one end token. Rows that
+repeat count each.
 """
 
 from __future__ import annotations
@@ -59,6 +65,33 @@ def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before * _FOLD + word)
 
 
+def words_before(before: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """The ``order`` - 1 words before each word, nearest first; starts stand before a text."""
+    found = [before]
+    for _ in range(order - 2):
+        further = np.empty_like(before)
+        further[1:] = found[-1][:-1]
+        further[starts] = BEGIN
+        found.append(further)
+    return found
+
+
+def contexts(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the nearest one, two and so on of the words before."""
+    found = []
+    for n in range(len(words)):
+        made = words[n]
+        for x in words[:n][::-1]:
+            made = pair_hashes(made, x)
+        found.append(made)
+    return found
+
+
+def all_frequent(words: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
+    """Whether the nearest one, two and so on are all frequent words."""
+    return [*np.logical_and.accumulate([_among(x, frequent) for x in words])]
+
+
 def _among(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     if not len(chosen):
         return np.zeros(len(x), bool)
@@ -66,9 +99,9 @@ def _among(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return chosen[np.minimum(at, len(chosen) - 1)] == x
 
 
-def pair_shards(before: np.ndarray, hashes: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
-    """By previous word; the pairs of frequent ones by the pair."""
-    key = np.where(_among(before, frequent), hashes, mixed(before ^ _SPREAD))
+def gram_shards(context: np.ndarray, hashes: np.ndarray, spread: np.ndarray, shards: int) -> np.ndarray:
+    """By context; the grams of spread ones by the gram."""
+    key = np.where(spread, hashes, mixed(context ^ _SPREAD))
     return (key % np.uint64(shards)).astype(np.int64)
 
 
@@ -90,7 +123,8 @@ def _save(path: str, *columns: np.ndarray) -> None:
     os.replace(own, path)
 
 
-_PAIR_KINDS = (np.uint64, np.uint32)
+_GRAM_KINDS, _MANY_KINDS, MANY = (np.uint64, np.uint8), (np.uint64, np.uint32), 255
+_CONTEXT_KINDS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
 _WORD_KINDS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64)
 
 
@@ -112,25 +146,69 @@ def _blob(x: np.ndarray, kind) -> bytes:
     return x.astype(kind, copy=False).tobytes()
 
 
-def _count(frequent: np.ndarray, shards: int):
+_BLOCK = "shard long, stats binary, " + ", ".join(f"c{k} binary" for k in range(8))
+
+
+def _rows(rows: list[tuple], stats: np.ndarray | None = None) -> pa.Table:
+    """Rows (shard, columns as bytes); the first carries the stats."""
+    rows = [(x[0], stats.tobytes() if stats is not None and not i else b"", *x[1:], *[b""] * (9 - len(x)))
+            for i, x in enumerate(rows)]
+    columns = [*zip(*rows)] if rows else [()] * 10
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 9))],
+                    names=["shard", "stats", *(f"c{k}" for k in range(8))])
+
+
+def _packed(x: np.ndarray, kind) -> bytes:
+    """Numbers byte by byte, compressed, after their count."""
+    raw = x.astype(kind, copy=False).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def _unpacked(cell: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(cell[8:], n * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(-1)
+
+
+def _blocks(words: list[np.ndarray], spread: list[np.ndarray], hashes: np.ndarray, word: np.ndarray,
+            counts: tuple[np.ndarray, ...], shards: int) -> list[tuple]:
+    """Grams by shard and words before: the block's words, spread bits, run lengths, numbers of words, counts."""
+    shard = gram_shards(contexts(words)[-1], hashes, spread[-1], shards)
+    known, code = np.unique(np.concatenate([word, *words]), return_inverse=True)
+    code = code.reshape(len(words) + 1, -1)
+    order = np.lexsort((*code, shard))
+    code, counts, shard = code[:, order], [x[order] for x in counts], shard[order]
+    bits = sum(x.astype(np.uint8) << k for k, x in enumerate(spread))[order]
+    begins, rows = _runs(shard), []
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(shard)]):
+        own, at = np.unique(code[:, a:b], return_inverse=True)
+        at = at.reshape(len(words) + 1, -1)
+        first = np.flatnonzero(np.concatenate([[True], (at[1:, 1:] != at[1:, :-1]).any(0)]))
+        rows.append((int(shard[a]), _blob(known[own], np.uint64), _packed(bits[a:b][first], np.uint8),
+                     _packed(np.diff(first, append=b - a), np.uint32), _packed(at[0], np.uint32),
+                     _packed(at[1:, first].reshape(-1), np.uint32), *(_packed(x[a:b], np.uint32) for x in counts)))
+    return rows
+
+
+def _grams(table: pa.Table, n: int):
+    """Words before, word, spread bits and counts of all blocks."""
+    words, word, bits, counts = [], [], [], []
+    for row in zip(*(table.column(f"c{k}").to_pylist() for k in range(7))):
+        own, runs = np.frombuffer(row[0], np.uint64), _unpacked(row[2], np.uint32)
+        words.append(np.repeat(own[_unpacked(row[4], np.uint32)].reshape(n, -1), runs, axis=1))
+        word.append(own[_unpacked(row[3], np.uint32)])
+        bits.append(np.repeat(_unpacked(row[1], np.uint8), runs))
+        counts.append([_unpacked(x, np.uint32) for x in row[5:] if x])
+    return [*np.concatenate(words, axis=1)], np.concatenate(word), np.concatenate(bits), [np.concatenate(x) for x in zip(*counts)]
+
+
+def _count(frequent: np.ndarray, shards: int, order: int):
     def flush(buffer):
-        before, word = (np.concatenate(x) for x in zip(*buffer))
-        hashes = pair_hashes(before, word)
-        hashes, at, count = np.unique(hashes, return_index=True, return_counts=True)
-        before, word = before[at], word[at]
-        shard = pair_shards(before, hashes, frequent, shards)
-        order = np.lexsort((before, shard))
-        before, word, count, shard = before[order], word[order], count[order], shard[order]
-        begins = _runs(shard)
-        rows = []
-        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(shard)]):
-            first = _runs(before[a:b])
-            rows.append((int(shard[a]), _blob(before[a:b][first], np.uint64),
-                         _blob(np.diff(first, append=b - a), np.uint32), _blob(word[a:b], np.uint64),
-                         _blob(count[a:b], np.uint32)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))],
-            ["shard", "before", "runs", "word", "count"])
+        before, word = zip(*buffer)
+        before, word = [np.concatenate(x) for x in zip(*before)], np.concatenate(word)
+        hashes, at, count = np.unique(pair_hashes(contexts(before)[-1], word), return_index=True, return_counts=True)
+        before = [x[at] for x in before]
+        return _rows(_blocks(before, all_frequent(before, frequent), hashes, word[at], (count,), shards))
 
     def run(batches):
         buffer, held = [], 0
@@ -138,69 +216,107 @@ def _count(frequent: np.ndarray, shards: int):
             data, offsets = text_bytes(batch.column(0))
             for a, b in row_slices(offsets, SLICE):
                 part = offsets[a:b + 1]
-                before, word, _ = pairs(data[part[0]:part[-1]], part - part[0])
-                buffer.append((before, word))
+                before, word, starts = pairs(data[part[0]:part[-1]], part - part[0])
+                buffer.append((words_before(before, starts, order), word))
                 held += len(word)
                 if held >= BUFFERED:
-                    yield flush(buffer)
+                    yield from flush(buffer).to_batches()
                     buffer, held = [], 0
         if buffer:
-            yield flush(buffer)
+            yield from flush(buffer).to_batches()
     return run
 
 
-def _column(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _column(table: pa.Table, k: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(f"c{k}").to_pylist()), kind)
+
 
+def _stats(table: pa.Table, size: int) -> np.ndarray:
+    return sum((np.frombuffer(x, np.int64) for x in table.column("stats").to_pylist() if x), np.zeros(size, np.int64))
 
-def _merge_pairs(folder: str, words: int):
+
+def _sums(key: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Different keys, total of the counts, how many are one, two, more."""
+    order = np.argsort(key, kind="stable")
+    at, c = _runs(key[order]), count[order]
+    return [key[order][at], *(np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c > 2))]
+
+
+def _merge_sums(folder: str, level: int, shard: int, table: pa.Table) -> pa.Table:
+    """The sums of spread contexts, one file a shard."""
+    parts = [_column(table, k, np.uint64) for k in range(5)]
+    known, at = np.unique(parts[0], return_inverse=True)
+    sums = [np.bincount(at, x, len(known)) for x in parts[1:]]
+    _save(f"{folder}/spread{level}-{shard}", known, *(x.astype(k) for x, k in zip(sums, _CONTEXT_KINDS[1:])))
+    return _rows([])
+
+
+def _merge_grams(folder: str, level: int, top: int, shards: int, words: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        before = np.repeat(_column(table, "before", np.uint64), _column(table, "runs", np.uint32))
-        word, count = _column(table, "word", np.uint64), _column(table, "count", np.uint32)
-        hashes = pair_hashes(before, word)
+        if shard >= shards:
+            return _merge_sums(folder, level + 1, shard - shards, table)
+        before, word, bits, counts = _grams(table, level - 1)
+        count, raw = counts[0], counts[-1]
+        hashes = pair_hashes(contexts(before)[-1], word)
         order = np.argsort(hashes, kind="stable")
         begins = _runs(hashes[order])
-        count = np.add.reduceat(count[order].astype(np.int64), begins)
-        hashes, before, word = hashes[order][begins], before[order][begins], word[order][begins]
-        _save(f"{folder}/pairs-{shard}", hashes, np.minimum(count, 0xFFFFFFFF).astype(np.uint32))
-
-        order = np.argsort(before, kind="stable")
-        at = _runs(before[order])
-        c = count[order]
-        left = (before[order][at], *(np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c > 2)))
-        order = np.argsort(word, kind="stable")
-        at = _runs(word[order])
-        right = (word[order][at], np.diff(at, append=len(word)), np.add.reduceat(count[order], at))
-        of_left, of_right = word_shards(left[0], words), word_shards(right[0], words)
-        rows = []
-        for k in np.union1d(of_left, of_right).tolist():
-            l, r = of_left == k, of_right == k
-            rows.append((k, *(_blob(x[l], np.uint64) for x in left), *(_blob(x[r], np.uint64) for x in right)))
-        counts = [[int((count == n).sum()) if not i else 0 for i in range(len(rows))] for n in (1, 2, 3, 4)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 8))]
-                        + [pa.array(c, pa.int64()) for c in counts], names=_SUMS)
+        count, raw = (np.add.reduceat(x[order].astype(np.int64), begins) for x in (count, raw))
+        at = order[begins]
+        hashes, word, bits, before = hashes[at], word[at], bits[at], [x[at] for x in before]
+        context, many = contexts(before), count >= MANY
+        _save(f"{folder}/grams{level}-{shard}", hashes, np.minimum(count, MANY).astype(np.uint8))
+        _save(f"{folder}/many{level}-{shard}", hashes[many], np.minimum(count[many], 0xFFFFFFFF).astype(np.uint32))
+        stats = _stats(table, 4 * (top - 1))
+        stats[4 * (level - 2):4 * (level - 1)] += [int((count == n).sum()) for n in (1, 2, 3, 4)]
+
+        left = _sums(context[-1], count)
+        if level == 2:
+            order = np.argsort(word, kind="stable")
+            at = _runs(word[order])
+            right = (word[order][at], np.diff(at, append=len(word)), np.add.reduceat(raw[order], at))
+            of_left, of_right = word_shards(left[0], words), word_shards(right[0], words)
+            return _rows([(k, *(_blob(x[of_left == k], np.uint64) for x in left),
+                           *(_blob(x[of_right == k], np.uint64) for x in right))
+                          for k in np.union1d(of_left, of_right).tolist()], stats)
+        spread = [(bits >> k & 1).astype(bool) for k in range(level - 1)]
+        far = _among(left[0], np.unique(context[-1][spread[-1]]))
+        _save(f"{folder}/contexts{level}-{shard}", *(x[~far].astype(k) for x, k in zip(left, _CONTEXT_KINDS)))
+        far_sums = [x[far] for x in left]
+        of = word_shards(far_sums[0], words)
+        # The grams without their first word: one each, and how often they stand in the text.
+        shorter = pair_hashes(context[-2], word)
+        order = np.argsort(shorter, kind="stable")
+        begins = _runs(shorter[order])
+        at = order[begins]
+        kinds, raw = np.diff(begins, append=len(order)), np.minimum(np.add.reduceat(raw[order], begins), 0xFFFFFFFF)
+        rows = _blocks([x[at] for x in before[:-1]], [x[at] for x in spread[:-1]], shorter[at], word[at], (kinds, raw), shards)
+        rows += [(shards + k, *(_blob(x[of == k], np.uint64) for x in far_sums)) for k in np.unique(of).tolist()]
+        return _rows(rows, stats)
     return run
 
 
-_SUMS = ["shard", "before", "total", "once", "twice", "more", "word", "kinds", "count", "n1", "n2", "n3", "n4"]
-_STATS = ["n1", "n2", "n3", "n4", "k1", "k2", "k3", "k4", "words", "tokens", "kinds"]
+_STATS = ["k1", "k2", "k3", "k4", "words", "tokens", "kinds"]
+
+
+def _names(top: int) -> list[str]:
+    return [f"n{k}_{n}" for k in range(2, top + 1) for n in (1, 2, 3, 4)] + _STATS
 
 
-def _merge_words(folder: str):
+def _merge_words(folder: str, top: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        left = [_column(table, c, np.uint64) for c in ("before", "total", "once", "twice", "more")]
-        right = [_column(table, c, np.uint64) for c in ("word", "kinds", "count")]
+        left = [_column(table, k, np.uint64) for k in range(5)]
+        right = [_column(table, k, np.uint64) for k in range(5, 8)]
         known, at = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
         sums = [np.bincount(at[:len(left[0])], x, len(known)).astype(np.int64) for x in left[1:]]
         sums += [np.bincount(at[len(left[0]):], x, len(known)).astype(np.int64) for x in right[1:]]
         _save(f"{folder}/words-{shard}", known, *(x.astype(k) for x, k in zip(sums, _WORD_KINDS[1:])))
         kinds, count = sums[4], sums[5]
-        stats = [sum(table.column(f"n{n}").to_pylist()) for n in (1, 2, 3, 4)]
+        stats = _stats(table, 4 * (top - 1)).tolist()
         stats += [int((kinds == n).sum()) for n in (1, 2, 3, 4)]
         stats += [int((count > 0).sum()), int(count.sum()), int(kinds.sum())]
-        return pa.table([pa.array([x], pa.int64()) for x in stats], names=_STATS)
+        return pa.table([pa.array([x], pa.int64()) for x in stats], names=_names(top))
     return run
 
 
@@ -231,24 +347,26 @@ def _frequent(texts: DataFrame, size: int, share: float) -> np.ndarray:
     return np.sort(found["word"].to_numpy().view(np.uint64)) if len(found) else np.zeros(0, np.uint64)
 
 
-def train(texts: DataFrame, shard_pairs: int = SHARD_PAIRS, most_frequent: int = FREQUENT) -> dict:
+def train(texts: DataFrame, shard_pairs: int = SHARD_PAIRS, most_frequent: int = FREQUENT, order: int = 2) -> dict:
     """Count the rows of ``texts(text)`` into arrays of the shared folder; returns where they are and their sums."""
+    if not 2 <= order <= 9:
+        raise ValueError(f"order {order} is not between 2 and 9")
     texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(24, int(size / 7 // shard_pairs))
     words = max(12, shards // 4)
     share = max(1 / (8 * shards), 1 / most_frequent)
     folder = shared_folder(texts.sparkSession)
-    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size, share))
-    blocks = texts.mapInArrow(
-        lambda batches: _count(sent.value, shards)(batches),
-        "shard long, before binary, runs binary, word binary, count binary")
-    kinds = ["long", *["binary"] * 8, *["long"] * 4]
-    sums = blocks.groupBy("shard").applyInArrow(
-        _merge_pairs(folder, words), ", ".join(f"{c} {k}" for c, k in zip(_SUMS, kinds)))
-    stats = sums.groupBy("shard").applyInArrow(_merge_words(folder), ", ".join(f"{c} long" for c in _STATS))
-    total = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS)).first().asDict()
-    return {"folder": folder, "shards": shards, "word_shards": words, "frequent": sent, **total}
+    # The start stands before every text, in no text.
+    frequent = np.union1d(_frequent(texts, size, share), np.array([BEGIN]))
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+    sums = texts.mapInArrow(lambda batches: _count(sent.value, shards, order)(batches), _BLOCK)
+    for level in range(order, 1, -1):
+        sums = sums.groupBy("shard").applyInArrow(_merge_grams(folder, level, order, shards, words), _BLOCK)
+    names = _names(order)
+    stats = sums.groupBy("shard").applyInArrow(_merge_words(folder, order), ", ".join(f"{c} long" for c in names))
+    total = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first().asDict()
+    return {"folder": folder, "shards": shards, "word_shards": words, "frequent": sent, "order": order, **total}
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -287,7 +405,9 @@ def _score(model: dict, text: int):
                 return maps[kind, k]
             return at
 
-        d, k = discounts(*(model[f"n{i}"] for i in (1, 2, 3, 4))), discounts(*(model[f"k{i}"] for i in (1, 2, 3, 4)))
+        top, shards, word_shards_ = model["order"], model["shards"], model["word_shards"]
+        d = {x: discounts(*(model[f"n{x}_{i}"] for i in (1, 2, 3, 4))) for x in range(2, top + 1)}
+        k = discounts(*(model[f"k{i}"] for i in (1, 2, 3, 4)))
         n, v, kinds = model["tokens"], model["words"], model["kinds"]
         several = v - model["k1"] - model["k2"]
         spare = (k[1] * model["k1"] + k[2] * model["k2"] + k[3] * several) / kinds if kinds else 1.0
@@ -300,13 +420,30 @@ def _score(model: dict, text: int):
                 total, once, twice, more, types, count = _looked_up(
                     known, word_shards(known, model["word_shards"]), opened("words", _WORD_KINDS), 6)
                 alone = spare / (v + 1) + np.maximum(types - k[np.minimum(types, 3).astype(np.int64)], 0) / max(kinds, 1)
-                rest = (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1)
                 u, w = at[:len(before)], at[len(before):]
-                hashes = pair_hashes(before, word)
-                c, = _looked_up(hashes, pair_shards(before, hashes, frequent, model["shards"]),
-                                opened("pairs", _PAIR_KINDS), 1)
-                p = np.where(total[u] > 0, np.maximum(
-                    c - d[np.minimum(c, 3).astype(np.int64)], 0) / np.maximum(total[u], 1) + rest[u] * alone[w], alone[w])
+                lags = words_before(before, starts, top)
+                context, spread = contexts(lags), all_frequent(lags, frequent)
+                p = alone[w]
+                for level in range(2, top + 1):
+                    c_, far = context[level - 2], spread[level - 2]
+                    if level == 2:
+                        sums = [x[u] for x in (total, once, twice, more)]
+                    else:
+                        sums = [np.zeros(len(c_)) for _ in range(4)]
+                        for kind, rows, of in (
+                                (f"contexts{level}", np.flatnonzero(~far), lambda x: gram_shards(x, x, np.zeros(len(x), bool), shards)),
+                                (f"spread{level}", np.flatnonzero(far), lambda x: word_shards(x, word_shards_))):
+                            found = _looked_up(c_[rows], of(c_[rows]), opened(kind, _CONTEXT_KINDS), 4)
+                            for s, f in zip(sums, found):
+                                s[rows] = f
+                    hashes, dk = pair_hashes(c_, word), d[level]
+                    of = gram_shards(c_, hashes, far, shards)
+                    c, = _looked_up(hashes, of, opened(f"grams{level}", _GRAM_KINDS), 1)
+                    many = np.flatnonzero(c == MANY)
+                    c[many], = _looked_up(hashes[many], of[many], opened(f"many{level}", _MANY_KINDS), 1)
+                    all_, whole = sums[0], np.maximum(sums[0], 1)
+                    rest = (dk[1] * sums[1] + dk[2] * sums[2] + dk[3] * sums[3]) / whole
+                    p = np.where(all_ > 0, np.maximum(c - dk[np.minimum(c, 3).astype(np.int64)], 0) / whole + rest * p, p)
                 base = np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1)))
                 add = lambda x: pa.array(np.add.reduceat(x, starts))
                 yield pa.RecordBatch.from_arrays(

@@ -103,7 +103,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs.where(kneser_ney.fold() != 0))
+    model = kneser_ney.train(docs.where(kneser_ney.fold() != 0), order=3)
     return kneser_ney.log_probabilities(docs, model).select(
         "doc_id", F.coalesce(kneser_ney.fold() == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -249,6 +249,49 @@ def test_language_model(spark, texts):
     assert {(r.n_known, r.score) for r in kneser_ney.log_probabilities(plain.documents(spark, ["a b"]), empty).collect()} == {(0, 0.0)}
 
 
+def plain_scores(train, rows, order):
+    """log10 of each text's probability, by recursion over the orders."""
+    from collections import Counter, defaultdict
+    padded = lambda t: ["\0begin"] * (order - 1) + [*plain.white_words(t), "\0end"]
+    counts = {order: Counter(tuple(s[i:i + order]) for s in map(padded, train) for i in range(len(s) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d, after = {}, defaultdict(list)
+    for k, some in counts.items():
+        d[k] = kneser_ney.discounts(*(sum(c == n for c in some.values()) for n in (1, 2, 3, 4)))
+        for g, c in some.items():
+            after[g[:-1]].append(c)
+
+    def p(context, w):
+        if not context:
+            seen, k, lower = after[()], 1, 1 / (len(counts[1]) + 1)
+        else:
+            seen, k, lower = after.get(context), len(context) + 1, p(context[1:], w)
+        if not seen:
+            return lower
+        c = counts[k][(*context, w)]
+        return (max(c - d[k][min(c, 3)], 0) + sum(d[k][min(x, 3)] for x in seen) * lower) / sum(seen)
+    return [sum(math.log10(p(tuple(s[i:i + order - 1]), s[i + order - 1])) for i in range(len(s) - order + 1))
+            for s in map(padded, rows)], p, [g[0] for g in counts[1]]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("spread", [True, False])
+def test_language_model_orders(spark, texts, monkeypatch, order, spread):
+    if not spread:
+        monkeypatch.setattr(kneser_ney, "_frequent", lambda *_: np.zeros(0, np.uint64))
+        monkeypatch.setattr(kneser_ney, "MANY", 3)
+    some = [t for t in texts if t is None or len(t) < 2000]
+    model = kneser_ney.train(plain.documents(spark, some).repartition(3), order=order)
+    asked = [*some, "alpha unseen beta", "the of in the of", None]
+    got = sorted(kneser_ney.log_probabilities(plain.documents(spark, asked), model).collect())
+    want, p, known = plain_scores(some, asked, order)
+    np.testing.assert_allclose([r.score for r in got], want, rtol=1e-9)
+    context = ("\0begin",) * (order - 1)
+    assert math.isclose(sum(p(context, w) for w in [*known, "never seen"]), 1, rel_tol=1e-9)
+    assert model["tokens"] == sum(len(plain.white_words(t)) + 1 for t in some)
+
+
 def test_frequent_words_spread(spark, texts, monkeypatch):
     """Spreading every previous word over the shards leaves the scores as they are."""
     rows = plain.documents(spark, [t for t in texts if t is None or len(t) < 2000])
