@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -15,6 +17,9 @@ from crosspanel.operators.folds import date_index, fold_dates, inner_folds, walk
 from crosspanel.operators.linear import MIN_TRAIN_ROWS, prepare
 from crosspanel.session import stage
 
+#: Fits whose jobs the driver submits side by side.
+FITS_AT_ONCE = 4
+
 # Leaves of the two grid sizes map to tree depth.
 DEPTH_OF_LEAVES = {7: 3, 15: 4, 31: 5}
 DEFAULT_CONFIG = (15, 0.03, 50)
@@ -33,8 +38,17 @@ def _fit_predict(rows: DataFrame, days: DataFrame, test_days: DataFrame, config,
     train = rows.join(days, "week_ending_friday", "left_semi")
     model = learner(config, trees).fit(train)
     test = rows.join(test_days, "week_ending_friday", "left_semi")
-    return model, model.transform(test).select(
-        "week_ending_friday", "ticker", TARGET, F.col("_pred").alias("pred_gbt"))
+    pred = model.transform(test).select("week_ending_friday", "ticker", TARGET, F.col("_pred").alias("pred_gbt"))
+    return [float(g) for g in model.featureImportances.toArray()], stage(pred, "fold-predictions")
+
+
+def _fit_all(rows: DataFrame, fits: list[tuple], trees: int) -> list[tuple[list[float], DataFrame]]:
+    """Importances and staged predictions of every (train days, test days, config), in order."""
+    spark = rows.sparkSession
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        # A thread takes over the caller's job properties, so each task has a copy of its own.
+        made = [pool.submit(inheritable_thread_target(spark)(_fit_predict), rows, *fit, trees) for fit in fits]
+        return [m.result() for m in made]
 
 
 def _spans(rows: DataFrame, dates: DataFrame, folds: DataFrame):
@@ -49,7 +63,7 @@ def _spans(rows: DataFrame, dates: DataFrame, folds: DataFrame):
 
 
 def _assembled(features: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="_x").transform(prepare(features, columns))
+    return stage(VectorAssembler(inputCols=columns, outputCol="_x").transform(prepare(features, columns)), "assembled")
 
 
 def walk_forward_gbt(features: DataFrame, n_folds: int = 8, min_train: int = 104, purge: int = 1,
@@ -61,10 +75,11 @@ def walk_forward_gbt(features: DataFrame, n_folds: int = 8, min_train: int = 104
     dates = stage(date_index(rows), "dates")
     folds = stage(walk_forward(dates, n_folds, min_train, purge, embargo), "folds")
     parts, gains = [], []
-    for key, train, test in _spans(rows, dates, folds):
-        model, pred = _fit_predict(rows, train, test, DEFAULT_CONFIG, trees)
+    spans = [*_spans(rows, dates, folds)]
+    fitted = _fit_all(rows, [(train, test, DEFAULT_CONFIG) for _, train, test in spans], trees)
+    for (key, *_), (shares, pred) in zip(spans, fitted):
         parts.append(pred.withColumn("fold", F.lit(key["fold"])))
-        gains += [(key["fold"], i, float(g)) for i, g in enumerate(model.featureImportances.toArray())]
+        gains += [(key["fold"], i, g) for i, g in enumerate(shares)]
     importance = rows.sparkSession.createDataFrame(gains, "fold int, ordinal int, gain double")
     return reduce(DataFrame.unionByName, parts), importance
 
@@ -78,26 +93,22 @@ def nested_gbt(features: DataFrame, n_folds: int = 6, n_inner: int = 3, min_trai
     dates = stage(date_index(rows), "dates")
     outer = stage(walk_forward(dates, n_folds, min_train, purge, embargo), "folds")
     inner = stage(inner_folds(outer, n_inner, purge, embargo), "inner-folds")
-    tried: dict[int, DataFrame] = {}
-    for key, train, test in _spans(rows, dates, inner):
-        for i, config in enumerate(grid):
-            _, pred = _fit_predict(rows, train, test, config, trees)
-            pred = pred.select("*", F.lit(key["fold"]).alias("fold"), F.lit(key["inner"]).alias("inner"),
-                               F.lit(i).alias("config"))
-            tried[len(tried)] = pred
+    trials = [(key, i, (train, test, config)) for key, train, test in _spans(rows, dates, inner)
+              for i, config in enumerate(grid)]
+    tried = [pred.select("*", F.lit(key["fold"]).alias("fold"), F.lit(key["inner"]).alias("inner"), F.lit(i).alias("config"))
+             for (key, i, _), (_, pred) in zip(trials, _fit_all(rows, [fit for *_, fit in trials], trees))]
     best: dict[int, int] = {}
     if tried:
-        all_tried = stage(reduce(DataFrame.unionByName, tried.values()), "inner-predictions")
+        all_tried = stage(reduce(DataFrame.unionByName, tried), "inner-predictions")
         scores = (rank_ic(all_tried, "pred_gbt", ["fold", "inner", "config"])
                   .groupBy("fold", "inner", "config").agg(F.avg("ic").alias("ic"))
                   .groupBy("fold", "config").agg(F.avg("ic").alias("score"))
                   .groupBy("fold").agg(F.min(F.struct((-F.round("score", 12)).alias("loss"), "config")).alias("b")))
         best = {r["fold"]: r["b"]["config"] for r in scores.collect()}   # a row per fold
-    parts, chosen = [], []
-    for key, train, test in _spans(rows, dates, outer):
-        config = grid[best.get(key["fold"], 0)]
-        chosen.append((key["fold"],) + tuple(config))
-        parts.append(_fit_predict(rows, train, test, config, trees)[1].withColumn("fold", F.lit(key["fold"])))
+    spans = [(key["fold"], grid[best.get(key["fold"], 0)], train, test) for key, train, test in _spans(rows, dates, outer)]
+    chosen = [(fold,) + tuple(config) for fold, config, *_ in spans]
+    fitted = _fit_all(rows, [(train, test, config) for _, config, train, test in spans], trees)
+    parts = [pred.withColumn("fold", F.lit(fold)) for (fold, *_), (_, pred) in zip(spans, fitted)]
     return reduce(DataFrame.unionByName, parts), chosen
 
 

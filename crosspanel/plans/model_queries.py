@@ -143,7 +143,13 @@ def m03(spark, sf):
 
 @query("m04_gbt_walk_forward")
 def m04(spark, sf):
-    preds, _ = B.walk_forward_gbt(T.ranked_features(spark, sf), n_folds=2, trees=5)
+    preds, _ = B.walk_forward_gbt(T.ranked_features(spark, sf))
+    return preds
+
+
+@query("m05_nested_gbt")
+def m05_gbt(spark, sf):
+    preds, _ = B.nested_gbt(T.ranked_features(spark, sf))
     return preds
 
 
@@ -241,7 +247,7 @@ def m08(spark, sf):
 
 @query("m08_gbt_importance")
 def m08_gbt(spark, sf):
-    _, importance = B.walk_forward_gbt(T.ranked_features(spark, sf), n_folds=2, trees=5)
+    _, importance = B.walk_forward_gbt(T.ranked_features(spark, sf))
     return rounded(B.importance_table(importance))
 
 

@@ -118,6 +118,20 @@ def test_default_trial_count(spark):
     assert row.total_fits == 342 and row.nonzero_coefficients == 0 and row.external_retained == 0
 
 
+def test_boosting_queries_take_the_defaults(monkeypatch):
+    """The registered queries cut neither folds nor trees nor the grid."""
+    from crosspanel.plans import catalogue, model_queries
+    asked = []
+    monkeypatch.setattr(model_queries.T, "ranked_features", lambda *_: "rows")
+    for f in ("walk_forward_gbt", "nested_gbt"):
+        monkeypatch.setattr(model_queries.B, f, lambda *a, f=f, **k: (asked.append((f, a, k)), None))
+    monkeypatch.setattr(model_queries.B, "importance_table", lambda x: x)
+    monkeypatch.setattr(model_queries, "rounded", lambda x: x)
+    for name in ("m04_gbt_walk_forward", "m08_gbt_importance", "m05_nested_gbt"):
+        catalogue.QUERIES[name](None, "")
+    assert asked == [(f, ("rows",), {}) for f in ("walk_forward_gbt", "walk_forward_gbt", "nested_gbt")]
+
+
 def test_boosting(rows):
     _, df = rows
     preds, importance = B.walk_forward_gbt(df, 2, 40, trees=3)
