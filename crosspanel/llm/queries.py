@@ -47,8 +47,9 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @_query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = token_counts.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary)
+    path = tokenizer_path("piece_bpe_32k.model")
+    return token_counts.token_counts(
+        _table(spark, sf_dir, "documents"), token_counts.sentencepiece_vocabulary(path), token_counts.has_byte_pieces(path))
 
 
 @_query(oracles.PERSONAL_DATA)

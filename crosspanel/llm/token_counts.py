@@ -5,7 +5,8 @@ Viterbi recursion carries the best score and how many pieces it took, nothing to
 trace back. Ties go as in the tokenizer: a path replaces another only if it is
 better, and starts are tried from the left, so the longest last piece wins. A
 character no piece covers alone is unknown, ten below the worst score; unknown
-neighbours are one piece.
+neighbours are one piece, or, where the model has byte pieces, each is as many
+pieces as it has bytes in UTF-8 (its score stays that of an unknown one).
 
 White space: a space becomes the mark U+2581, one more goes in front of the
 text. A text is cut where a mark follows another character; if a piece of the
@@ -35,6 +36,13 @@ def sentencepiece_vocabulary(path: str) -> list[tuple[str, float]]:
             if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
 
 
+def has_byte_pieces(path: str) -> bool:
+    """Whether a model file spells characters it doesn't cover in bytes."""
+    from sentencepiece import SentencePieceProcessor
+    model = SentencePieceProcessor(model_file=path)
+    return any(model.is_byte(k) for k in range(model.get_piece_size()))
+
+
 def automaton(vocabulary: list[tuple[str, float]]) -> tuple[ahocorasick.Automaton, float]:
     """The automaton of the pieces and the score of an unknown character."""
     pieces = ahocorasick.Automaton()
@@ -44,7 +52,7 @@ def automaton(vocabulary: list[tuple[str, float]]) -> tuple[ahocorasick.Automato
     return pieces, min(score for _, score in vocabulary) - PENALTY
 
 
-def count(pieces: ahocorasick.Automaton, unknown: float, text: str) -> tuple[int, float]:
+def count(pieces: ahocorasick.Automaton, unknown: float, text: str, byte_pieces: bool = False) -> tuple[int, float]:
     """How many pieces the best path takes, and its score."""
     n = len(text)
     ends: list[list] = [[] for _ in range(n + 1)]
@@ -64,18 +72,19 @@ def count(pieces: ahocorasick.Automaton, unknown: float, text: str) -> tuple[int
             here = score[end - 1] + unknown
             if best is None or here > best:
                 score[end], open_[end] = here, True
-                taken[end] = taken[end - 1] + (not open_[end - 1])
+                taken[end] = taken[end - 1] + (
+                    len(text[end - 1].encode()) if byte_pieces else not open_[end - 1])
                 continue
         score[end], taken[end] = best, taken[at] + 1
     return taken[n], score[n]
 
 
-def _count(vocabulary: list[tuple[str, float]], text: int):
+def _count(vocabulary: list[tuple[str, float]], text: int, byte_pieces: bool):
     def run(batches):
         pieces, unknown = automaton(vocabulary)
         whole = any(MARK in p.lstrip(MARK) for p, _ in vocabulary) or MARK not in dict(vocabulary)
         cut = re.compile(f"{MARK}+[^{MARK}]*")
-        known = Remembered(lambda chunks: [count(pieces, unknown, c) for c in chunks])
+        known = Remembered(lambda chunks: [count(pieces, unknown, c, byte_pieces) for c in chunks])
         for batch in batches:
             tokens, scores = [], []
             for value in batch.column(text):
@@ -90,10 +99,10 @@ def _count(vocabulary: list[tuple[str, float]], text: int):
     return run
 
 
-def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_pieces: bool = False) -> DataFrame:
     """(doc_id, n_tokens, score) of each row of ``docs(doc_id, text)``; score is the best path's."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: _count(sent.value, 1)(batches),
+        lambda batches: _count(sent.value, 1, byte_pieces)(batches),
         f"doc_id {kind}, text string, n_tokens long, score double").drop("text")

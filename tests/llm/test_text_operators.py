@@ -197,6 +197,21 @@ def test_token_counts(spark, docs, texts):
         assert token_counts.count(pieces, unknown, t)[0] == len(own.encode(t).ids)
 
 
+def test_token_counts_spell_bytes(spark, texts):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer, models
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, vocabulary = SentencePieceProcessor(model_file=path), token_counts.sentencepiece_vocabulary(path)
+    spelled = [(model.id_to_piece(k), 0.0) for k in range(model.get_piece_size()) if model.is_byte(k)]
+    own = Tokenizer(models.Unigram([("<unk>", 0.0), *spelled, *vocabulary], unk_id=0, byte_fallback=True))
+    some = ["\n\n\n", "a\t\tb", "\uD7A3", "\uD7A3" * 10_000, "x \uD7A3\n \U0001F9FF\U0001F9FF y", None, "",
+            *(t for t in texts if t and len(t) < 2000)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(
+        plain.documents(spark, some), vocabulary, token_counts.has_byte_pieces(path)).collect()}
+    assert [got[k] for k in range(4)] == [4, 4, 4, 30_001]
+    assert got == {k: len(own.encode("▁" + t.replace(" ", "▁")).tokens) if t else 0 for k, t in enumerate(some)}
+
+
 def test_language(spark, docs):
     train = {"aa": ["the cat and the hat", "And the rat"], "bb": ["der hut und die katze", "Die Ratte"]}
     rows = [(t, k) for k, some in train.items() for t in some] + [(None, "aa"), ("zz", None), ("", "bb")]
