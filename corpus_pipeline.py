@@ -42,7 +42,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Shallow trees and a tokenizer are beyond SQL; a plain version in the tests stands in.
+#: Shallow trees and a tokenizer are beyond SQL; the stages have plain versions in the tests, the whole has none yet.
 ORACLE_SQL = None
 
 

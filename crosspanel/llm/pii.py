@@ -13,7 +13,8 @@ finds the same leftmost matches without trying every position of a long run.
 
 Null and empty texts have no spans. Overlapping spans of different kinds are
 all reported. Masking replaces the confirmed spans of one kind after the other,
-each searched in what the kinds before it left.
+each searched in what the kinds before it left. Context counts as it stands in
+the unmasked text: a value that has it there is masked wherever it occurs.
 """
 
 from __future__ import annotations
@@ -81,8 +82,15 @@ def _confirmed(kind: str):
     return lambda m: _valid(kind, m.value)
 
 
+def _chosen(kind: str):
+    """Matches to mask: the confirmed ones; of a kind that needs context, values that have it in the unmasked text."""
+    if KINDS[kind][2] < MIN_SCORE:
+        return lambda m: F.array_contains(f"_kept_{kind}", m.value)
+    return _confirmed(kind)
+
+
 def _masked(kind: str):
-    return lambda gap, m: F.concat(gap, F.when(_valid(kind, m.value), f"[{kind.upper()}]").otherwise(m.value))
+    return lambda gap, m: F.concat(gap, F.when(_chosen(kind)(m), f"[{kind.upper()}]").otherwise(m.value))
 
 
 def _numbered(text: Column, kind: str) -> Column:
@@ -95,6 +103,14 @@ def _numbered(text: Column, kind: str) -> Column:
     return F.when(held, values).otherwise(none)
 
 
+def _score(m: Column, gaps: Column, kind: str) -> Column:
+    """The kind's score, more with its context words near."""
+    _, _, base, words = KINDS[kind]
+    near = F.lower(F.concat(
+        F.right(F.get(gaps, m.i), F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(F.get(gaps, m.i + 1), F.lit(CONTEXT_CHARS))))
+    return F.least(F.lit(1.0), F.lit(base) + F.when(near.rlike(words), CONTEXT_GAIN).otherwise(0.0))
+
+
 _BLOCK = 256
 
 
@@ -115,20 +131,15 @@ def _sums(lengths: Column) -> Column:
 
 def _placed(good: Column, gaps: Column, lengths: Column, sums: Column, kind: str) -> Column:
     """Spans of the confirmed matches."""
-    _, _, base, words = KINDS[kind]
-
     def span(m: Column) -> Column:
         whole = F.floor(m.i / _BLOCK).cast("int")
         before = _sum(F.slice(sums, F.lit(1), whole)) + _sum(
             F.slice(lengths, whole * _BLOCK + 1, m.i - whole * _BLOCK))
         start = before + F.length(F.get(gaps, m.i))
-        near = F.lower(F.concat(
-            F.right(F.get(gaps, m.i), F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(F.get(gaps, m.i + 1), F.lit(CONTEXT_CHARS))))
-        score = F.least(F.lit(1.0), F.lit(base) + F.when(near.rlike(words), CONTEXT_GAIN).otherwise(0.0))
         return F.struct(
             start.alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"),
             (start + F.length(m.value)).alias("end"), F.lit(kind).alias("kind"), m.value.alias("value"),
-            score.alias("score"))
+            _score(m, gaps, kind).alias("score"))
 
     return F.transform(good, span)
 
@@ -170,17 +181,31 @@ def _without(kind: str):
 
     def body(text: Column) -> Column:
         return _let(_numbered(text, kind), lambda matches: F.when(
-            F.exists(matches, _confirmed(kind)),
+            F.exists(matches, _chosen(kind)),
             _let(F.split(text, KINDS[kind][0], -1), lambda gaps: rebuilt(gaps, matches))).otherwise(text))
     return body
 
 
-def mask(docs: DataFrame, kinds: tuple[str, ...] = ("iban", "email", "ip", "card", "phone")) -> DataFrame:
+def _kept(text: Column, kind: str) -> Column:
+    """Values of the kind's confirmed matches with enough of a score."""
+    sure = lambda gaps: lambda m: _valid(kind, m.value) & (_score(m, gaps, kind) >= MIN_SCORE)
+    return _let(_numbered(text, kind), lambda matches: F.when(
+        F.exists(matches, _confirmed(kind)),
+        _let(F.split(text, KINDS[kind][0], -1), lambda gaps: F.transform(F.filter(matches, sure(gaps)), lambda m: m.value)))
+        .otherwise(F.array().cast("array<string>")))
+
+
+#: What may hold a whole ssn goes before it, an ip, which may end within one, after it; an ip gone may show cards and phones.
+MASKED = ("iban", "email", "card", "phone", "ssn", "ip", "card", "phone")
+
+
+def mask(docs: DataFrame, kinds: tuple[str, ...] = MASKED) -> DataFrame:
     """``docs`` with confirmed personal data in ``text`` replaced by [KIND]; n_chars, where there is one, follows."""
     text = F.col("text").cast("string")
+    out = docs.withColumns({f"_kept_{k}": _kept(text, k) for k in kinds if KINDS[k][2] < MIN_SCORE})
     for k in kinds:
         text = _let(text, _without(k))
-    out = docs.withColumn("text", text)
+    out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), changed).otherwise(F.col("n_chars")))

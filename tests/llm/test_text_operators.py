@@ -119,6 +119,17 @@ def test_personal_data_scores(spark):
     assert [s.kind for s in found[2]] == ["ssn"] and found[4][0].score == 1.0
 
 
+def test_mask_takes_what_is_found(spark):
+    """A span that needs context is masked where it has it in the unmasked text."""
+    rows = [(0, "my ssn is 123-45-6789."), (1, "part 123-45-6789"), (2, "ssn@x.org 123-45-6789"),
+            (3, "666-45-6789 ssn"), (4, "ssn 1.2.3.123-45-6789"), (5, "social: 123-45-6789 a@b.cd 219-09-9999"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert got == {0: "my ssn is [SSN].", 1: rows[1][1], 2: "[EMAIL] [SSN]", 3: rows[3][1], 4: "ssn 1.2.3.[SSN]",
+                   5: "social: [SSN] [EMAIL] 219-09-9999", 6: None}
+    assert {r.doc_id for r in pii.find_personal_data(docs).where("exists(spans, s -> s.kind = 'ssn')").collect()} == {0, 2, 4, 5}
+
+
 def test_mask_keeps_columns(spark, docs):
     out = pii.mask(docs.withColumn("text", F.concat("text", F.lit(" mail q@r.st"))))
     assert out.columns == docs.columns and out.where("text like '%@%' or n_chars <> length(text)").count() == 0
