@@ -168,3 +168,141 @@ SELECT page_id, host, path, rule,
   coalesce(verdict, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
 FROM placed LEFT JOIN said USING (part)
 """
+
+
+#: A table ``crc`` of one row with the 256 remainders of the checksum, made from its polynomial.
+_CRC_TABLE = """crc_steps AS (
+  SELECT i, 0 AS k, i::UINTEGER AS c FROM range(256) b(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS crc FROM crc_steps WHERE k = 8)"""
+
+
+def _crc(codes: str) -> str:
+    """The checksum of a list of byte values, beside ``crc``."""
+    return f"""xor(list_reduce(list_prepend(4294967295::UINTEGER, {codes}),
+      lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295::UINTEGER)::BIGINT"""
+
+
+def _crc_ascii(text: str) -> str:
+    return _crc(f"list_transform(regexp_extract_all({text}, '.'), lambda x: ascii(x)::UINTEGER)")
+
+
+_crc_bytes = _crc("list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::UINTEGER)")
+
+
+def sharding(shards: int) -> str:
+    """A document belongs where the middle of its bytes lies."""
+    order = "k0, k1"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+sized AS (
+  SELECT doc_id, strlen(body)::BIGINT + 8 AS size, {_crc_bytes} AS text_crc32,
+    ('0x' || md5(body)[:15])::BIGINT AS k0, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[:15])::BIGINT AS k1
+  FROM texts, crc),
+summed AS (
+  SELECT *, sum(size) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(size) OVER ()::BIGINT AS total FROM sized),
+placed AS (SELECT *, least({shards} - 1, ((2 * upto - size) * {shards}) // (2 * total))::INTEGER AS shard FROM summed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {order}) - 1 AS slot,
+  NULL::INTEGER AS grown_shard
+FROM placed
+"""
+
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS d, digest, chars
+  FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+      md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL)),
+heads AS (SELECT conv_id, {_crc_ascii('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own), crc),
+rebuilt AS (
+  SELECT h.conv_id, o.d AS d, o.digest, o.chars, 0 AS part
+  FROM heads h JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 100 AND o.d <= h.h
+  UNION ALL SELECT o.conv_id, o.d, o.digest, o.chars, 1 FROM own o JOIN heads h USING (conv_id) WHERE o.d > h.h),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, d) AS depth FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, chars, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM numbered
+  UNION ALL SELECT conv_id, 0, 0, '' FROM heads),
+lengths AS (SELECT conv_id, max(depth) AS length FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, any_value(p.depth) AS depth, any_value(chars) AS chars, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (p.depth = l.length), '') AS members
+  FROM paths p JOIN lengths l USING (conv_id) GROUP BY path),
+children AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (path)),
+climbs AS (
+  SELECT left(path, 32 * k) AS path, n_children = 0 AS leaf, (n_convs - 1) * chars AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM full_nodes)),
+below AS (SELECT path, count_if(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM climbs GROUP BY path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(n.members) AS ends_sha256
+FROM full_nodes n JOIN below USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 32)
+"""
+
+_SPELLED = lambda c: f"coalesce({c}::VARCHAR, ' ')"
+_EDITS = lambda cost, letter, after: f"lpad((left({after}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || '{letter}' || {after}[10 :]"
+_NEVER = "'~'"
+
+
+def _edited(state: str) -> str:
+    """The best way on from ``state`` that uses up the row at hand: cost in nine digits, then letters."""
+    follows = {"v": "u", "y": "u", "u": "a", "a": "u"}[state]
+    kept = f"CASE WHEN r.kind = '{follows}' THEN {_EDITS('r.cut', 'K', 'b.' + follows)}" + (
+        f" WHEN r.kind = 's' THEN {_EDITS('r.cut', 'K', 'b.y')}" if state == "v" else "") + f" ELSE {_NEVER} END"
+    return (f"least({_EDITS(3, 'D', 'b.' + state)}, CASE WHEN r.must THEN {_NEVER} ELSE least({kept}, "
+            f"{_EDITS('2 + r.cut', 'R', 'b.' + follows)}) END)")
+
+
+REPAIR = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+coded AS (
+  SELECT conv_id, turn, {_SPELLED('role')} AS role, {_SPELLED('text')} AS text,
+    {_crc_ascii(_SPELLED('conv_id') + " || ':' || " + _SPELLED('turn'))} % 20 AS code
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM coded)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_extract(text, '[^\x20\x09-\x0D](?:[\x20\x09-\x0D]*)$')[1] AS last
+  FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN last = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    role[1] AS kind, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS kind_before
+  FROM placed),
+rows_ AS (SELECT *, fault IN (1, 2) AS must, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS cut, count(*) OVER (PARTITION BY conv_id) AS n FROM faulty),
+best AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, '000000000' AS v, '000000004II' AS y, '000000002I' AS u, '000000000' AS a FROM rows_
+  UNION ALL
+  SELECT conv_id, i, least(wv, {_EDITS(2, 'I', 'wu')}, {_EDITS(4, 'II', 'wa')}), least(wy, {_EDITS(2, 'I', 'wu')}, {_EDITS(4, 'II', 'wa')}),
+    least(wu, {_EDITS(2, 'I', 'wa')}), least(wa, {_EDITS(2, 'I', 'wu')})
+  FROM (SELECT r.conv_id, r.i, {_edited('v')} AS wv, {_edited('y')} AS wy, {_edited('u')} AS wu, {_edited('a')} AS wa
+    FROM best b JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)),
+audits AS (SELECT conv_id, left(v, 9)::BIGINT AS cost, v[10 :] AS audit FROM best WHERE i = 1),
+walk AS (
+  SELECT conv_id, audit, 0 AS k, 0 AS i, 'v' AS state, '' AS letter FROM audits
+  UNION ALL
+  SELECT conv_id, audit, k + 1, i + CASE letter WHEN 'I' THEN 0 ELSE 1 END, CASE WHEN letter = 'D' THEN state
+    WHEN state = 'v' AND letter = 'K' AND kind = 's' THEN 'y' WHEN state = 'u' THEN 'a' ELSE 'u' END, letter
+  FROM (SELECT w.conv_id, w.audit, w.k, w.i, w.state, w.audit[w.k + 1] AS letter, r.kind
+    FROM walk w LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 WHERE w.k < length(w.audit))),
+turns AS (
+  SELECT w.conv_id, k, CASE WHEN letter = 'K' THEN r.role WHEN state = 'u' THEN 'user' ELSE 'assistant' END || ':'
+      || CASE WHEN letter = 'I' THEN '' ELSE r.text END AS turn
+  FROM walk w LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i WHERE letter IN ('K', 'R', 'I')),
+repaired AS (SELECT conv_id, string_agg(turn, chr(10) ORDER BY k) AS body FROM turns GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank,
+    count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated,
+    count_if(i > 1 AND kind_before || kind NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.llm import (
-    decontamination, embeddings, kneser_ney, language, near_dedup, oracles, packing, pii, quality, token_counts, url_filters)
+    decontamination, embeddings, kneser_ney, language, near_dedup, oracles, packing, pii, prefix_trie, quality, repair, sharding,
+    token_counts, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.log_probabilities(docs, model).select(
         "doc_id", F.coalesce(kneser_ney.fold() == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+@_query(oracles.PREFIX_TRIE)
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query(oracles.REPAIR)
+def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+SHARDS = 24
+
+
+@_query(oracles.sharding(SHARDS))
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"), SHARDS)
