@@ -13,6 +13,7 @@ import os
 import time
 
 from crosspanel.operators import alignment as A
+from crosspanel.operators import breadth as BR
 from crosspanel.operators import cross_section as X
 from crosspanel.operators import diagnostics as D
 from crosspanel.operators import evaluation as E
@@ -68,7 +69,7 @@ def main() -> None:
         "book_performance": lambda: run_all(PF.performance(PF.returns(books(), costs()))),
         "weight_blend": lambda: run_all(V.build_variant(preds(), "pred_b", "weight_blend")),
         "residual_report": lambda: run_all(D.residual_report(preds(), "pred_a")),
-        "effective_breadth": lambda: run_all(D.effective_breadth(panel())),
+        "effective_breadth": lambda: run_all(BR.effective_breadth(panel())),
         "news_timeline": lambda: run_all(QUERIES["s06_tone_volume_assembly"](spark, SF)),
         "anchor_rescale": lambda: run_all(QUERIES["c13_rescale_ffill"](spark, SF)),
     }

@@ -1,13 +1,11 @@
-"""Residual tests, deflated Sharpe ratio and effective breadth."""
+"""Residual tests and the deflated Sharpe ratio."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.numeric import beside, ratio, safe_corr
+from crosspanel.functions.numeric import ratio, safe_corr
 from crosspanel.functions.tails import chi2_p, noise_benchmark, normal_cdf
 from crosspanel.session import stage
 
@@ -138,88 +136,3 @@ def deflated_sharpe(book_returns: DataFrame, n_trials: int = 342, benchmark: flo
              if benchmark is None else F.lit(float(benchmark)))
     out = deflated_z(stats, bench).withColumn("probability", normal_cdf(F.col("z")))
     return out.withColumn("passes_at_95pct", F.col("probability") > 0.95).drop("shape")
-
-
-# --- effective breadth --------------------------------------------------------
-
-def entity_series(panel: DataFrame, value: str = "weekly_return") -> DataFrame:
-    """(ticker, days, values, n): one bounded array pair per entity."""
-    dates = (panel.select(DATE).distinct()
-             .withColumn("_d", (F.row_number().over(Window.orderBy(DATE)) - 1).cast("int")))
-    return (panel.where(F.col(value).isNotNull()).join(dates, DATE).groupBy("ticker").agg(
-        F.collect_list(F.struct("_d", F.col(value).alias("_v"))).alias("_s"))
-        .select("ticker", F.col("_s._d").alias("days"), F.col("_s._v").alias("values"),
-                F.size("_s").alias("n")))
-
-
-def _matrix(pdf: pd.DataFrame, t: int) -> np.ndarray:
-    x = np.full((len(pdf), t), np.nan)
-    for i, (d, v) in enumerate(zip(pdf["days"], pdf["values"])):
-        x[i, np.asarray(d)] = np.asarray(v)
-    return x
-
-
-def gram_sums(series: DataFrame, n_dates: int) -> DataFrame:
-    """One row: entities that vary, squared norms of the Gram matrix and of the rows' sum.
-
-    Every entity is standardized over its own dates, with zeros in its gaps.
-    The squared entries of the entity correlation matrix then sum to those of
-    the dates' Gram matrix, and its entries to the squared norm of the rows'
-    sum. Each partition adds its rows into one matrix as large as the calendar
-    squared, so the work is linear in entities.
-    """
-    t = n_dates
-
-    def run(batches):
-        gram, total, live = np.zeros((t, t)), np.zeros(t), 0
-        for pdf in batches:
-            x = _matrix(pdf, t)
-            there = np.isfinite(x)
-            z = np.where(there, x - np.nanmean(x, axis=1, keepdims=True), 0.0)
-            size = np.sqrt((z * z).sum(axis=1, keepdims=True))
-            varies = (size > 1e-14 * np.nanmax(np.abs(x), axis=1, keepdims=True))[:, 0]
-            z = z[varies] / size[varies]
-            gram += z.T @ z
-            total += z.sum(axis=0)
-            live += len(z)
-        yield pd.DataFrame({"s": np.arange(t), "g": list(gram), "total": total,
-                            "live": [live] + [0] * (t - 1)})
-    parts = series.mapInPandas(run, "s int, g array<double>, total double, live long")
-    summed = (parts.select("s", "total", "live", F.posexplode("g").alias("u", "g"))
-              .groupBy("s", "u").agg(F.sum("g").alias("g"), F.sum("total").alias("total"),
-                                     F.sum("live").alias("live")))
-    first = F.col("u") == 0
-    return summed.agg(
-        F.sum(F.col("g") * F.col("g")).alias("squares"),
-        F.sum(F.when(first, F.col("total") * F.col("total"))).alias("entries"),
-        F.sum(F.when(first, F.col("live"))).alias("n_live"))
-
-
-def effective_breadth(panel: DataFrame, value: str = "weekly_return") -> DataFrame:
-    """One row: names, pairs, names with gaps, mean correlation, effective bets.
-
-    The correlation of two entities is the product of their series, each
-    standardized over its own dates and zero in its gaps. That equals the usual
-    one where data are complete, and with gaps its matrix stays positive
-    semidefinite, so effective bets are the squared trace over the squared
-    norm, without eigenvalues. Constant series count as names without links.
-    """
-    series = stage(entity_series(panel, value), "entity-series")
-    n_dates = panel.select(DATE).distinct().count()
-    names = series.agg(F.count(F.lit(1)).alias("n_names"), F.count_if(F.col("n") < n_dates).alias("n_gappy"))
-    pairs = F.floor(F.col("n_names") * (F.col("n_names") - 1) / 2).cast("long")
-    live = F.col("n_live").cast("double")
-    return beside(names, gram_sums(series, n_dates)).select(
-        "n_names", pairs.alias("n_pairs"), "n_gappy",
-        ratio((F.col("entries") - live) / 2, pairs.cast("double")).alias("mean_correlation"),
-        ratio(live * live, F.col("squares")).alias("effective_bets"))
-
-
-def fundamental_law(breadth: DataFrame, mean_ic: DataFrame, per_year: int = 52) -> DataFrame:
-    """Implied and naive information ratio from effective and plain headcount."""
-    ic = F.col("mean_rank_ic")
-    return beside(breadth, mean_ic.select("mean_rank_ic")).select(
-        "mean_rank_ic", F.col("effective_bets").alias("effective_names"),
-        (F.col("effective_bets") * per_year).alias("breadth"),
-        (ic * F.sqrt(F.col("effective_bets") * per_year)).alias("implied_ir"),
-        (ic * F.sqrt(F.col("n_names") * F.lit(float(per_year)))).alias("naive_ir"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions.tails import expected_max_sharpe
+from crosspanel.operators import breadth as BR
 from crosspanel.operators import diagnostics as D
 from crosspanel.operators import evaluation as E
 from crosspanel.operators import portfolio as PF
@@ -354,40 +355,70 @@ def d09(spark, sf):
     return rounded(D.deflated_sharpe(base_returns(spark, sf)))
 
 
-GRAM_SQL = {
-    "centred": """select ticker, week_ending_friday as w, weekly_return - avg(weekly_return) over (partition by ticker) as x
-                  from panel where weekly_return is not null""",
-    "scaled": "select ticker, w, x / sqrt(sum(x * x) over (partition by ticker)) as z from centred "
-              "qualify sum(x * x) over (partition by ticker) > 1e-28",
-    "gram": "select a.w as s, b.w as u, sum(a.z * b.z) as g from scaled a join scaled b using (ticker) group by 1, 2",
-    "breadth": """
-        select (select count(distinct ticker) from panel where weekly_return is not null) as n_names,
-               (select count(*) from (select ticker from panel where weekly_return is not null group by 1 having
-                count(*) < (select count(distinct week_ending_friday) from panel))) as n_gappy,
-               (select sum(t * t) from (select sum(z) as t from scaled group by w)) as tt,
-               (select count(distinct ticker) from scaled) as live, (select sum(g * g) from gram) as ff""",
+# Correlations over shared weeks by a self-join; eigenvalues by cyclic rotations of the matrix as one list.
+ROTATION_SWEEPS = 8
+PAIR_SQL = {
+    "corr_seen": "select ticker, week_ending_friday as w, weekly_return as x from panel where weekly_return is not null",
+    "corr_names": "select ticker, count(*) as weeks, max(x) > min(x) as varies, row_number() over (order by ticker) as i "
+             "from corr_seen group by ticker",
+    "shared": """select a.ticker as ticker_a, b.ticker as ticker_b, count(*) as n,
+        case when max(a.x) > min(a.x) and max(b.x) > min(b.x) then corr(a.x, b.x) else 0 end as c
+        from corr_seen a join corr_seen b on a.w = b.w and a.ticker < b.ticker group by 1, 2""",
+    "pairs": """select a.ticker as ticker_a, b.ticker as ticker_b, a.i as i, b.i as j, coalesce(s.n, 0) as n_shared,
+        coalesce(s.c, 0) as correlation, coalesce(s.n, 0) < greatest(a.weeks, b.weeks) as incomplete
+        from corr_names a join corr_names b on a.ticker < b.ticker
+        left join shared s on s.ticker_a = a.ticker and s.ticker_b = b.ticker""",
+    "breadth": """select (select count(*) from corr_names) as n_names, count(*) as n_pairs,
+        count_if(incomplete) as n_incomplete, avg(correlation) as mean_correlation from pairs""",
+}
+EIGEN_SQL = PAIR_SQL | {
+    "corr_turns": "select list(struct_pack(p := a.i, q := b.i) order by a.i, b.i) as t, max(b.i) as n from corr_names a join corr_names b on a.i < b.i",
+    "entries": """select i, j, correlation as c from pairs union all select j, i, correlation from pairs
+        union all select i, i, case when varies then 1.0 else 0.0 end from corr_names""",
+    "rotated": f"""
+        select 0 as step, list(c order by i, j) as m from entries
+        union all
+        select step + 1, list_transform(range(1, n * n + 1), lambda k: case (k - 1) // n + 1
+            when p then cs * b[k] - sn * b[(q - 1) * n + (k - 1) % n + 1]
+            when q then sn * b[(p - 1) * n + (k - 1) % n + 1] + cs * b[k] else b[k] end)
+        from (select step, n, p, q, cs, sn, list_transform(range(1, n * n + 1), lambda k: case (k - 1) % n + 1
+                  when p then cs * m[k] - sn * m[(k - 1) // n * n + q]
+                  when q then sn * m[(k - 1) // n * n + p] + cs * m[k] else m[k] end) as b
+              from (select *, 1 / sqrt(1 + tn * tn) as cs, tn / sqrt(1 + tn * tn) as sn
+                    from (select *, case when off = 0 then 0 when tau >= 0 then 1 / (tau + sqrt(1 + tau * tau))
+                                 else 1 / (tau - sqrt(1 + tau * tau)) end as tn
+                          from (select *, (m[(q - 1) * n + q] - m[(p - 1) * n + p]) / (2 * nullif(off, 0)) as tau
+                                from (select *, m[(p - 1) * n + q] as off
+                                      from (select step, m, n, t[step % len(t) + 1].p as p, t[step % len(t) + 1].q as q
+                                            from rotated, corr_turns where step < {ROTATION_SWEEPS} * len(t)))))))""",
+    "eigen": "select m[(k - 1) * n + k] as v from (select m, n, unnest(range(1, n + 1)) as k from rotated, corr_turns "
+             f"where step = {ROTATION_SWEEPS} * len(t))",
+    "bets": "select pow(sum(v), 2) / sum(v * v) as effective_bets from eigen where v > 0",
 }
 
 
 @query("d10_pairwise_correlation", sql(f"""
-    select n_names, n_names * (n_names - 1) // 2 as n_pairs, n_gappy,
-           {r('(tt - live) / (n_names * (n_names - 1))', 'mean_correlation')} from breadth""", **GRAM_SQL))
+    select n_names, n_pairs, n_incomplete, {r('mean_correlation')} from breadth""", **PAIR_SQL))
 def d10(spark, sf):
-    return rounded(D.effective_breadth(T.panel(spark, sf)).drop("effective_bets"))
+    return rounded(BR.effective_breadth(T.panel(spark, sf)).drop("effective_bets"))
+
+
+@query("d10_pairs", sql(f"select ticker_a, ticker_b, n_shared, {r('correlation')} from pairs", **PAIR_SQL))
+def d10_pairs(spark, sf):
+    return rounded(BR.pairwise_correlations(T.panel(spark, sf), block=8))
 
 
 @query("d11_effective_bets", sql(f"""
-    select n_names, n_names * (n_names - 1) // 2 as n_pairs, n_gappy,
-           {r('(tt - live) / (n_names * (n_names - 1))', 'mean_correlation')},
-           {r('live * live / ff', 'effective_bets')} from breadth""", **GRAM_SQL))
+    select n_names, n_pairs, n_incomplete, {r('mean_correlation')}, {r('effective_bets')} from breadth cross join bets""",
+    **EIGEN_SQL))
 def d11(spark, sf):
-    return rounded(D.effective_breadth(T.panel(spark, sf)))
+    return rounded(BR.effective_breadth(T.panel(spark, sf)))
 
 
 @query("d12_fundamental_law", sql(f"""
-    select {r('ic', 'mean_rank_ic')}, {r('bets', 'effective_names')}, {r('bets * 52', 'breadth')},
-           {r('ic * sqrt(bets * 52)', 'implied_ir')}, {r('ic * sqrt(n_names * 52.0)', 'naive_ir')}
-    from (select n_names, live * live / ff as bets from breadth) cross join (select avg(ic) as ic from ic)""", **GRAM_SQL))
+    select {r('ic', 'mean_rank_ic')}, {r('effective_bets', 'effective_names')}, {r('effective_bets * 52', 'breadth')},
+           {r('ic * sqrt(effective_bets * 52)', 'implied_ir')}, {r('ic * sqrt(n_names * 52.0)', 'naive_ir')}
+    from breadth cross join bets cross join (select avg(ic) as ic from ic)""", **EIGEN_SQL))
 def d12(spark, sf):
     ic = E.ic_summary(E.rank_ic(T.predictions(spark, sf), "pred_a"))
-    return rounded(D.fundamental_law(D.effective_breadth(T.panel(spark, sf)), ic))
+    return rounded(BR.fundamental_law(BR.effective_breadth(T.panel(spark, sf)), ic))

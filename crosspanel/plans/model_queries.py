@@ -247,8 +247,8 @@ def m08(spark, sf):
 
 @query("m08_gbt_importance")
 def m08_gbt(spark, sf):
-    _, importance = B.walk_forward_gbt(T.ranked_features(spark, sf))
-    return rounded(B.importance_table(importance))
+    _, nodes = B.walk_forward_gbt(T.ranked_features(spark, sf))
+    return rounded(B.importance_table(nodes))
 
 
 @query("m09_nested_summary")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.operators import alignment as A
 from crosspanel.operators import boosting as B
+from crosspanel.operators import breadth as BR
 from crosspanel.operators import cross_section as X
 from crosspanel.operators import diagnostics as D
 from crosspanel.operators import evaluation as E
@@ -177,9 +178,9 @@ def run(spark: SparkSession, inputs: Inputs, out: str, settings: Settings | None
 
     keep("residuals", reduce(DataFrame.unionByName, [D.residual_report(preds, m) for m in models]))
     keep("deflated_sharpe", D.deflated_sharpe(book_returns, s.n_trials))
-    breadth = keep("breadth", D.effective_breadth(base))
+    breadth = keep("breadth", BR.effective_breadth(base))
     keep("fundamental_law", reduce(DataFrame.unionByName, [
-        D.fundamental_law(breadth, E.ic_summary(E.rank_ic(preds, m))).withColumn("model", F.lit(m)) for m in models]))
+        BR.fundamental_law(breadth, E.ic_summary(E.rank_ic(preds, m))).withColumn("model", F.lit(m)) for m in models]))
 
     keep("sector_ic", E.sector_ic_tested(preds, models[-1]))
     scores = E.coupling_p(E.coupling(base, E.weekly_dollar_volume(prices)))

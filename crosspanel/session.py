@@ -62,10 +62,17 @@ def stage(df: DataFrame, label: str, partition_by: str | None = None) -> DataFra
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._row_bound = seen.get["rows"]
+    out._row_bound, out._stage_path = seen.get["rows"], path
     return out
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove the files of a table that ``stage`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_bound(df: DataFrame) -> int | None:
     """Rows ``df`` has at most, where staging made that known."""
     return df.__dict__.get("_row_bound")

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from crosspanel.operators import breadth as BR
 from crosspanel.operators import diagnostics as D
 from crosspanel.operators import portfolio as PF
 from crosspanel.operators import variants as V
@@ -161,23 +162,47 @@ def test_residual_report(preds):
     assert r.reading in ("positive", "negative", "none")
 
 
-def reference_breadth(pdf):
+def reference_correlations(pdf):
     wide = pdf.pivot(index=DATE, columns="ticker", values="weekly_return").dropna(axis=1, how="all")
-    x = wide.to_numpy().T
-    z = np.nan_to_num(x - np.nanmean(x, axis=1, keepdims=True))
-    size = np.sqrt((z * z).sum(axis=1))
-    varies = size > 1e-14
-    corr = np.where(np.outer(varies, varies), z @ z.T / np.outer(np.where(varies, size, 1), np.where(varies, size, 1)), 0)
-    eig = np.linalg.eigvalsh(corr[np.ix_(varies, varies)])
-    return corr[~np.eye(len(corr), dtype=bool)].mean(), eig.sum() ** 2 / (eig ** 2).sum()
-
-
-@pytest.mark.parametrize("gaps", [0.0, .1, .7])
-def test_breadth(spark, gaps):
-    pdf = weekly_panel(17, 30, seed=2, gaps=gaps)
+    corr = wide.corr().fillna(0.0)
+    there = wide.notna().astype(int)
+    return corr, there.T @ there
+
+
+@pytest.mark.parametrize("gaps", [0.0, .2, .8])
+@pytest.mark.parametrize("block, eigen_names", [(64, 4096), (5, 4096), (6, 0), (4, 0)])
+def test_breadth(spark, gaps, block, eigen_names):
+    """All three ways to the eigenvalues, within one block and over several."""
+    pdf = weekly_panel(17, 30 if gaps < .5 else 60, seed=2, gaps=gaps)
     if gaps == 0.0:
         pdf = pdf[pdf.ticker != "T03"].assign(weekly_return=lambda d: np.where(d.ticker == "T05", .01, d.weekly_return))
-    mean, bets = reference_breadth(pdf)
-    r = D.effective_breadth(to_spark(spark, pdf)).first()
-    assert abs(r.mean_correlation - mean) < 1e-9 and abs(r.effective_bets - bets) < 1e-6
-    assert r.n_pairs == r.n_names * (r.n_names - 1) // 2 and (r.n_gappy == 0) == (gaps == 0.0)
+    corr, shared = reference_correlations(pdf)
+    eig = np.linalg.eigvalsh(corr.to_numpy())
+    assert (eig.min() < -.05) == (gaps > .5) or gaps == .2
+    eig = eig[eig > 0]
+    df = to_spark(spark, pdf)
+    r = BR.effective_breadth(df, block=block, eigen_names=eigen_names).first()
+    n = len(corr)
+    assert abs(r.mean_correlation - corr.to_numpy()[~np.eye(n, dtype=bool)].mean()) < 1e-9
+    assert abs(r.effective_bets - eig.sum() ** 2 / (eig ** 2).sum()) < 1e-7
+    own = np.diag(shared)
+    unequal = (shared.to_numpy() != own[:, None]) | (shared.to_numpy() != own[None, :])
+    assert r.n_pairs == n * (n - 1) // 2 and r.n_incomplete == unequal.sum() // 2 and (r.n_incomplete == 0) == (gaps == 0.0)
+    if eigen_names:
+        pairs = BR.pairwise_correlations(df, block=block).collect()
+        assert len(pairs) == r.n_pairs and all(p.ticker_a < p.ticker_b for p in pairs)
+        assert all(p.n_shared == shared.loc[p.ticker_a, p.ticker_b] for p in pairs)
+        assert all(abs(p.correlation - corr.loc[p.ticker_a, p.ticker_b]) < 1e-9 for p in pairs)
+
+
+def test_breadth_of_little(spark):
+    one = BR.effective_breadth(to_spark(spark, weekly_panel(1, 9, seed=3))).first()
+    assert one.n_names == 1 and one.n_pairs == 0 and one.mean_correlation is None and abs(one.effective_bets - 1) < 1e-12
+    none = BR.effective_breadth(to_spark(spark, weekly_panel(2, 3, seed=3)).where("1 = 0")).first()
+    assert none.n_names == 0 and none.effective_bets is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 8])
+def test_tournament_meets_every_pair(n):
+    met = [pair for round_ in BR.tournament(n) for pair in round_ if max(pair) < n]
+    assert sorted(met) == [(a, b) for a in range(n) for b in range(a + 1, n)]
