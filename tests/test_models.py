@@ -132,14 +132,116 @@ def test_boosting_queries_take_the_defaults(monkeypatch):
     assert asked == [(f, ("rows",), {}) for f in ("walk_forward_gbt", "walk_forward_gbt", "nested_gbt")]
 
 
+def plain_boosting(bins, y, keys, fit, trees):
+    """Nodes (feature, cut, gain) and predictions of a booster that tries every split row by row, sums in whole numbers."""
+    unit, out, predicted = B.unit_of(np.abs(y).max()), [], np.full(len(y), fit.base)
+    for t in range(trees):
+        seen, columns = B.drawn_rows(keys, t), B.drawn_columns(bins.shape[1], t)
+        grads = np.rint((y - predicted) / unit)
+        leaves, level, step, tree = 1, [(np.flatnonzero(seen), np.arange(len(y)))], np.zeros(len(y)), []
+        for _ in range(fit.depth):
+            options = []
+            for place, (mine, _) in enumerate(level):
+                score = lambda rows: (grads[rows].sum() * unit) ** 2 / (len(rows) + 1.0)      # noqa: E731
+                best = (0.0, 0, 0)
+                for c in columns:
+                    for cut in range(B.BINS):
+                        low, high = mine[bins[mine, c] <= cut], mine[bins[mine, c] > cut]
+                        if min(len(low), len(high)) >= fit.min_rows:
+                            gain = score(low) + score(high) - score(mine)
+                            if gain > best[0] + 1e-18:
+                                best = (gain, c, cut)
+                options.append((-best[0], place, best))
+            level_, level = level, []
+            for _, place, (gain, c, cut) in sorted(options):
+                if gain > 0 and leaves < fit.leaves:
+                    leaves += 1
+                    mine, all_ = level_[place]
+                    tree.append((t, int(c), cut, gain))
+                    for part in (lambda r: r[bins[r, c] <= cut], lambda r: r[bins[r, c] > cut]):
+                        inside, every = part(mine), part(all_)
+                        step[every] = fit.rate * grads[inside].sum() * unit / (len(inside) + 1.0)
+                        level.append((inside, every))
+            if leaves == fit.leaves:
+                break
+        predicted = predicted + step
+        out += tree
+    return out, predicted
+
+
+def test_a_tree_is_what_trying_every_split_gives():
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 30, (260, 4)).astype(np.uint8)
+    y = np.where(bins[:, 1] > 11, .02, -.01) + .001 * bins[:, 3] + rng.normal(0, .01, 260)
+    keys = rng.integers(-2**62, 2**62, 260)
+    for fit in (B.Fit(0, 1, 7, .1, 20, .003), B.Fit(0, 1, 5, .3, 10, 0.0)):
+        made = B.grow(bins, y, keys, fit, 4, B.unit_of(np.abs(y).max()))
+        want, predicted = plain_boosting(bins, y, keys, fit, 4)
+        got = [(t, f, c, g) for t, tree in enumerate(made) for f, c, g in zip(tree.feature, tree.cut, tree.gain) if f >= 0]
+        assert sorted(g[:3] for g in got) == sorted(w[:3] for w in want) and len(got) >= 12
+        same(sorted(g[3] for g in got), sorted(w[3] for w in want))
+        total = np.full(260, fit.base)
+        for tree in made:
+            total += np.array(tree.value)[tree.place(bins)]
+            assert tree.leaves <= fit.leaves
+        same(predicted, total)
+
+
+def test_drawn_rows_and_columns():
+    keys = np.arange(20_000) * 7_919
+    shares = [B.drawn_rows(keys, t).mean() for t in range(5)]
+    assert all(abs(s - .8) < .02 for s in shares) and len({tuple(B.drawn_columns(9, t)) for t in range(20)}) > 5
+    assert all(len(B.drawn_columns(9, t)) == 7 for t in range(20)) and B.drawn_columns(1, 3).tolist() == [0]
+
+
+def table_of(nodes):
+    return sorted(map(tuple, nodes.select("model", "tree", "node", "feature", "cut", "child", "value", "gain").collect()))
+
+
 def test_boosting(rows):
+    """Fits in tasks and in lockstep are the same trees, however rows are dealt."""
     _, df = rows
-    preds, importance = B.walk_forward_gbt(df, 2, 40, trees=3)
+    preds, nodes = B.walk_forward_gbt(df, 2, 40, trees=12)
     assert preds.where("pred_gbt is null").count() == 0 and preds.select("fold").distinct().count() == 2
-    table = {r.feature: r.gain_pct for r in B.importance_table(importance).collect()}
-    assert abs(sum(table.values()) - 100) < 1e-9 and max(table, key=table.get) in ("mom_52_4", "asvi")
-    nested, chosen = B.nested_gbt(df, 1, 1, 60, trees=2, grid=B.BOOSTING_GRID[:2])
-    assert len(chosen) == 1 and tuple(chosen[0][1:]) in B.BOOSTING_GRID[:2] and nested.count() > 0
+    other, others = B.walk_forward_gbt(df.repartition(7), 2, 40, trees=12, rows_per_task=0)
+    assert table_of(nodes) == table_of(others)
+    key = lambda p: sorted(map(tuple, p.select("week_ending_friday", "ticker", "fold", "pred_gbt").collect()))
+    assert key(preds) == key(other)
+    table = {r.feature: r.gain_pct for r in B.importance_table(nodes).collect()}
+    assert abs(sum(table.values()) - 100) < 1e-9 and max(table, key=table.get) in ("mom_52_4", "asvi") and len(table) == 9
+    gains = nodes.where("feature >= 0").toPandas().groupby("feature")["gain"].sum()
+    assert all(abs(table[FE.FEATURES[f]] - 100 * g / gains.sum()) < 1e-9 for f, g in gains.items())
+
+
+def test_nested_boosting_picks_what_single_fits_pick(rows):
+    pdf, df = rows
+    grid = [(3, .2, 20), (7, .2, 60), (4, .05, 150)]
+    preds, chosen = B.nested_gbt(df, 2, 2, 40, trees=4, grid=grid)
+    lockstep, again = B.nested_gbt(df, 2, 2, 40, trees=4, grid=grid, rows_per_task=0)
+    assert chosen == again and sorted(map(tuple, preds.collect())) == sorted(map(tuple, lockstep.collect()))
+    pdf = pdf.dropna(subset=["fwd_return"]).sort_values(["week_ending_friday", "ticker"])
+    weeks = sorted(pdf.week_ending_friday.unique())
+    keys = {(r.week_ending_friday, r.ticker): r.k for r in df.select(
+        "week_ending_friday", "ticker", F.xxhash64("week_ending_friday", "ticker").alias("k")).collect()}
+    bins = np.clip(np.ceil(pdf[FE.RANKS].fillna(.5).to_numpy() * B.BINS) - 1, 0, B.BINS - 1).astype(np.uint8)
+    y, day = pdf.fwd_return.to_numpy(), pdf.week_ending_friday.map({w: i for i, w in enumerate(weeks)}).to_numpy()
+    key = np.array([keys[k] for k in zip(pdf.week_ending_friday, pdf.ticker)])
+
+    def score(n, lo, hi, config):
+        tr, te = day < n, (day >= lo) & (day < hi)
+        last = max(t for t, _, _ in plain_folds(len(weeks), 2, 40, 1, 1))
+        fit = B.Fit(0, n, *config, round(float(y[tr].mean()), 12))
+        unit = B.unit_of(np.abs(y[day < max(i[0] for o in plain_folds(len(weeks), 2, 40, 1, 1)
+                                            for i in plain_folds(o[0], 2, max(52, o[0] // 2), 1, 1))]).max())
+        assert last
+        p = np.full(te.sum(), fit.base)
+        for tree in B.grow(bins[tr], y[tr], key[tr], fit, 4, unit):
+            p += np.array(tree.value)[tree.place(bins[te])]
+        return np.nanmean([average_rank_ic(g, "p") for _, g in pdf[te].assign(p=p).groupby("week_ending_friday")])
+    for fold, (train_n, _, _) in enumerate(plain_folds(len(weeks), 2, 40, 1, 1), 1):
+        inner = [i for i in plain_folds(train_n, 2, max(52, train_n // 2), 1, 1) if (day < i[0]).sum() >= 200]
+        means = [np.mean([score(*i, c) for i in inner]) for c in grid] if inner else [0.0]
+        assert tuple(dict((f, c) for f, *c in chosen)[fold]) == grid[int(np.argmax(np.round(means, 12)))]
 
 
 def test_rank_ic_and_hit_rate(rows):
