@@ -369,7 +369,7 @@ PAIR_SQL = {
         from corr_names a join corr_names b on a.ticker < b.ticker
         left join shared s on s.ticker_a = a.ticker and s.ticker_b = b.ticker""",
     "breadth": """select (select count(*) from corr_names) as n_names, count(*) as n_pairs,
-        count_if(incomplete) as n_incomplete, avg(correlation) as mean_correlation from pairs""",
+        cast(count_if(incomplete) as bigint) as n_incomplete, avg(correlation) as mean_correlation from pairs""",
 }
 EIGEN_SQL = PAIR_SQL | {
     "corr_turns": "select list(struct_pack(p := a.i, q := b.i) order by a.i, b.i) as t, max(b.i) as n from corr_names a join corr_names b on a.i < b.i",

@@ -75,26 +75,110 @@ def test_weights(preds, kw, rows_per_task):
     assert all(r.net < 1e-9 and abs(r.gross - 2) < 1e-9 for r in sums) and len(sums) == 13
 
 
+def plain_policy(targets, policy, blend=.4, band=.004, gross=2.0):
+    """Held weights of one book by the recursion itself."""
+    held, out = None, []
+    for _, g in targets.groupby(DATE, sort=True):
+        w = pd.Series(g.weight.to_numpy(), index=g.ticker.to_numpy())
+        if held is not None:
+            old = held.reindex(w.index).fillna(0.0)
+            w = blend * w + (1 - blend) * old if policy == "weight_blend" else old.where((w - old).abs() <= band, w)
+            w = w - w.mean()
+            w = w / w.abs().sum() * gross if w.abs().sum() > 0 else w
+        held = w
+        out.append(g.assign(weight=w.to_numpy()))
+    return pd.concat(out)
+
+
+def wandering_targets(spark, n_names, n_dates, seed, absent=.05, move=.3):
+    """Books of zero-sum targets that wander, so that a band holds some names and lets others go."""
+    rng = np.random.default_rng(seed)
+    weeks = pd.date_range("2020-01-03", periods=n_dates, freq="W-FRI").date
+    level, rows = rng.normal(size=n_names), []
+    for w in weeks:
+        level = level + move * rng.normal(size=n_names)
+        there = rng.random(n_names) > absent
+        x = np.where(there, level, np.nan)
+        x = x - np.nanmean(x)
+        x = x / np.nansum(np.abs(x)) * 2
+        rows += [(w, f"T{i:03}", v) for i, v in enumerate(x) if there[i]]
+    pdf = pd.DataFrame(rows, columns=[DATE, "ticker", "weight"]).assign(fwd_return=0.0, book="b")
+    return pdf, to_spark(spark, pdf)
+
+
 @pytest.mark.parametrize("variant", ["weight_blend", "no_trade_band"])
-@pytest.mark.parametrize("rows_per_task", [10 ** 6, 20])
-def test_policies(preds, variant, rows_per_task):
+@pytest.mark.parametrize("cells", [V.CELLS_PER_TASK, 0])
+def test_policies(preds, variant, cells):
     pdf, df = preds
-    base = PF.build_weights(df, "pred").withColumn("policy", F.lit(variant))
-    m = merged(V.apply_policy(base, rows_per_task=rows_per_task).select(*KEY, "weight"),
-               book(pdf, variant).drop(columns="fwd_return"))
+    base = PF.build_weights(df, "pred").withColumn("policy", F.lit(variant)).repartition(3)
+    m = merged(V.apply_policy(base, cells_per_task=cells).select(*KEY, "weight"), book(pdf, variant).drop(columns="fwd_return"))
     same(m.weight_want, m.weight)
 
 
+@pytest.mark.parametrize("policy, blend, band", [("weight_blend", .4, 0), ("weight_blend", .05, 0), ("weight_blend", 1.0, 0),
+                                                 ("no_trade_band", 0, .004), ("no_trade_band", 0, .02), ("no_trade_band", 0, 9.0)])
+@pytest.mark.parametrize("span, cells", [(256, 0), (14, 0), (256, V.CELLS_PER_TASK)])
+def test_policies_equal_the_recursion(spark, monkeypatch, policy, blend, band, span, cells):
+    """In rounds, in rounds over a few dates each, and where a task holds the whole book."""
+    monkeypatch.setattr(V, "SPAN", span)
+    monkeypatch.setattr(V, "BAND_SPAN", span)
+    pdf, df = wandering_targets(spark, 60, 45, seed=11)
+    rounds = []
+    monkeypatch.setattr(V, "stage", lambda table, label, stage=V.stage: stage(
+        table.repartition(3, "ticker") if label == "policy-series" else table, label))
+    out = V.apply_policy(df.withColumn("policy", F.lit(policy)), blend, band, rounds=rounds, cells_per_task=cells)
+    want = plain_policy(pdf, policy, blend, band)
+    m = merged(out.select(*KEY, "weight"), want[KEY + ["weight"]])
+    assert (m.weight_want - m.weight).abs().max() < 1e-12 and len(m) == len(pdf)
+    assert rounds[0] <= 2 * 45 and (cells == 0 or rounds[0] == 1)
+    if policy == "weight_blend" and span == 256:
+        assert rounds[0] <= 12
+    if band == .004:                       # the rule does both
+        before = want.pivot(index=DATE, columns="ticker", values="weight").shift().fillna(0.0)
+        target = pdf.pivot(index=DATE, columns="ticker", values="weight")
+        moved = ((target - before).abs() > band)[1:]
+        assert .1 < moved.mean().mean() < .98
+
+
+def test_policies_of_flat_targets(spark):
+    """Dates whose mixed weights are all alike are left unscaled; names may vanish and return; one date is its target."""
+    weeks = pd.date_range("2021-01-01", periods=5, freq="W-FRI").date
+    rows = [(w, t, v) for w, vs in zip(weeks, [(.5, -.5), (-.5, .5), (.25, -.25), (0., 0.), (.125, -.125)]) for t, v in zip("AB", vs)]
+    rows = [r for r in rows if r[:2] != (weeks[2], "A")]
+    pdf = pd.DataFrame(rows, columns=[DATE, "ticker", "weight"]).assign(fwd_return=0.0, book="b")
+    for policy in V.POLICIES:
+        out = V.apply_policy(to_spark(spark, pdf).withColumn("policy", F.lit(policy)), blend=.5)
+        m = merged(out.select(*KEY, "weight"), plain_policy(pdf, policy, .5)[KEY + ["weight"]])
+        same(m.weight_want, m.weight)
+    one = V.apply_policy(to_spark(spark, pdf[pdf[DATE] == weeks[0]]).withColumn("policy", F.lit("weight_blend"))).collect()
+    assert sorted(r.weight for r in one) == [-.5, .5]
+    assert V.apply_policy(to_spark(spark, pdf).where("1 = 0").withColumn("policy", F.lit("weight_blend"))).count() == 0
+
+
 def test_books_on_different_dates(preds):
-    """Two books whose dates differ hold over the gap the same in both ways."""
+    """Books whose dates differ hold over the gap, each by its own calendar."""
     _, df = preds
     base = PF.build_weights(df, "pred").withColumn("policy", F.lit("weight_blend"))
     weeks = [r[0] for r in base.select(DATE).distinct().orderBy(DATE).collect()]
     other = base.where(~F.col(DATE).isin(weeks[0], weeks[4], weeks[5])).withColumn("book", F.lit("late"))
-    both = base.unionByName(other)
-    a, b = (V.apply_policy(both, rows_per_task=n).orderBy("book", *KEY).toPandas() for n in (10 ** 6, 1))
-    assert len(a) == len(b)
-    same(a.weight, b.weight)
+    got = V.apply_policy(base.unionByName(other)).toPandas()
+    for name, part in (("late", other), (base.first().book, base)):
+        want = plain_policy(part.toPandas(), "weight_blend").sort_values(KEY)
+        mine = got[got.book == name].sort_values(KEY)
+        same(want.weight, mine.weight)
+
+
+def test_sweep_over_a_grid(preds):
+    _, df = preds
+    both = df.withColumn("pred2", -F.col("pred"))
+    out = V.sweep(both, ["pred", "pred2"], ("weight_blend", "no_trade_band"), blend=[.2, .8], band=[.001, .004]).toPandas()
+    assert set(out.book) == {f"{p}:{v}" for p in ("pred", "pred2") for v in (
+        "weight_blend:0.2", "weight_blend:0.8", "no_trade_band:0.001", "no_trade_band:0.004")}
+    for p in ("pred", "pred2"):
+        base = PF.build_weights(both, p).toPandas()
+        for name, policy, value in (("weight_blend:0.8", "weight_blend", .8), ("no_trade_band:0.001", "no_trade_band", .001)):
+            want = plain_policy(base, policy, value, value).sort_values(KEY)
+            same(want.weight, out[out.book == f"{p}:{name}"].sort_values(KEY).weight)
 
 
 def test_sweep(preds, spark):
