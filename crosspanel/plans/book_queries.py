@@ -13,7 +13,7 @@ from crosspanel.operators import portfolio as PF
 from crosspanel.operators import variants as V
 from crosspanel.operators.groups import fits
 from crosspanel.plans import tables as T
-from crosspanel.plans.registry import normal_sql, query, r, rounded, sql, sql_pct
+from crosspanel.plans.registry import CTES, assembled, normal_sql, query, r, rounded, sql, sql_pct
 from crosspanel.session import bounded_like, stage
 
 KEY = ["week_ending_friday", "ticker"]
@@ -131,12 +131,16 @@ def _side(s: str) -> str:
         r(f"{ann} / {low}", f"{s}_sortino", 5), r(f"{ann} / abs(min({s}_drawdown))", f"{s}_calmar", 5)])
 
 
-@query("p11_performance", sql(f"""
-    select 'pred_b' as book, count(*) as weeks, {_side('gross')}, {_side('net')},
+def _performance_of(book: str) -> str:
+    return f"""
+    select '{book}' as book, count(*) as weeks, {_side('gross')}, {_side('net')},
            {r('100 * avg(turnover)', 'mean_weekly_turnover_pct', 5)}, {r('52 * avg(turnover)', 'annual_turnover_x', 5)},
            {r('10000 * avg(cost)', 'mean_weekly_cost_bps', 5)},
            {r('100 * 52 * (avg(gross_return) - avg(net_return))', 'cost_drag_ann_pct', 5)}
-    from drawn""", **CURVE_SQL))
+    from drawn"""
+
+
+@query("p11_performance", sql(_performance_of("pred_b"), **CURVE_SQL))
 def p11(spark, sf):
     return rounded(PF.performance(base_returns(spark, sf)), 5)
 
@@ -181,14 +185,16 @@ def _held_out(book: str) -> str:
     from targets t join held h using (d, ticker)"""
 
 
-@query("p14_weight_blend", sql(_held_out("pred_b:weight_blend"), **_held_sql(
-    "0.4::double * t.weight + 0.6::double * coalesce(h.weight, 0)")))
+BLEND_SQL = "0.4::double * t.weight + 0.6::double * coalesce(h.weight, 0)"
+BAND_SQL = "case when abs(t.weight - coalesce(h.weight, 0)) > 0.004::double then t.weight else coalesce(h.weight, 0) end"
+
+
+@query("p14_weight_blend", sql(_held_out("pred_b:weight_blend"), **_held_sql(BLEND_SQL)))
 def p14(spark, sf):
     return rounded(V.build_variant(T.predictions(spark, sf), "pred_b", "weight_blend"))
 
 
-@query("p15_no_trade_band", sql(_held_out("pred_b:no_trade_band"), **_held_sql(
-    "case when abs(t.weight - coalesce(h.weight, 0)) > 0.004::double then t.weight else coalesce(h.weight, 0) end")))
+@query("p15_no_trade_band", sql(_held_out("pred_b:no_trade_band"), **_held_sql(BAND_SQL)))
 def p15(spark, sf):
     return rounded(V.build_variant(T.predictions(spark, sf), "pred_b", "no_trade_band"))
 
@@ -197,7 +203,31 @@ def swept_books(spark, sf) -> DataFrame:
     return V.sweep(T.predictions(spark, sf), ["pred_a", "pred_b"])
 
 
-@query("p16_variant_sweep")
+def _swept_sql(pred: str, variant: str) -> str:
+    """One book's performance: its predictions, its policy, then the common tables on top of its weights."""
+    tables = {k: v.replace("pred_b", pred) for k, v in CTES.items()}
+    if variant == "signal_smooth":
+        tables["names"] = f"""
+            select * replace (s as {pred}), count(*) over (partition by week_ending_friday) as n_names
+            from (select *, avg({pred}) over (partition by ticker order by week_ending_friday
+                                              rows between 3 preceding and current row) as s from live)
+            where s is not null"""
+    mix = {"weight_blend": BLEND_SQL, "no_trade_band": BAND_SQL}.get(variant)
+    ordered = {}
+    for name, cte in tables.items():
+        if name == "weights" and mix:
+            ordered["base_weights"] = cte
+            ordered["base_dates"] = tables["book_dates"].replace("weights", "base_weights")
+            held = _held_sql(mix)
+            ordered["targets"] = held["targets"].replace("weights", "base_weights").replace("book_dates", "base_dates")
+            ordered["held"] = held["held"]
+            cte = """select t.week_ending_friday, t.ticker, t.fwd_return, h.weight from targets t join held h using (d, ticker)"""
+        ordered[name] = cte
+    return assembled(_performance_of(f"{pred}:{variant}"), ordered | CURVE_SQL)
+
+
+@query("p16_variant_sweep", " union all ".join(
+    f"select * from ({_swept_sql(p, v)})" for p in ("pred_a", "pred_b") for v in V.VARIANTS))
 def p16(spark, sf):
     books = stage(swept_books(spark, sf), "swept-books")
     cost = PF.costs(PF.trades(books), PF.average_dollar_volume(T.prices_daily(spark, sf)),

@@ -185,7 +185,11 @@ MATERIALIZED = {"targets": " as materialized"}
 
 def sql(body: str, **extra: str) -> str:
     """``body`` with the common tables it reaches put in front."""
-    tables = {**CTES, **extra}
+    return assembled(body, {**CTES, **extra})
+
+
+def assembled(body: str, tables: dict[str, str]) -> str:
+    """``body`` behind those of ``tables`` that it reaches, in their order."""
     needed: set[str] = set()
 
     def reach(text: str) -> None:
