@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def nested_enet(features: DataFrame, n_folds: int = 6, n_inner: int = 3, min_tra
     outer = walk_forward(dates, n_folds, min_train, purge, embargo)
     inner = inner_folds(outer, n_inner, purge, embargo)
 
-    trials = fit(train_moments(moments, inner, dates, k), k, grid)
+    trials = stage(fit(train_moments(moments, inner, dates, k), k, grid), "trials")
     ic = _inner_scores(rows, trials, inner, dates, columns)
     scores = (ic.groupBy("fold", "inner", "config").agg(F.avg("ic").alias("ic"))
               .groupBy("fold", "config").agg(F.avg("ic").alias("score")))
@@ -187,28 +188,88 @@ def _inner_scores(rows: DataFrame, trials: DataFrame, inner: DataFrame, dates: D
                   columns: list[str]) -> DataFrame:
     """Rank correlation of every (fold, inner, config, date).
 
-    The target's rank depends on the date alone and is taken once. Rows are
-    shuffled by (fold, inner, date) before they multiply by the grid, so the
-    ranking of each grid point needs no further shuffle; dates beyond a task
-    stay where they are and the ranking spreads them. The models are a row
-    per fold and grid point, which bounds what is broadcast.
+    Dates that fit a task are scored there whole. Beyond that rows multiply by
+    the grid and the ranking spreads them.
     """
-    small = fits(rows, ["week_ending_friday"])
-    ranked = average_ranks(rows, ["week_ending_friday"], [TARGET], pct=False, small=small)
+    if fits(rows, ["week_ending_friday"]):
+        return _scores_by_date(rows, trials, inner, dates, columns)
+    ranked = average_ranks(rows, ["week_ending_friday"], [TARGET], pct=False, small=False)
     models = trials.groupBy("fold", "inner").agg(
         F.collect_list(F.struct("config", "slope", "const")).alias("_models"))
     tested = ranked.join(F.broadcast(fold_dates(inner, dates, "test")), "week_ending_friday")
-    if small:
-        tested = tested.repartition("fold", "inner", "week_ending_friday")
     tried = (tested
              .join(F.broadcast(models), ["fold", "inner"])
              .select("fold", "inner", "week_ending_friday", TARGET, TARGET + "_rank", *columns,
                      F.inline("_models"))
              .select("fold", "inner", "config", "week_ending_friday", TARGET, TARGET + "_rank",
                      linear_prediction(columns).alias("pred")))
-    if not small:
-        tried = stage(tried, "inner-predictions")
-    return rank_ic(tried, "pred", ["fold", "inner", "config"], target_rank=TARGET + "_rank", small=small)
+    return rank_ic(stage(tried, "inner-predictions"), "pred", ["fold", "inner", "config"],
+                   target_rank=TARGET + "_rank", small=False)
+
+
+MIN_PAIRS = 5       # dates with fewer rows have no rank correlation
+
+
+def ranks_of(x: np.ndarray) -> np.ndarray:
+    """Average ranks within each column, from 1."""
+    order = np.argsort(x, axis=0, kind="stable")
+    out = np.empty(x.shape)
+    for c in range(x.shape[1]):
+        at = order[:, c]
+        starts = np.flatnonzero(np.r_[True, np.diff(x[at, c]) != 0])
+        counts = np.diff(np.r_[starts, len(at)])
+        out[at, c] = np.repeat(starts + (counts + 1) / 2, counts)
+    return out
+
+
+def rank_correlations(predicted: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Rank correlation of each column with ``target``; NaN where either has one value only."""
+    n = len(target)
+    p, y = ranks_of(predicted) - (n + 1) / 2, ranks_of(target[:, None])[:, 0] - (n + 1) / 2
+    size = np.sqrt((p * p).sum(axis=0) * (y * y).sum())
+    return np.where(size > 0, (p * y[:, None]).sum(axis=0) / np.where(size > 0, size, 1.0), np.nan)
+
+
+def _scores_by_date(rows: DataFrame, trials: DataFrame, inner: DataFrame, dates: DataFrame,
+                    columns: list[str]) -> DataFrame:
+    """Every model that a date tests, as columns of one matrix in that date's task.
+
+    Models and test dates are as many as grid points and the calendar. Columns
+    are summed feature by feature, so that equal rows predict alike wherever
+    they stand; slopes that are a positive multiple of another's rank alike and
+    are ranked once.
+    """
+    models: dict = {}
+    for m in trials.select("fold", "inner", "config", "slope", "const").collect():
+        models.setdefault((m["fold"], m["inner"]), []).append((m["config"], m["slope"], m["const"]))
+    tested: dict = {}
+    for t in fold_dates(inner, dates, "test").collect():
+        tested.setdefault(t["week_ending_friday"], []).append((t["fold"], t["inner"]))
+
+    def score(key, table):
+        n = table.num_rows
+        cells = [(*span, *model) for span in tested.get(key[0].as_py(), []) for model in models.get(span, [])]
+        if n < MIN_PAIRS or not cells:
+            return _SCORES.empty_table()
+        slopes, consts = np.array([c[3] for c in cells]), np.array([c[4] for c in cells])
+        norm = np.abs(slopes).max(axis=1, keepdims=True)
+        _, first, same = np.unique(np.round(slopes / np.where(norm > 0, norm, 1.0), 13), axis=0, return_index=True, return_inverse=True)
+        predicted = np.tile(consts[first], (n, 1))
+        for j, c in enumerate(columns):
+            predicted += table.column(c).to_numpy()[:, None] * slopes[first, j]
+        ic = rank_correlations(predicted, table.column(TARGET).to_numpy())[same.ravel()]
+        kept = [(*c[:3], key[0].as_py(), float(v)) for c, v in zip(cells, ic) if np.isfinite(v)]
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*kept), _SCORES)], schema=_SCORES) if kept else _SCORES.empty_table()
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    wanted = fold_dates(inner, dates, "test").select("week_ending_friday").distinct()
+    return (rows.join(F.broadcast(wanted), "week_ending_friday", "left_semi")
+            .select("week_ending_friday", TARGET, *columns).repartition(tasks, "week_ending_friday")
+            .groupBy("week_ending_friday").applyInArrow(
+                score, "fold int, inner int, config int, week_ending_friday date, ic double"))
+
+
+_SCORES = pa.schema([("fold", pa.int32()), ("inner", pa.int32()), ("config", pa.int32()),
+                     ("week_ending_friday", pa.date32()), ("ic", pa.float64())])
 
 
 def coefficient_table(coefs: DataFrame) -> DataFrame:

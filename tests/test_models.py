@@ -304,3 +304,26 @@ def test_welch_and_coupling(spark):
     keep = s > 0
     want = np.corrcoef(np.diff(np.log(s[keep])), np.diff(np.log(v[keep])))[0, 1]
     assert len(got) == 1 and got[0].n_obs == 68 and abs(got[0].corr_svi_volume - want) < 1e-12
+
+
+def test_rank_correlations_of_columns():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 6, (40, 5)).astype(float), rng.integers(0, 9, 40).astype(float)
+    x[:, 3] = 2.0
+    want = [pd.Series(x[:, c]).rank().corr(pd.Series(y).rank()) for c in range(5)]
+    got = L.rank_correlations(x, y)
+    assert np.isnan(got[3]) and np.isnan(want[3])
+    same(np.delete(want, 3), np.delete(got, 3))
+    assert np.isnan(L.rank_correlations(x, np.ones(40))).all()
+
+
+def test_scores_by_date_equal_scores_spread(rows, monkeypatch):
+    """Dates scored in a task and rankings spread over tasks pick the same configs and score alike."""
+    _, df = rows
+    grid = L.ENET_GRID[::4]
+    a, one = L.nested_enet(df, 3, 2, 40, grid=grid)
+    monkeypatch.setattr(L, "fits", lambda *_, **__: False)
+    b, other = L.nested_enet(df, 3, 2, 40, grid=grid)
+    assert [tuple(r) for r in one.orderBy("fold").select("fold", "config").collect()] == [
+        tuple(r) for r in other.orderBy("fold").select("fold", "config").collect()]
+    assert a.count() == b.count()
