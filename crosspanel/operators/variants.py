@@ -283,7 +283,8 @@ def sweep(df: DataFrame, preds: list[str], variants: tuple[str, ...] = VARIANTS,
         raise ValueError(f"unknown variant: {unknown[0]}")
     parts = []
     for pred in preds:
-        plain = df.select(DATE, "ticker", "fwd_return", "sector", F.col(pred).alias("_signal"))
+        beta = ["beta"] if "beta" in df.columns else []
+        plain = df.select(DATE, "ticker", "fwd_return", "sector", *beta, F.col(pred).alias("_signal"))
         if "baseline" in variants or set(variants) & set(POLICIES):
             parts.append(plain.withColumn("book", F.lit(f"{pred}:baseline")))
         if "signal_smooth" in variants:

@@ -40,6 +40,10 @@ class Inputs:
     interest: dict[str, str]                      # source name -> folder
     timelines: DataFrame | None = None            # (ticker, mode, chunk_no, payload)
     news: DataFrame | None = None                 # (ticker, date, tone, volume)
+    news_files: str | None = None                 # folder of daily news files, validated before use
+    anchors: str | None = None                    # anchor files; the source "anchored" is rescaled by them
+    batches: DataFrame | None = None              # (ticker, batch) as recorded when the series were pulled
+    betas: DataFrame | None = None                # (ticker, beta) for beta-neutral books
     members: DataFrame | None = None              # (ticker, keyword, sector)
     starts: DataFrame | None = None
     splits: DataFrame | None = None
@@ -61,6 +65,15 @@ class Settings:
     embargo: int = 1
     trees: int = 300
     boosting: bool = True
+    walk_forward: bool = True                     # fit the plain walk-forward models beside the nested ones
+    zero_handling: str = "ffill"
+    average_anchor: bool = True
+    batch_tolerance: float = 5.0
+    scheme: str = "rank"
+    sector_neutral: bool = True
+    beta_neutral: bool = False
+    max_weight: float = 0.05
+    gross: float = 2.0
     aum: float = 10e6
     linear_bps: float = 5.0
     impact_c: float = 0.5
@@ -76,11 +89,43 @@ def with_defaults(spark: SparkSession, inputs: Inputs) -> Inputs:
     return inputs
 
 
-def load_interest(spark: SparkSession, folders: dict[str, str], mode: str) -> DataFrame:
+def rescale_anchored(spark: SparkSession, series: DataFrame, inputs: Inputs, s: Settings, keep) -> DataFrame:
+    """The anchored source in units of its batch's anchor; batches are the recorded ones or the nearest in time."""
+    anchors = stage(files.read_anchors(spark, inputs.anchors), "anchors")
+    pulled = series.groupBy("ticker").agg(F.max("modified").alias("at"))
+    entities = (pulled.join(inputs.batches, "ticker", "left") if inputs.batches is not None
+                else pulled.withColumn("batch", F.lit(None).cast("int")))
+    marks = anchors.groupBy("batch").agg(F.max("modified").alias("at"))
+    batches = keep("anchor_batches", R.match_batches(entities, marks, s.batch_tolerance))
+    anchor = R.anchor_for_entities(series, batches, anchors, s.average_anchor)
+    rescaled = stage(R.rescale(series, anchor, s.zero_handling), "rescaled")
+    keep("rescale_stats", R.rescale_stats(rescaled))
+    keep("rescale_summary", R.rescale_summary(series, rescaled))
+    return rescaled.select("ticker", "date", F.col("search_interest_rescaled").alias("search_interest"))
+
+
+def load_interest(spark: SparkSession, inputs: Inputs, s: Settings, keep) -> DataFrame:
     """The chosen series per entity out of the given sources."""
-    parts = [files.read_interest(spark, path).drop("modified").withColumn("source", F.lit(name))
-             for name, path in folders.items()]
-    return R.choose_source(reduce(DataFrame.unionByName, parts), mode)
+    parts = []
+    for name, path in inputs.interest.items():
+        series = files.read_interest(spark, path)
+        if name == "anchored" and inputs.anchors:
+            series = rescale_anchored(spark, stage(series, "anchored"), inputs, s, keep)
+        parts.append(series.select("ticker", "date", "search_interest", F.lit(name).alias("source")))
+    return R.choose_source(reduce(DataFrame.unionByName, parts), s.interest_mode)
+
+
+NEWS_FIELDS = ["date", "tone", "volume"]
+
+
+def load_news_files(spark: SparkSession, inputs: Inputs, s: Settings, keep) -> DataFrame:
+    """Daily news from files, those that fail validation left out and named in ``news_validation``."""
+    rows = stage(files.scan_entity_csv(spark, inputs.news_files, NEWS_FIELDS), "news-rows")
+    lacking = files.files_lacking(spark, inputs.news_files, NEWS_FIELDS)
+    failed = keep("news_validation", Q.validate_news_directory(rows, inputs.members, *s.horizon, lacking=lacking))
+    return rows.join(failed, "ticker", "left_anti").select(
+        "ticker", F.col("date").try_cast("date").alias("date"), F.col("tone").try_cast("double").alias("tone"),
+        F.col("volume").try_cast("double").alias("volume"))
 
 
 def build_panel(returns: DataFrame, interest: DataFrame, daily_news: DataFrame | None,
@@ -100,14 +145,32 @@ def build_panel(returns: DataFrame, interest: DataFrame, daily_news: DataFrame |
     return standardized, P.imputation_report(*reports)
 
 
-def manifest(panel: DataFrame, s: Settings) -> DataFrame:
-    return panel.agg(
+def manifest(panel: DataFrame, s: Settings, coverage: DataFrame, imputation: DataFrame) -> DataFrame:
+    """One row: parameters, counts, date range, and the coverage and policy reports as arrays."""
+    rows = lambda df: df.agg(F.collect_list(F.struct(*df.columns)).alias("r")).scalar()
+    counts = panel.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ticker").alias("n_tickers"),
         F.count_distinct("week_ending_friday").alias("n_weeks"), F.min("week_ending_friday").alias("first_week"),
-        F.max("week_ending_friday").alias("last_week")).select(
+        F.max("week_ending_friday").alias("last_week"))
+    return counts.select(
         F.lit("build_panel").alias("step"), F.lit(s.horizon[0]).alias("horizon_start"),
         F.lit(s.horizon[1]).alias("horizon_end"), F.lit(s.min_days).alias("min_days"),
-        F.lit(s.min_fraction).alias("min_fraction"), "*")
+        F.lit(s.min_fraction).alias("min_fraction"), "*",
+        rows(coverage).alias("coverage"), rows(imputation).alias("imputation"))
+
+
+def walk_forward(features: DataFrame, s: Settings, keep) -> None:
+    """The plain walk-forward models: predictions, summaries, mean coefficients, gain importance."""
+    enet, coefs = L.walk_forward_enet(features, s.folds, s.min_train, s.purge, s.embargo)
+    out, names = enet, ["pred_enet"]
+    keep("walk_forward_coefficients", L.coefficient_table(coefs))
+    if s.boosting:
+        trees, nodes = B.walk_forward_gbt(features, s.folds, s.min_train, s.purge, s.embargo, s.trees)
+        out = out.join(trees.select("week_ending_friday", "ticker", "pred_gbt"), ["week_ending_friday", "ticker"], "left")
+        names.append("pred_gbt")
+        keep("gain_importance", B.importance_table(nodes))
+    preds = keep("walk_forward_predictions", out)
+    keep("walk_forward_summary", reduce(DataFrame.unionByName, [E.summarise(preds, m, m) for m in names]))
 
 
 def predict(features: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -138,29 +201,33 @@ def run(spark: SparkSession, inputs: Inputs, out: str, settings: Settings | None
     returns = keep("daily_returns", A.daily_log_returns(prices).select("ticker", "date", "adj_close", "daily_return"))
     keep("short_history", A.short_history(returns))
 
-    interest = keep("interest", load_interest(spark, inputs.interest, s.interest_mode))
+    interest = keep("interest", load_interest(spark, inputs, s, keep))
     keep("series_information", Q.series_information(interest))
     daily_news = inputs.news
     if inputs.timelines is not None:
         checked = news.check_timelines(inputs.timelines)
         keep("news_errors", news.timeline_errors(checked))
         daily_news = keep("news_daily", news.assemble_daily(news.daily_points(checked)))
+    elif inputs.news_files:
+        daily_news = keep("news_daily", load_news_files(spark, inputs, s, keep))
     sources = {"prices": prices, "trends": interest}
     if daily_news is not None:
         sources["news"] = daily_news
-    keep("input_coverage", Q.input_coverage(inputs.members, sources))
+    coverage = keep("input_coverage", Q.input_coverage(inputs.members, sources))
 
     standardized, imputation = build_panel(returns, interest, daily_news, inputs, s)
     panel = keep("panel", standardized)
-    keep("imputation", imputation)
+    imputation = keep("imputation", imputation)
     written["panel_manifest"] = f"{out}/panel_manifest"
-    files.write_manifest(manifest(panel, s), written["panel_manifest"])
+    files.write_manifest(manifest(panel, s, coverage, imputation), written["panel_manifest"])
 
     base = stage(panel.select("week_ending_friday", "ticker", "sector", "weekly_return", "trends_interest"), "base")
     ranked = stage(FE.feature_table(base), "ranked")
     features = bounded_like(keep("features", ranked), ranked)
     keep("feature_coverage", Q.feature_coverage(features, FE.FEATURES + [FE.TARGET]))
 
+    if s.walk_forward:
+        walk_forward(features, s, keep)
     predictions, coefs, models = predict(features, s)
     predictions = keep("predictions", predictions)
     keep("coefficients", L.coefficient_table(coefs))
@@ -169,7 +236,11 @@ def run(spark: SparkSession, inputs: Inputs, out: str, settings: Settings | None
                                    ["week_ending_friday", "ticker"], "left"), "predictions")
     keep("model_summary", reduce(DataFrame.unionByName, [E.summarise(preds, m, m) for m in models]))
 
-    weights = keep("weights", V.sweep(preds, models, s.variants))
+    if inputs.betas is not None:
+        preds = stage(preds.join(inputs.betas, "ticker", "left"), "predictions-betas")
+    weights = keep("weights", V.sweep(
+        preds, models, s.variants, gross=s.gross, scheme=s.scheme, sector_neutral=s.sector_neutral,
+        beta_neutral=s.beta_neutral, max_weight=s.max_weight))
     cost = PF.costs(PF.trades(weights), PF.average_dollar_volume(prices), PF.annual_volatility(preds),
                     s.aum, s.linear_bps, s.impact_c)
     book_returns = keep("book_returns", PF.returns(weights, cost))
