@@ -27,7 +27,7 @@ from crosspanel.operators import quality as Q
 from crosspanel.operators import rescale as R
 from crosspanel.operators import variants as V
 from crosspanel.session import bounded_like, stage
-from crosspanel.sources import files, news, universe
+from crosspanel.sources import files, ledger, news, universe
 
 # The study horizon, both days included.
 HORIZON = ("2021-08-01", "2026-07-27")
@@ -44,6 +44,7 @@ class Inputs:
     anchors: str | None = None                    # anchor files; the source "anchored" is rescaled by them
     batches: DataFrame | None = None              # (ticker, batch) as recorded when the series were pulled
     betas: DataFrame | None = None                # (ticker, beta) for beta-neutral books
+    landing: str | None = None                    # folder where price files land by week and are read only when changed
     members: DataFrame | None = None              # (ticker, keyword, sector)
     starts: DataFrame | None = None
     splits: DataFrame | None = None
@@ -194,7 +195,10 @@ def run(spark: SparkSession, inputs: Inputs, out: str, settings: Settings | None
         files.write_table(df, written[name])
         return spark.read.schema(df.schema).parquet(written[name])
 
-    prices = keep("prices", files.read_prices(spark, inputs.prices))
+    if inputs.landing:
+        ledger.land_prices(spark, inputs.prices, f"{inputs.landing}/prices", f"{inputs.landing}/ledger")
+        landed = files.read_table(spark, f"{inputs.landing}/prices", ["ticker", "date", "close", "adj_close", "volume"])
+    prices = keep("prices", landed if inputs.landing else files.read_prices(spark, inputs.prices))
     checks = keep("price_checks", Q.price_checks(prices, inputs.starts))
     splits = keep("split_checks", Q.split_checks(prices, inputs.splits))
     keep("flag_counts", Q.flag_counts(Q.entity_flags(checks, splits)))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from crosspanel.plans.pipeline import Inputs, Settings, run
-from crosspanel.sources import universe
+from crosspanel.sources import ledger, universe
 
 
 def test_workflow(spark, tmp_path):
@@ -78,6 +78,7 @@ def test_anchored_series_news_files_and_book_options(spark, tmp_path):
     out = run(spark, Inputs(
         prices=folder("prices"), interest={"anchored": folder("anchored")}, anchors=folder("anchors"), news_files=folder("news"),
         batches=spark.createDataFrame([(t, 1 + i % 2) for i, (t, _, _) in enumerate(members)], "ticker string, batch int"),
+        landing=folder("landing"),
         betas=spark.createDataFrame([(t, .5 + i / 10) for i, (t, _, _) in enumerate(members)], "ticker string, beta double"),
         members=spark.createDataFrame(members, "ticker string, keyword string, sector string")),
         str(tmp_path / "out"), Settings(nested_folds=1, inner_folds=1, min_train=52, folds=2, trees=3, interest_mode="anchored",
@@ -86,6 +87,8 @@ def test_anchored_series_news_files_and_book_options(spark, tmp_path):
     got = {(r.ticker, r.date): r.search_interest for r in read["interest"].collect()}
     assert all(abs(got[t, d] - raw[t][j] / (20 * (1 + i % 2))) < 1e-12 for i, (t, _, _) in enumerate(members)
                for j, d in enumerate(sundays.date))
+    assert read["prices"].count() == 16 * len(days)
+    assert ledger.land_prices(spark, folder("prices"), folder("landing") + "/prices", folder("landing") + "/ledger") == ledger.Landed(0, 0, 0)
     assert read["rescale_stats"].count() == 16 and read["rescale_summary"].count() == 110
     assert {r.ticker: r.errors for r in read["news_validation"].collect()} == {
         members[3][0]: ["negative volume value(s)"], members[4][0]: ["file is missing"]}
