@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from crosspanel.llm.url_filters import ENTITIES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 
@@ -131,21 +133,33 @@ def url_filters(rules: list[tuple[str, str, str]]) -> str:
     path = f"CASE WHEN contains({{u}}, '://') THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END"
     query = r"regexp_extract({u}, '^[^?#]*(\?[^#]*)', 1)"
     plain = rf"regexp_replace(regexp_replace({query}, '([?&])(?:utm_[^&]*(?:&|$))+', '\1', 'g'), '[?&]+$', '')"
-    key = f"CASE WHEN {host} <> '' THEN {host} || {path} || {plain} END"
+    walked = (f"list_reduce(list_prepend('', string_split({path}, '/')[2:]), lambda d, x: CASE x WHEN '.' THEN d "
+              f"WHEN '..' THEN regexp_replace(d, '/[^/]*$', '') ELSE d || '/' || x END)")
+    walked = (f"CASE WHEN contains({path}, '/.') THEN {walked} || CASE WHEN regexp_matches({path}, '/\\.\\.?$') "
+              f"THEN '/' ELSE '' END ELSE {path} END")
+    key = f"CASE WHEN {host} <> '' THEN {host} || {walked} || {plain} END"
     tag = r"(?i)<{t}\b[^>]*\b{a}\s*=\s*[\"'']?{v}\b[^>]*>"
+
+    def decoded(link: str) -> str:
+        for entity, mark in ENTITIES:
+            link = f"replace({link}, '{entity}', '{mark.replace(chr(39), chr(39) * 2)}')"
+        return link
     link = lambda t, a, v, target: (
-        f"regexp_extract(regexp_extract(html, '{tag.format(t=t, a=a, v=v)}'), '(?i)\\b{target}\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)")
+        f"list_transform(regexp_extract_all(html, '{tag.format(t=t, a=a, v=v)}'), lambda t: "
+        + decoded(f"regexp_extract(t, '(?i)\\b{target}\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)") + ")")
     return rf"""
 WITH RECURSIVE own AS (
-  SELECT row_number() OVER () AS row_id, page_id, coalesce({host.format(u='url')}, '') AS host,
+  SELECT row_number() OVER () AS row_id, page_id, url, coalesce({host.format(u='url')}, '') AS host,
     coalesce({path.format(u='url')}, '') AS path, {key.format(u='url')} AS key,
-    {link('link', 'rel', 'canonical', 'href')} AS canonical, {link('meta', 'http-equiv', 'refresh', 'url')} AS refresh
+    list_concat({link('link', 'rel', 'canonical', 'href')}, {link('meta', 'http-equiv', 'refresh', 'url')}) AS links
   FROM pages),
 full_links AS (
-  SELECT key AS a, CASE WHEN contains(l, '://') THEN l WHEN l LIKE '//%' THEN ':' || l
-    WHEN l LIKE '/%' THEN '://' || host || l
+  SELECT key AS a, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l
+    WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN l LIKE '//%' THEN ':' || l
+    WHEN l LIKE '/%' THEN '://' || host || l WHEN l LIKE '#%' THEN url
+    WHEN l LIKE '?%' THEN '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || l
     ELSE '://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || l END AS l
-  FROM (SELECT key, host, path, unnest([canonical, refresh]) AS l FROM own) WHERE l <> ''),
+  FROM (SELECT key, url, host, path, unnest(links) AS l FROM own) WHERE l <> ''),
 edges AS (
   SELECT a, b FROM (SELECT a, {key.format(u='l')} AS b FROM full_links) WHERE a <> b),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),

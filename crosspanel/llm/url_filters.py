@@ -3,8 +3,10 @@ r"""URL allow and block rules that hold for a page's aliases too (operator 7).
 A rule names a host (with all its subdomains) and the beginning of a path; of
 the rules that fit a page the longest decides. Pages without a rule take the
 decision of their aliases: urls are joined where one redirects to the other
-(``http-equiv=refresh``, or a given table) or names it as canonical, and where
-they differ only in scheme, fragment or ``utm_`` parameters. Connected
+(``http-equiv=refresh``, or a given table) or names it as canonical, in any of
+its tags, and where they differ only in scheme, fragment, dot segments or
+``utm_`` parameters. Links are resolved against the page's url: a scheme counts
+at their start only, entities of marks that urls hold are decoded. Connected
 components of those edges are found by distributed star steps; a component
 holding a blocked page blocks its pages without a rule, unless it also holds an
 explicitly allowed one. All else is allowed.
@@ -42,20 +44,50 @@ def path_of(url: Column) -> Column:
     return F.coalesce(found, F.lit(""))
 
 
+#: Entities of the marks that urls hold; the ampersand comes last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"),
+            ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#61;", "="), ("&#x3d;", "="), ("&#x3D;", "="), ("&#38;", "&"), ("&#x26;", "&"),
+            ("&amp;", "&")]
+
+
+def decoded(link: Column) -> Column:
+    for entity, mark in ENTITIES:
+        link = F.replace(link, F.lit(entity), F.lit(mark))
+    return link
+
+
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are resolved; none climbs above the host."""
+    parts = F.split(path, "/")
+    walked = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x)))
+    return F.when(F.contains(path, F.lit("/.")), F.concat(
+        walked, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
 def alias_key(url: Column) -> Column:
     """What urls of one resource share; null without a host."""
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
     plain = F.regexp_replace(F.regexp_replace(query, _TRACKING, "$1"), "[?&]+$", "")
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), plain))
+    return F.when(host_of(url) != "", F.concat(host_of(url), without_dots(path_of(url)), plain))
 
 
 def resolved(link: Column, base: Column) -> Column:
-    """A link of a page as a full url; null for an empty one."""
-    folder = F.concat(F.lit("://"), host_of(base), F.regexp_replace(
-        F.when(path_of(base) == "", "/").otherwise(path_of(base)), "[^/]*$", ""))
-    return F.when(link == "", None).when(link.contains("://"), link) \
+    """A link of a page as a full url; null for an empty one and for schemes without a host."""
+    here = F.concat(F.lit("://"), host_of(base), F.when(path_of(base) == "", "/").otherwise(path_of(base)))
+    return F.when(link == "", None).when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link) \
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None) \
         .when(link.startswith("//"), F.concat(F.lit(":"), link)) \
-        .when(link.startswith("/"), F.concat(F.lit("://"), host_of(base), link)).otherwise(F.concat(folder, link))
+        .when(link.startswith("/"), F.concat(F.lit("://"), host_of(base), link)) \
+        .when(link.startswith("#"), base).when(link.startswith("?"), F.concat(here, link)) \
+        .otherwise(F.concat(F.regexp_replace(here, "[^/]*$", ""), link))
+
+
+def links_of(html: Column) -> Column:
+    """Targets of all canonical and refresh tags, as they stand."""
+    found = lambda tag, target: F.transform(
+        F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: decoded(F.regexp_extract(t, target, 1)))
+    return F.filter(F.concat(found(_CANONICAL, _HREF), found(_REFRESH, _TARGET)), lambda link: link != "")
 
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -86,9 +118,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataF
     url, html = F.col("url"), F.col("html")
     linked = pages.select(
         "page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), alias_key(url).alias("key"),
-        F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1).alias("canonical"),
-        F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1).alias("refresh"))
-    edges = linked.select("key", F.explode(F.array("canonical", "refresh")).alias("link"), "url").where("link <> ''").select(
+        links_of(html).alias("links"))
+    edges = linked.select("key", F.explode("links").alias("link"), "url").select(
         F.col("key").alias("a"), alias_key(resolved(F.col("link"), F.col("url"))).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(

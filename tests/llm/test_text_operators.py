@@ -376,6 +376,30 @@ def test_url_filters(spark):
     assert more[14] == more[15] == "block"
 
 
+LINKED_PAGES = [
+    (0, "http://x.com/de/1?a=1&b=2", ""), (1, "http://x.com/de/2", ""), (2, "http://x.com/de/b/c", ""),
+    (3, "http://a.net/1", '<link rel="canonical" href="http://x.com/de/1?a=1&amp;b=2">'),
+    (4, "http://a.net/2", '<link rel=canonical href="http://a.net/2"><link href="http://x.com/de/2" rel="canonical">'),
+    (5, "http://x.com/y/z", '<meta http-equiv="refresh" content="0; url=../de/b/./d/../c">'),
+    (6, "http://x.com/q/", '<link rel="canonical" href="r?to=http://x.com/de/2">'), (7, "http://x.com/q/r?to=http://x.com/de/2", ""),
+    (8, "http://b.net/", '<link rel="canonical" href="mailto:x">'), (9, "http://b.net/mailto:x", '<link rel="canonical" href="#top">'),
+    (10, "http://c.net/p", '<link rel="canonical" href="?k=1">'), (11, "http://c.net/p?k=1", '<link rel="canonical" href="//x.com/de/2">'),
+    (12, "http://d.net/a/../../b", '<link rel="canonical" href="https://x.com/en/../de/./2">'), (13, "http://d.net/b", None), (14, None, None)]
+
+
+def test_url_links_of_all_kinds(spark):
+    """Entities, several tags, dot segments, schemes inside a query, schemes without a host; the SQL says the same."""
+    import duckdb
+    import pandas as pd
+    from crosspanel.llm import oracles
+    pages = spark.createDataFrame(LINKED_PAGES, "page_id long, url string, html string")
+    got = sorted(map(tuple, url_filters.judged(pages, RULES).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert {r[0] for r in got if r[4] == "block"} == {0, 1, 2, 3, 4, 5, 10, 11, 12, 13}
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(LINKED_PAGES, columns=["page_id", "url", "html"]))
+    assert sorted(con.execute(oracles.url_filters(RULES)).fetchall()) == got
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
