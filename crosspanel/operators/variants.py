@@ -218,18 +218,17 @@ def apply_policy(targets: DataFrame, blend: float = 0.4, band: float = 0.004, gr
     own = lambda c, default: F.col(c) if c in targets.columns else F.lit(float(default)).alias(c)
     targets = stage(targets.select("book", "policy", DATE, "ticker", "fwd_return", "weight", own("blend", blend), own("band", band)),
                     "policy-targets")
-    dates = stage(targets.select("book", DATE).distinct().withColumn(
-        "day", (F.row_number().over(Window.partitionBy("book").orderBy(DATE)) - 1).cast("int")), "policy-dates")
+    dates = targets.select("book", DATE).distinct().withColumn(
+        "day", (F.row_number().over(Window.partitionBy("book").orderBy(DATE)) - 1).cast("int"))
     # A row per book and name; its arrays are bounded by the calendar.
     series = stage(targets.join(F.broadcast(dates), ["book", DATE]).groupBy("book", "ticker").agg(
         F.sort_array(F.collect_list(F.struct("day", DATE, "weight", "fwd_return"))).alias("s")).select(
         "book", "ticker", F.col("s.day").alias("days"), F.col("s.weight").alias("weights"),
         F.col(f"s.{DATE}").alias("dates"), F.col("s.fwd_return").alias("forward")), "policy-series")
-    sizes = dates.groupBy("book").agg(F.count(F.lit(1)).alias("n"))
-    rules = targets.groupBy("book").agg(*[F.first(c).alias(c) for c in ("policy", "blend", "band")])
-    names = series.groupBy("book").agg(F.count(F.lit(1)).alias("names"))
-    books = {r["book"]: Book(r["policy"], r["blend"], r["band"], gross, r["n"], r["names"])
-             for r in sizes.join(rules, "book").join(names, "book").collect()}
+    rules = targets.groupBy("book").agg(
+        F.count_distinct(DATE).alias("n"), F.count_distinct("ticker").alias("names"),
+        *[F.first(c).alias(c) for c in ("policy", "blend", "band")])
+    books = {r["book"]: Book(r["policy"], r["blend"], r["band"], gross, r["n"], r["names"]) for r in rules.collect()}
     if all(len(b.mean) * b.n_names <= cells_per_task for b in books.values()):
         series = series.repartition(max(1, len(books)), "book")
     made = 0
