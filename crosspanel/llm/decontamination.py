@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.text import LOWER, NOT_WORD, byte_rows
+from crosspanel.llm.text import LOWER, NOT_WORD, byte_rows, free_name
 
 WINDOW, SHARE = 13, 20
 BLOCK_BYTES = 16 << 20
@@ -144,6 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """``docs`` without contaminated documents, columns unchanged."""
-    found = with_occurrences(docs, benchmark, window, into="__occurrences")
-    return found.where(~is_contaminated("__occurrences", share)).select(*docs.columns)
+    """``docs`` without contaminated documents, columns unchanged, whatever their names."""
+    into = free_name(docs, "occurrences")
+    found = with_occurrences(docs, benchmark, window, into=into)
+    return found.where(~is_contaminated(into, share)).select(*(f"`{c}`" for c in docs.columns))

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crosspanel.llm.text import free_name
+
 _LOCAL = "A-Za-z0-9._%+-"
 _EDGE = (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])")
 _IBAN = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
@@ -82,15 +84,15 @@ def _confirmed(kind: str):
     return lambda m: _valid(kind, m.value)
 
 
-def _chosen(kind: str):
+def _chosen(kind: str, kept: dict[str, str]):
     """Matches to mask: the confirmed ones; of a kind that needs context, values that have it in the unmasked text."""
-    if KINDS[kind][2] < MIN_SCORE:
-        return lambda m: F.array_contains(f"_kept_{kind}", m.value)
+    if kind in kept:
+        return lambda m: F.array_contains(kept[kind], m.value)
     return _confirmed(kind)
 
 
-def _masked(kind: str):
-    return lambda gap, m: F.concat(gap, F.when(_chosen(kind)(m), f"[{kind.upper()}]").otherwise(m.value))
+def _masked(kind: str, kept: dict[str, str]):
+    return lambda gap, m: F.concat(gap, F.when(_chosen(kind, kept)(m), f"[{kind.upper()}]").otherwise(m.value))
 
 
 def _numbered(text: Column, kind: str) -> Column:
@@ -173,15 +175,15 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _without(kind: str):
-    """A text with the kind's confirmed matches replaced."""
+def _without(kind: str, kept: dict[str, str]):
+    """A text with the kind's confirmed matches replaced; ``kept`` names the columns of values with context."""
     def rebuilt(gaps: Column, matches: Column) -> Column:
-        kept = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, _masked(kind))
-        return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
+        put = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, _masked(kind, kept))
+        return F.concat(F.array_join(put, ""), F.element_at(gaps, -1))
 
     def body(text: Column) -> Column:
         return _let(_numbered(text, kind), lambda matches: F.when(
-            F.exists(matches, _chosen(kind)),
+            F.exists(matches, _chosen(kind, kept)),
             _let(F.split(text, KINDS[kind][0], -1), lambda gaps: rebuilt(gaps, matches))).otherwise(text))
     return body
 
@@ -200,13 +202,14 @@ MASKED = ("iban", "email", "card", "phone", "ssn", "ip", "card", "phone")
 
 
 def mask(docs: DataFrame, kinds: tuple[str, ...] = MASKED) -> DataFrame:
-    """``docs`` with confirmed personal data in ``text`` replaced by [KIND]; n_chars, where there is one, follows."""
+    """``docs`` with confirmed personal data in ``text`` replaced by [KIND]; n_chars, where there is one, follows; other columns stay, whatever their names."""
     text = F.col("text").cast("string")
-    out = docs.withColumns({f"_kept_{k}": _kept(text, k) for k in kinds if KINDS[k][2] < MIN_SCORE})
+    names = {k: free_name(docs, f"kept_{k}") for k in kinds if KINDS[k][2] < MIN_SCORE}
+    out = docs.withColumns({name: _kept(text, k) for k, name in names.items()})
     for k in kinds:
-        text = _let(text, _without(k))
+        text = _let(text, _without(k, names))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), changed).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(f"`{c}`" for c in docs.columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.text import LOWER, byte_rows
+from crosspanel.llm.text import LOWER, byte_rows, free_name
 
 SAMPLE, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE = 60, 30, 0.15
@@ -198,6 +198,7 @@ def with_quality(docs: DataFrame, model: dict, text: str = "text", into: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` scored at ``least`` or more by a model trained on their own labels, columns unchanged."""
-    return with_quality(docs, train(docs, labels), into="__quality").where(
-        F.col("__quality") >= least).select(*docs.columns)
+    """``docs`` scored at ``least`` or more by a model trained on their own labels, columns unchanged, whatever their names."""
+    into = free_name(docs, "quality_score")
+    return with_quality(docs, train(docs, labels), into=into).where(
+        F.col(into) >= least).select(*(f"`{c}`" for c in docs.columns))

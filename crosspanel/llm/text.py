@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
 _HASH_BYTES = 1 << 20
@@ -137,3 +138,11 @@ class Remembered:
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         return found
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
