@@ -23,11 +23,8 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
-from array import array
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,93 +34,192 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crosspanel.llm.graph import staged
-from crosspanel.llm.text import Remembered, byte_rows
+from crosspanel.llm.text import LOWER, WHITE, row_slices, span_hashes, text_bytes, word_spans
 
 CAPACITY, END = 2048, 0
-_BATCH_CHUNKS, _LINE = 20_000, 128
-#: Pieces that the tokenizer's first split makes of ASCII and Latin-1: runs of letters, digits, runs of other signs.
-_PARTS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-
+_BATCH_CHUNKS, _LINE, _GATHERED = 20_000, 128, 1 << 18
+
+#: Byte kinds within words, as the tokenizer's first split sees them: letters, digits (each alone), other signs.
+_LETTER, _DIGIT, _SIGN, _OTHER = range(1, 5)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[0x21:0x7F] = _SIGN
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[0x20] = 0
+#: Second bytes of Latin-1 letters, whose first byte is 0xC3.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+
+class Arena:
+    """Ids of words by the hash of their bytes, one behind the other: found once, gathered often.
+
+    Beyond ``most`` words only those of the last slice stay, and words of more
+    than ``longest`` bytes never do. A 64-bit hash tells the words of one slice
+    and the kept ones apart.
+    """
 
-def _encoded(tokenizer: Tokenizer):
-    """Little-endian unsigned 32-bit ids of space-separated chunks.
+    def __init__(self, make, most: int = 400_000, longest: int = 64):
+        self.make, self.most, self.longest = make, most, longest
+        self.ids = np.zeros(0, "<u4")
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands among the kept ones, and whether it does."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def _add(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        ids, size = self.make(chunks)
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
+        hashes, at, size = (np.concatenate(x) for x in ((self.hashes, hashes), (self.at, at), (self.size, size)))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.size = hashes[order], at[order], size[order]
+
+    def _keep(self, chosen: np.ndarray) -> None:
+        """Only the chosen words, their ids moved together."""
+        self.hashes, at, self.size = self.hashes[chosen], self.at[chosen], self.size[chosen]
+        self.ids = self.ids[_spread(at, self.size)]
+        self.at = np.cumsum(self.size) - self.size
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one behind the other, and how many each word has."""
+        hashes, one, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        fresh = ~self._places(hashes)[1]
+        long = hashes[fresh][(ends - starts)[one[fresh]] > self.longest]
+        if fresh.any():
+            raw = data.tobytes()
+            self._add(hashes[fresh], [raw[i:j] for i, j in zip(starts[one[fresh]].tolist(), ends[one[fresh]].tolist())])
+        places = self._places(hashes)[0]
+        at, size = self.at[places][which], self.size[places][which]
+        ids = [self.ids[_spread(at[k:k + _GATHERED], size[k:k + _GATHERED])] for k in range(0, len(at), _GATHERED)]
+        chosen = ~np.isin(self.hashes, long) if len(long) else np.ones(len(self.hashes), bool)
+        if len(self.hashes) > self.most:
+            used = np.zeros(len(self.hashes), bool)
+            used[places] = True
+            chosen &= used
+        if not chosen.all():
+            self._keep(chosen)
+        return np.concatenate(ids) if ids else self.ids[:0], size
+
+
+class Encoder:
+    """Little-endian unsigned 32-bit ids of texts.
 
     The tokenizer drops white space and never joins what white space parts, so a
-    text's ids are those of its chunks in a row.
+    text's ids are those of its words in a row. Words of letters, digits and
+    signs alone are in turn the ids of their parts in a row.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
-
-    closes = np.zeros(tokenizer.get_vocab_size(), bool)
-    closes[[k for piece, k in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-
-    def alone(chunks: list[bytes]) -> list[bytes]:
-        made = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in made]
-
-    def make(chunks: list[bytes]) -> list[bytes]:
-        """Plain chunks many at a time, parted again where pieces end a part; the rest one by one."""
-        made = {}
-        plain, parts, other = [], [], []
-        for c in chunks:
-            found = _PARTS.findall(c)
-            if sum(map(len, found)) == len(c) and b"<|" not in c:
-                plain.append(c)
-                parts.append(len(found))
-            else:
-                other.append(c)
-        lines = [slice(k, k + _LINE) for k in range(0, len(plain), _LINE)]
-        texts = [b" ".join(plain[x]).decode() for x in lines]
-        for x, line in zip(lines, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(line.ids, "<u4")
-            ends, last = 4 * (np.flatnonzero(closes[ids]) + 1), np.cumsum(parts[x])
-            if len(ends) == last[-1]:
-                raw, ends = ids.tobytes(), ends[last - 1].tolist()
-                made.update((c, raw[i:j]) for c, i, j in zip(plain[x], [0, *ends], ends))
-            else:
-                other += plain[x]
-        for k in range(0, len(other), _BATCH_CHUNKS):
-            some = other[k:k + _BATCH_CHUNKS]
-            made.update(zip(some, alone(some)))
-        return [made[c] for c in chunks]
-    return Remembered(make)
-
-
-def _groups(texts, size: int = 1 << 20):
-    """Texts in lists of about ``size`` bytes."""
-    some, n = [], 0
-    for i, t in enumerate(texts):
-        some.append((i, t))
-        n += len(t)
-        if n >= size:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
+
+    def __init__(self, tokenizer: Tokenizer, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
+        self.tokenizer, self.end = tokenizer, end
+        self.closes = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.closes[[k for piece, k in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.lowers = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.words, self.parts = Arena(self._of_words), Arena(self._of_parts)
+
+    def _alone(self, chunks: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for k in range(0, len(chunks), _BATCH_CHUNKS)
+                for e in self.tokenizer.encode_batch_fast(
+                    [c.decode() for c in chunks[k:k + _BATCH_CHUNKS]], add_special_tokens=False)]
+
+    def _of_parts(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts many at a time, told apart again by the pieces that end one; lines where that fails part by part."""
+        lines = [chunks[k:k + _LINE] for k in range(0, len(chunks), _LINE)]
+        made, sizes = [], []
+        texts = [b" ".join(x).decode() for x in lines]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(line):
+                apart = self._alone(line)
+                ids, ends = np.concatenate(apart), np.cumsum([*map(len, apart)])
+            made.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(made), np.concatenate(sizes)
+
+    def _of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        blob = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        stop = np.cumsum([len(w) + 1 for w in words]) - 1
+        start = np.concatenate([[0], stop[:-1] + 1])
+        kind = _KINDS[blob]
+        lead = np.flatnonzero((blob[:-1] == 0xC3) & _LATIN[blob[1:]])
+        kind[lead] = kind[lead + 1] = _LETTER
+        # An apostrophe may begin a part of its own, and "<|" a special token: such words go whole.
+        odd = (kind == _OTHER) | (blob == 0x27)
+        odd[:-1] |= (blob[:-1] == 0x3C) & (blob[1:] == 0x7C)
+        whole = np.logical_or.reduceat(odd, start)
+        begins = np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == _DIGIT)
+        begins[lead + 1] = False
+        a = np.flatnonzero(begins & (kind > 0))
+        b = np.flatnonzero((kind[:-1] > 0) & begins[1:]) + 1
+        of = np.searchsorted(start, a, "right") - 1
+        a, b, of = (x[~whole[of]] for x in (a, b, of))
+        plain, n = self.parts.find(blob, a, b)
+        rest = np.flatnonzero(whole)
+        apart = self._alone([words[k] for k in rest.tolist()])
+        size = np.bincount(of, n, len(words)).astype(np.int64)
+        size[rest] = [*map(len, apart)]
+        at, out = np.cumsum(size) - size, np.empty(int(size.sum()), "<u4")
+        out[_spread(at[~whole], size[~whole])] = plain
+        if apart:
+            out[_spread(at[rest], size[rest])] = np.concatenate(apart)
+        return out, size
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with an end, and how many each text has."""
+        # Special tokens are matched before letters are lowered.
+        if self.lowers and not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():
+            data = LOWER[data]
+        starts, ends, first = word_spans(data, offsets, WHITE)
+        ids, size = self.words.find(data, starts, ends)
+        sums = np.concatenate([[0], np.cumsum(size)])
+        n = np.diff(sums[first]) + 1
+        out = np.empty(len(ids) + len(n), "<u4")
+        body = np.ones(len(out), bool)
+        body[np.cumsum(n) - 1] = False
+        out[body], out[~body] = ids, self.end
+        return out, n
+
+
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places at, at + 1, ... of every run."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(at - before, size)
 
 
 def _cut(tokenizer: Tokenizer, capacity: int, end: int):
     def run(batches):
-        encoded, ranks, part = _encoded(tokenizer), Counter(), TaskContext.get().partitionId()
-        last = np.array([end], "<u4").tobytes()
+        encoder, part = Encoder(tokenizer, end), TaskContext.get().partitionId()
+        ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows = {k: [] for k in ("row", "piece", "start", "length", "ids", "rank")}
-            for some in _groups(byte_rows(batch.column(1))):
-                split = [t.split() for _, t in some]
-                made = iter(encoded.of([c for words in split for c in words]))
-                for (i, _), words in zip(some, split):
-                    ids = b"".join([*islice(made, len(words)), last])
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        body = ids[at:at + 4 * capacity]
-                        n = len(body) // 4
-                        for k, v in zip(rows, (i, piece, at // 4, n, body, ranks[n])):
-                            rows[k].append(v)
-                        ranks[n] += 1
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(rows["row"], pa.int64())), pa.array(rows["piece"], pa.int32()),
-                pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()),
-                pa.array([zlib.crc32(x) for x in rows["ids"]], pa.int64()),
-                pa.array([part] * len(rows["row"]), pa.int32()), pa.array(rows["rank"], pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in row_slices(offsets):
+                own = offsets[a:b + 1]
+                ids, n = encoder.of(data[own[0]:own[-1]], own - own[0])
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(b - a), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(capacity, n[row] - piece * capacity)
+                ends = 4 * np.cumsum(length)
+                raw = memoryview(ids).cast("B")
+                sums = [zlib.crc32(raw[i:j]) for i, j in zip((ends - 4 * length).tolist(), ends.tolist())]
+                # Ranks go on from the task's earlier pieces of the same length.
+                order = np.argsort(length, kind="stable")
+                several, first, count = np.unique(length[order], return_index=True, return_counts=True)
+                rank = np.empty(len(row), np.int64)
+                rank[order] = np.arange(len(row)) + np.repeat(ranks[several] - first, count)
+                ranks[several] += count
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(a + row)), pa.array(piece.astype(np.int32)),
+                    pa.array(piece * capacity), pa.array(length), pa.array(sums, pa.int64()),
+                    pa.array(np.full(len(row), part, np.int32)), pa.array(rank)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
     return run
 
 
