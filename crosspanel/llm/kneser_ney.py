@@ -123,9 +123,11 @@ def _save(path: str, *columns: np.ndarray) -> None:
     os.replace(own, path)
 
 
-_GRAM_KINDS, _MANY_KINDS, MANY = (np.uint64, np.uint8), (np.uint64, np.uint32), 255
+_GRAM_KINDS, _MANY_KINDS, MANY = (np.uint64, np.uint8), (np.uint64, np.int64), 255
 _CONTEXT_KINDS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
-_WORD_KINDS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64)
+#: Sums of contexts that spread over shards, and of words, may pass 32 bits.
+_SPREAD_KINDS = (np.uint64, *[np.int64] * 4)
+_WORD_KINDS = (*_SPREAD_KINDS, np.int64, np.int64)
 
 
 def _mapped(path: str, kinds) -> list[np.ndarray]:
@@ -186,7 +188,7 @@ def _blocks(words: list[np.ndarray], spread: list[np.ndarray], hashes: np.ndarra
         first = np.flatnonzero(np.concatenate([[True], (at[1:, 1:] != at[1:, :-1]).any(0)]))
         rows.append((int(shard[a]), _blob(known[own], np.uint64), _packed(bits[a:b][first], np.uint8),
                      _packed(np.diff(first, append=b - a), np.uint32), _packed(at[0], np.uint32),
-                     _packed(at[1:, first].reshape(-1), np.uint32), *(_packed(x[a:b], np.uint32) for x in counts)))
+                     _packed(at[1:, first].reshape(-1), np.uint32), *(_packed(x[a:b], np.int64) for x in counts)))
     return rows
 
 
@@ -198,7 +200,7 @@ def _grams(table: pa.Table, n: int):
         words.append(np.repeat(own[_unpacked(row[4], np.uint32)].reshape(n, -1), runs, axis=1))
         word.append(own[_unpacked(row[3], np.uint32)])
         bits.append(np.repeat(_unpacked(row[1], np.uint8), runs))
-        counts.append([_unpacked(x, np.uint32) for x in row[5:] if x])
+        counts.append([_unpacked(x, np.int64) for x in row[5:] if x])
     return [*np.concatenate(words, axis=1)], np.concatenate(word), np.concatenate(bits), [np.concatenate(x) for x in zip(*counts)]
 
 
@@ -247,7 +249,7 @@ def _merge_sums(folder: str, level: int, shard: int, table: pa.Table) -> pa.Tabl
     parts = [_column(table, k, np.uint64) for k in range(5)]
     known, at = np.unique(parts[0], return_inverse=True)
     sums = [np.bincount(at, x, len(known)) for x in parts[1:]]
-    _save(f"{folder}/spread{level}-{shard}", known, *(x.astype(k) for x, k in zip(sums, _CONTEXT_KINDS[1:])))
+    _save(f"{folder}/spread{level}-{shard}", known, *(x.astype(k) for x, k in zip(sums, _SPREAD_KINDS[1:])))
     return _rows([])
 
 
@@ -266,7 +268,7 @@ def _merge_grams(folder: str, level: int, top: int, shards: int, words: int):
         hashes, word, bits, before = hashes[at], word[at], bits[at], [x[at] for x in before]
         context, many = contexts(before), count >= MANY
         _save(f"{folder}/grams{level}-{shard}", hashes, np.minimum(count, MANY).astype(np.uint8))
-        _save(f"{folder}/many{level}-{shard}", hashes[many], np.minimum(count[many], 0xFFFFFFFF).astype(np.uint32))
+        _save(f"{folder}/many{level}-{shard}", hashes[many], count[many])
         stats = _stats(table, 4 * (top - 1))
         stats[4 * (level - 2):4 * (level - 1)] += [int((count == n).sum()) for n in (1, 2, 3, 4)]
 
@@ -289,7 +291,7 @@ def _merge_grams(folder: str, level: int, top: int, shards: int, words: int):
         order = np.argsort(shorter, kind="stable")
         begins = _runs(shorter[order])
         at = order[begins]
-        kinds, raw = np.diff(begins, append=len(order)), np.minimum(np.add.reduceat(raw[order], begins), 0xFFFFFFFF)
+        kinds, raw = np.diff(begins, append=len(order)), np.add.reduceat(raw[order], begins)
         rows = _blocks([x[at] for x in before[:-1]], [x[at] for x in spread[:-1]], shorter[at], word[at], (kinds, raw), shards)
         rows += [(shards + k, *(_blob(x[of == k], np.uint64) for x in far_sums)) for k in np.unique(of).tolist()]
         return _rows(rows, stats)
@@ -430,10 +432,11 @@ def _score(model: dict, text: int):
                         sums = [x[u] for x in (total, once, twice, more)]
                     else:
                         sums = [np.zeros(len(c_)) for _ in range(4)]
-                        for kind, rows, of in (
-                                (f"contexts{level}", np.flatnonzero(~far), lambda x: gram_shards(x, x, np.zeros(len(x), bool), shards)),
-                                (f"spread{level}", np.flatnonzero(far), lambda x: word_shards(x, word_shards_))):
-                            found = _looked_up(c_[rows], of(c_[rows]), opened(kind, _CONTEXT_KINDS), 4)
+                        for kind, kept, rows, of in (
+                                (f"contexts{level}", _CONTEXT_KINDS, np.flatnonzero(~far),
+                                 lambda x: gram_shards(x, x, np.zeros(len(x), bool), shards)),
+                                (f"spread{level}", _SPREAD_KINDS, np.flatnonzero(far), lambda x: word_shards(x, word_shards_))):
+                            found = _looked_up(c_[rows], of(c_[rows]), opened(kind, kept), 4)
                             for s, f in zip(sums, found):
                                 s[rows] = f
                     hashes, dk = pair_hashes(c_, word), d[level]
