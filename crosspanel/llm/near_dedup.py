@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.llm.graph import connected_components, staged
 from crosspanel.llm.sieve import sieve, sieved
-from crosspanel.llm.text import mixed, row_slices, text_bytes, word_hashes
+from crosspanel.llm.text import free_name, mixed, row_slices, text_bytes, word_hashes
 
 WIDTH, SIMILARITY, CHUNKS, SYMBOLS = 5, 80, 12, 5
 
@@ -188,7 +188,7 @@ def _compare_blocks(similarity: int):
 
 
 def _beyond_hubs(sets: DataFrame, members: DataFrame, parts: DataFrame, similarity: int,
-                 block: int = 1 << 16) -> DataFrame:
+                 block: int = 1 << 16, deal: int = 512) -> DataFrame:
     """Links between members of a hub's buckets that lie in different components.
 
     Those apart from the hub meet all the others in blocks of bounded size;
@@ -197,17 +197,25 @@ def _beyond_hubs(sets: DataFrame, members: DataFrame, parts: DataFrame, similari
     """
     of = parts.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "part")
     wide = members.where("size > 2 and doc_id <> hub").select("hub", "doc_id", "n").distinct() \
-        .join(of, "doc_id", "left").join(
-            of.select(F.col("doc_id").alias("hub"), F.col("part").alias("hub_part")), "hub", "left") \
-        .withColumn("part", F.coalesce("part", "doc_id"))
-    wide, *_ = staged(wide.select(
-        "hub", "doc_id", "n", "part", (F.col("part") != F.coalesce("hub_part", "hub")).alias("apart")), "wide")
-    sums = wide.groupBy("hub").agg(
-        F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0)).alias("few"), F.sum("n").alias("all"),
-        F.countDistinct("part").alias("parts"))
-    sums = sums.where("few > 0 and parts > 1").select(
-        "hub", F.ceil(F.col("few") / block).cast("int").alias("rows"), F.ceil(F.col("all") / block / 4).cast("int").alias("cols"))
-    met = wide.join(sums, "hub")
+        .join(of, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    wide, *_ = staged(wide, "wide")
+    # A hub may have a great many members: sums by hub and part first, few rows by hub alone.
+    by_part = wide.groupBy("hub", "part").agg(F.sum("n").alias("own"), F.count(F.lit(1)).alias("rows"))
+    hubs = by_part.groupBy("hub").agg(
+        F.sum("own").alias("all"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("members"))
+    hubs = hubs.join(of.select(F.col("doc_id").alias("hub"), F.col("part").alias("hub_part")), "hub", "left") \
+        .withColumn("hub_part", F.coalesce("hub_part", "hub"))
+    near = by_part.select("hub", F.col("part").alias("hub_part"), "own")
+    sums = hubs.join(near, ["hub", "hub_part"], "left").withColumn("few", F.col("all") - F.coalesce("own", F.lit(0)))
+    sums, *_ = staged(sums.where("few > 0 and parts > 1").select(
+        "hub", "hub_part", "members", F.ceil(F.col("few") / block).cast("int").alias("rows"),
+        F.ceil(F.col("all") / block / 4).cast("int").alias("cols")), "hubs")
+    # Members meet their hub's sums in as many deals as its size asks for; its row is copied to each.
+    most = sums.agg(F.max("members")).first()[0] or 1
+    deals = int(min(-(-most // deal), int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    met = wide.withColumn("deal", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(deals).cast("long"))).join(
+        sums.withColumn("deal", F.explode(F.lit([*range(deals)]).cast("array<long>"))), ["hub", "deal"]) \
+        .withColumn("apart", F.col("part") != F.col("hub_part"))
     row, col = (F.pmod(F.xxhash64("doc_id"), c).cast("int") for c in ("rows", "cols"))
     left = met.where("apart").select("hub", "doc_id", "part", row.alias("row"), F.explode(
         F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(True).alias("left"))
@@ -259,20 +267,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, columns unchanged."""
+    """``docs`` with one document of each near-duplicate group, columns unchanged, whatever their names."""
     found = near_duplicates(docs, width, similarity)
     ids, *_ = staged(found.select("doc_id", "kept"), "decisions")
-    gone, *_ = staged(ids.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    name = free_name(docs, "chosen")
+    here = F.col("doc_id").cast("long")
+    gone, *_ = staged(ids.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     # Most rows are surely kept and stay where they are; the others meet the exact list.
     bits = sieve(gone)
-    doubtful = sieved(docs, "doc_id", bits, named=True)
     kept = sieved(docs, "doc_id", bits, named=False).unionByName(
-        doubtful.join(gone, doubtful["doc_id"].cast("long") == F.col("__gone"), "left_anti"))
+        sieved(docs, "doc_id", bits, named=True).join(gone, here == F.col(name), "left_anti"))
     again, n, _ = staged(ids.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1"), "again")
     if not n:
         return kept
     # Rows that repeat a doc_id: one of them stays.
-    again = again.select(F.col("doc_id").alias("__again"))
-    here = kept["doc_id"].cast("long") == F.col("__again")
-    return kept.join(again, here, "left_anti").unionByName(
-        kept.join(again, here, "left_semi").dropDuplicates(["doc_id"]))
+    again = again.select(F.col("doc_id").alias(name))
+    return kept.join(again, here == F.col(name), "left_anti").unionByName(
+        kept.join(again, here == F.col(name), "left_semi").dropDuplicates(["doc_id"]))
