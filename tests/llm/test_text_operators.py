@@ -435,6 +435,62 @@ def test_repeated_and_missing_ids(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (3, 1, False), (0, None, True), (2, 2, True), (2, 2, True)], key=str)
 
 
+def test_clashing_columns(spark, docs):
+    """Columns named as the stages name their own come back as they were."""
+    names = ["kept_ssn", "Kept_SSN_", "_kept_ssn", "occurrences", "__occurrences", "quality_score", "QUALITY_score_",
+             "__quality", "chosen", "Chosen_", "__gone", "__again", "component", "node", "n", "hub"]
+    rows = docs.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in names))
+    twice = rows.unionByName(rows)
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    bench = spark.createDataFrame([(0, "one two")], "item_id long, text string")
+    for out in (pii.mask(rows), near_dedup.keep_one(rows), near_dedup.keep_one(twice), quality.keep_good(rows, labels, 0.0),
+                decontamination.drop_contaminated(rows, bench)):
+        assert out.columns == rows.columns
+        got = out.select("doc_id", *(F.col(f"`{c}`") for c in names)).collect()
+        assert len(got) and all(tuple(r)[1:] == tuple(f"{c} {r.doc_id}" for c in names) for r in got)
+
+
+def test_parts_of_words(spark):
+    """Words encoded by parts, kept, dropped and met again have the tokenizer's ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rows = [*plain.awkward_texts(), "it's IT'S 'S a's", "x<|endoftext|>y <|ENDOFTEXT|> A", "ÀÉ×÷ß Áa\u0301b 12a3 --a..b <|",
+            "K\u212a İ ſ ǅ \u00b5", "é" + "z" * 300, "z" * 300, "", None]
+    encoder = packing.Encoder(tokenizer, 0)
+    encoder.words.most = encoder.parts.most = 40
+    for some in (rows, rows[::-1], *([r] for r in rows)):
+        ids, n = encoder.of(*text.text_bytes(pa.array(some, pa.string())))
+        want = [[*tokenizer.encode(r or "", add_special_tokens=False).ids, 0] for r in some]
+        assert n.tolist() == [*map(len, want)] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_counts_beyond_32_bits():
+    """Counts cross the exchange and stay in the files whole."""
+    huge = np.array([1, 1 << 33, 3], np.int64)
+    before, word = np.array([5, 5, 6], np.uint64), np.array([7, 8, 7], np.uint64)
+    hashes = kneser_ney.pair_hashes(before, word)
+    rows = kneser_ney._blocks([before], [np.zeros(3, bool)], hashes, word, (huge,), 1)
+    (b,), w, _, (count,) = kneser_ney._grams(kneser_ney._rows(rows), 1)
+    assert {(x, y): c for x, y, c in zip(b.tolist(), w.tolist(), count.tolist())} == {(5, 7): 1, (5, 8): 1 << 33, (6, 7): 3}
+
+
+def test_huge_counts_reach_the_scores(spark, monkeypatch):
+    """Grams that stand 2 ** 33 times as often count so in the sums and in c of the base score."""
+    grams = kneser_ney._grams
+
+    def more(table, n):
+        before, word, bits, counts = grams(table, n)
+        return before, word, bits, [x << 33 for x in counts] if n == 2 else counts
+    monkeypatch.setattr(kneser_ney, "_grams", more)
+    model = kneser_ney.train(plain.documents(spark, ["a b a b", "a c"]), order=3)
+    assert model["tokens"] == 8 << 33
+    got, = kneser_ney.log_probabilities(plain.documents(spark, ["a"]), model).collect()
+    n, v = 8 << 33, 4
+    want = sum(math.log10((c * 2.0 ** 33 + 0.1) / (n + 0.1 * (v + 1))) for c in (3, 2))
+    assert math.isclose(got.base_score, want, rel_tol=1e-12) and math.isfinite(got.score)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.keep_one(none).columns == docs.columns
