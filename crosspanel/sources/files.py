@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.functions.numeric import finite
-from crosspanel.session import stage_root
+from crosspanel.sources.entity_csv import read_entity_csv
 
 NOT_SERIES = ["provenance", "cross_sectional_summary", "manifest"]
 
@@ -53,10 +53,10 @@ def scan_entity_csv(spark: SparkSession, path: str, fields: list[str],
     A ``ticker=`` folder, as the per-entity sink writes, names the entity too.
     Columns are matched by each file's own header, whatever its width or order;
     files whose header lacks a wanted field are left out (``files_lacking``
-    names them). The headers are read first, as lines; their different wordings
-    are few. With one wording a single scan reads the wanted columns only. With
-    several, one scan splits lines as wide as the widest and picks by header.
-    Where all files are known to share one, pass it as ``layout``.
+    names them). The headers are read first, as lines. With one wording a single
+    scan reads the wanted columns only. With several, tasks open the files and
+    pick by each one's own header, however many wordings there are. Where all
+    files are known to share one, pass it as ``layout``.
 
     Fields come back as text together with ``block`` and ``position`` (byte
     offset of the split, order inside it), ``file`` and ``modified``.
@@ -66,24 +66,16 @@ def scan_entity_csv(spark: SparkSession, path: str, fields: list[str],
         return raw.select(*_origin(), *[F.col(f"`{f}`") for f in fields])
     wanted = [f.lower() for f in fields]
     heads = file_headers(spark, path).select("file", "line")
-    wordings = {r.line: _cells(r.line) for r in heads.select("line").distinct().toLocalIterator() if r.line}
-    usable = {k: v for k, v in wordings.items() if set(wanted) <= set(v)}
-    if len(wordings) == 1 and usable:
-        cells, = usable.values()
+    wordings = [_cells(r.line) for r in heads.select("line").where("line is not null").distinct().limit(2).collect()]
+    if len(wordings) == 1 and set(wanted) <= set(wordings[0]):
+        cells, = wordings
         names = [f"_c{i}" for i in range(len(cells))]
         raw = _files(spark).schema(", ".join(f"{n} string" for n in names)).option("header", True).option(
             "enforceSchema", True).csv(path)
         picked = [F.col(names[cells.index(w)]).alias(f) for f, w in zip(fields, wanted)]
         return raw.select(*_origin(), *picked).drop("file")
-    width = max(map(len, wordings.values()), default=1)
-    raw = _files(spark).schema(", ".join(f"_c{i} string" for i in range(width))).option("header", True).csv(path)
-    places = spark.createDataFrame(
-        [(k, [v.index(w) for w in wanted]) for k, v in usable.items()], "line string, places array<int>")
-    chosen = heads.join(F.broadcast(places), "line").select("file", "places")
-    lines = raw.select(*_origin(), F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"))
-    return lines.join(chosen, "file").select(
-        "ticker", "block", "position", "modified",
-        *[F.get("cells", F.get("places", F.lit(i))).alias(f) for i, f in enumerate(fields)])
+    return read_entity_csv(spark, path, fields).where(~F.element_at(F.split("file", "/"), -1).startswith("_")).select(
+        "ticker", "block", "position", "modified", *(f"`{f}`" for f in fields))
 
 
 def read_prices(spark: SparkSession, path: str, fields: tuple[str, ...] = (
@@ -113,29 +105,13 @@ def parse_batch(stem):
     return F.regexp_extract(stem, r"^_?anchor_batch(\d+)$", 1).try_cast("int")
 
 
-def show_hidden(spark: SparkSession, pattern: str) -> str:
-    """Copy files with a leading underscore to visible names in the shared folder.
+def read_anchors(spark: SparkSession, path: str) -> DataFrame:
+    """Anchor series per batch: (batch, date, search_interest, modified).
 
-    Spark skips such names when it lists a folder. Only anchor series use them,
-    one small file per request batch; the modification time is kept.
+    One small file per request batch, whose name may begin with an underscore;
+    ``path`` is their folder or a pattern of their names.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    source = hadoop.Path(pattern)
-    fs = source.getFileSystem(conf)
-    target = hadoop.Path(f"{stage_root(spark)}/crosspanel/visible-{spark._jvm.java.util.UUID.randomUUID()}")
-    out = target.getFileSystem(conf)
-    out.mkdirs(target)
-    for status in fs.globStatus(source) or []:
-        copy = hadoop.Path(target, status.getPath().getName().lstrip("_"))
-        hadoop.FileUtil.copy(fs, status.getPath(), out, copy, False, conf)
-        out.setTimes(copy, status.getModificationTime(), -1)
-    return target.toString()
-
-
-def read_anchors(spark: SparkSession, path: str) -> DataFrame:
-    """Anchor series per batch: (batch, date, search_interest, modified)."""
-    rows = scan_entity_csv(spark, path, ["date", "search_interest"])
+    rows = read_entity_csv(spark, path, ["date", "search_interest"])
     return rows.select(
         parse_batch("ticker").alias("batch"), F.col("date").try_cast("date").alias("date"),
         finite(F.col("search_interest").try_cast("double")).alias("search_interest"),

@@ -10,7 +10,7 @@ from crosspanel.operators import alignment as A
 from crosspanel.operators import policies as P
 from crosspanel.operators import quality as Q
 from crosspanel.operators import rescale as R
-from crosspanel.sources import files, news, universe
+from crosspanel.sources import entity_csv, files, news, universe
 
 
 def metrics(report):
@@ -219,11 +219,36 @@ def test_hidden_anchor_files(spark, tmp_path):
     write(tmp_path, "_anchor_batch1.csv", "date,search_interest\n2024-01-07,50\n")
     write(tmp_path, "_anchor_batch12.csv", "date,search_interest\n2024-01-07,60\n")
     write(tmp_path, "_anchor_batchX.csv", "date,search_interest\n2024-01-07,70\n")
-    path = files.show_hidden(spark, f"{tmp_path}/_anchor_batch*.csv")
-    got = {r.batch: r.search_interest for r in files.read_anchors(spark, path).collect()}
+    got = {r.batch: r.search_interest for r in files.read_anchors(spark, f"{tmp_path}/_anchor_batch*.csv").collect()}
     assert got == {1: 50.0, 12: 60.0}
 
 
+def test_files_by_their_own_headers(spark, tmp_path, monkeypatch):
+    """Every file by its own header, in tasks of bounded bytes; awkward files and cells have defined results."""
+    for k in range(30):
+        extra = ",".join(f"c{k}_{j}" for j in range(k))
+        write(tmp_path, f"E{k}.csv", f"{extra}{',' if extra else ''}Value,Date\n{'0,' * k}{k},2024-01-01\n")
+    write(tmp_path, "_U.csv", "date,value\n2024-01-02,u\n")
+    write(tmp_path, "EMPTY.csv", "")
+    write(tmp_path, "HEAD.csv", "date,value\n")
+    write(tmp_path, "LACK.csv", "date\n2024-01-02\n")
+    write(tmp_path, "AWK.csv", '\ufeff"Date", VALUE \n2024-01-03,"a,""b"""\n\n2024-01-04\n2024-01-05,\n')
+    (tmp_path / "ticker=B%2FC").mkdir()
+    (tmp_path / "ticker=B%2FC" / "part-0.csv").write_text("value,date\n9,2024-01-06\n")
+    (tmp_path / "_temporary").mkdir()
+    (tmp_path / "_temporary" / "X.csv").write_text("value,date\n9,2024-01-06\n")
+    monkeypatch.setattr(entity_csv, "PARTITION_BYTES", 5 << 20)
+    rows = entity_csv.read_entity_csv(spark, str(tmp_path), ["date", "value"])
+    assert rows.rdd.getNumPartitions() > 5
+    got = sorted((r.ticker, r.date, r.value) for r in rows.collect() if not r.ticker.startswith("E"))
+    assert got == sorted([("_U", "2024-01-02", "u"), ("AWK", "2024-01-03", 'a,"b"'), ("AWK", "2024-01-04", None),
+                          ("AWK", "2024-01-05", None), ("B/C", "2024-01-06", "9")], key=str)
+    assert {r.ticker: r.value for r in rows.where("ticker like 'E%'").collect()} == {f"E{k}": str(k) for k in range(30)}
+    assert rows.where("modified is null").count() == 0
+    assert files.scan_entity_csv(spark, str(tmp_path), ["date", "value"]).where("ticker = '_U'").count() == 0
+    assert entity_csv.read_entity_csv(spark, f"{tmp_path}/none", ["date"]).count() == 0
+
+
 def interest(spark, values, ticker="A"):
     rows = [(ticker, f"2024-01-{7 + i:02d}", float(v)) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "ticker string, date string, search_interest double").withColumn(
