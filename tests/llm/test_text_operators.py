@@ -1,7 +1,9 @@
 """Each operator against its plain version on texts with the awkward cases."""
 
 import math
+import os
 import sys
+import tempfile
 import zlib
 from pathlib import Path
 
@@ -327,6 +329,45 @@ def test_frequent_words_spread(spark, texts, monkeypatch):
     np.testing.assert_allclose([r.score for r in one], [r.score for r in two], rtol=1e-12)
 
 
+def test_hash_tables():
+    """Hashes that agree in all bits but the last are told apart, counts of any size come back."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 3000, 300_000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        keys = np.unique(np.concatenate([keys, keys[:50] ^ np.uint64(1), keys[:50] ^ np.uint64(1 << 17)]))
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        kneser_ney._keep(f"{folder}/x", keys, np.arange(len(keys)))
+        table = kneser_ney._kept(f"{folder}/x")
+        some = np.concatenate([keys[::-1], keys ^ np.uint64(2)])
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        want = [place.get(k, -1) for k in some.tolist()]
+        assert kneser_ney._places(table, some).tolist() == want and table[-1][0].tolist() == [*range(len(keys))]
+    sums = [np.array(x) for x in zip(*[(1, 1, 0, 0), (99, 2, 1, 3), (15, 3, 1, 1), (40, 0, 0, 1), (1 << 40, 5, 5, 9)])]
+    small = kneser_ney._small(sums)
+    assert [tuple(kneser_ney._SMALL[x]) if x < 255 else None for x in small.tolist()] == [(1, 1, 0, 0), None, (15, 3, 1, 1), None, None]
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_many_frequent_words_in_parts(spark, texts, order):
+    """Grams dealt over many shards, whose sums meet again, give the plain scores."""
+    some = [t for t in texts if t is None or len(t) < 2000]
+    rows = plain.documents(spark, some).repartition(3)
+    model = kneser_ney.train(rows, shard_pairs=1500, order=order)
+    assert len(np.unique(model["frequent"].value)) > 10
+    names = {f.split("-")[0] for f in os.listdir(model["folder"])}
+    assert {f"pairs{order}", f"far{order}", f"farcontexts{order}", f"spread{order}", "far2", "grams2"} <= names
+    got = sorted(kneser_ney.log_probabilities(plain.documents(spark, some), model).collect())
+    np.testing.assert_allclose([r.score for r in got], plain_scores(some, some, order)[0], rtol=1e-9)
+
+
+def test_language_model_takes_little_disk(spark):
+    """Tables of an order-3 model on short text, where nearly every gram is new, stay under four bytes a byte of text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    folder = kneser_ney.train(docs, order=3)["folder"]
+    assert sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder)) < 4 * size
+
+
 def test_quality(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
