@@ -117,6 +117,8 @@ def chunk_coverage(facts: DataFrame, start: str, end: str, months: int,
     """Rows per entity and chunk, zero where a chunk is still to be filled.
 
     The plan is a constant array, so a day finds its chunk inside its own row.
+    An entity's counts, at most one a chunk, meet the plan in its one row, so
+    the facts are read once.
     """
     plan = chunk_plan(start, end, months)
     day = F.col(date)
@@ -124,6 +126,10 @@ def chunk_coverage(facts: DataFrame, start: str, end: str, months: int,
     counted = (facts.groupBy("ticker", date).agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("chunk_no", F.try_element_at(mine, F.lit(1))["chunk_no"])
                .groupBy("ticker", "chunk_no").agg(F.sum("_n").alias("n_rows")))
-    grid = facts.select("ticker").distinct().select("ticker", F.inline(plan))
-    return (grid.join(counted, ["ticker", "chunk_no"], "left")
-            .withColumn("n_rows", F.coalesce("n_rows", F.lit(0))))
+    # A null entity equals none, so it has rows in no chunk.
+    filled = F.col("chunk_no").isNotNull() & F.col("ticker").isNotNull()
+    found = counted.groupBy("ticker").agg(F.map_from_entries(
+        F.collect_list(F.when(filled, F.struct("chunk_no", "n_rows")))).alias("_found"))
+    return found.select("ticker", "_found", F.inline(plan)).select(
+        "ticker", "chunk_no", "chunk_start", "chunk_end",
+        F.coalesce(F.try_element_at("_found", F.col("chunk_no")), F.lit(0)).alias("n_rows"))

@@ -59,19 +59,22 @@ def _entity_of_supplier(spark: SparkSession, sf: str, entity: str) -> DataFrame:
 def prices_daily(spark: SparkSession, sf: str, entity: str = "nation") -> DataFrame:
     """(ticker, date, close, adj_close, volume).
 
-    Line items are summed per supplier and day before the dimension join, so
-    only day totals meet it. Money is summed in whole cents (and hundredths of
-    them), which is exact in any order.
+    Suppliers are summed per day before the dimension join, so only day totals
+    meet it. A nation's line items meet it first: suppliers times days are about
+    as many as line items, nations times days are few and summed before the
+    exchange. Money is summed in whole cents (and hundredths of them), which is
+    exact in any order.
     """
     price = F.col("l_extendedprice")
-    daily = table(spark, sf, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(F.round(price * 100).cast("long")).alias("gross"),
-        F.sum(F.round(price * (1 - F.col("l_discount")) * 10000).cast("long")).alias("net"),
-        F.sum("l_quantity").alias("volume"))
-    daily = daily.join(_entity_of_supplier(spark, sf, entity), F.col("l_suppkey") == F.col("s_suppkey"))
-    if entity != "supplier":
-        daily = daily.groupBy("ticker", "date").agg(
-            *[F.sum(c).alias(c) for c in ("gross", "net", "volume")])
+    sums = (F.sum(F.round(price * 100).cast("long")).alias("gross"),
+            F.sum(F.round(price * (1 - F.col("l_discount")) * 10000).cast("long")).alias("net"),
+            F.sum("l_quantity").alias("volume"))
+    lines, entities = table(spark, sf, "lineitem"), _entity_of_supplier(spark, sf, entity)
+    date, same = F.to_date("l_shipdate").alias("date"), F.col("l_suppkey") == F.col("s_suppkey")
+    if entity == "supplier":
+        daily = lines.groupBy("l_suppkey", date).agg(*sums).join(entities, same)
+    else:
+        daily = lines.join(entities, same).groupBy("ticker", date).agg(*sums)
     size = F.nullif("volume", F.lit(0.0))
     return daily.select("ticker", "date", (F.col("gross") / 100.0 / size).alias("close"),
                         (F.col("net") / 10000.0 / size).alias("adj_close"), "volume")
