@@ -337,7 +337,9 @@ def _count(frequent: np.ndarray, common: np.ndarray, shards: int, order: int):
             word.append(w)
             starts.append(s + at)
             at += len(w)
-        known, code = np.unique(np.append(np.concatenate(word), BEGIN), return_inverse=True)
+        buffer.clear()
+        known, code = np.unique(np.concatenate([*word, np.array([BEGIN])]), return_inverse=True)
+        word.clear()
         number = _numbered(known, common)
         by = np.argsort(number, kind="stable")
         place = np.empty_like(by)
@@ -583,7 +585,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest words of a sample of texts, with counts."""
+    """The commonest of the words that a sample of texts has more than once, with counts."""
     part = min(1.0, SAMPLE / max(size, 1))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
 
@@ -594,7 +596,7 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "n"])
 
     counts = some.mapInArrow(tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    found = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
     return found["word"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)
 
 
