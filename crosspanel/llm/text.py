@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
+#: The arrays over a slice take about twenty times its size, in every Python worker of an executor.
+SLICE_BYTES = 1 << 19
 _HASH_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -506,6 +506,35 @@ def test_parts_of_words(spark):
         assert n.tolist() == [*map(len, want)] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_workers_memory_stays_as_batches_grow(monkeypatch):
+    """A worker's arrays are bounded by a slice of texts, not by the Arrow batch, and slices leave the results alone."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    words = np.array([f"{a}{b}" for a in ("in", "re", "over", "un") for b in ("do", "turn", "view", "load", "come")])
+    some = [" ".join(words[np.random.default_rng(k).integers(0, len(words), 300)]) for k in range(400)]
+
+    def peak(run, times):
+        batch = pa.record_batch([pa.array(range(400 * times)), pa.array(some * times)], ["doc_id", "text"])
+        tracemalloc.start()
+        try:
+            made = [out.column("ids_crc32" if "ids_crc32" in out.schema.names else 1).to_pylist() for out in run(iter([batch]))]
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        return most, [x for out in made for x in out], len(some[0]) * len(some) * times
+
+    for run in (packing._cut(tokenizer, 2048, 0), near_dedup._describe(5, 60)):
+        small, once, size = peak(run, 1)
+        large, often, _ = peak(run, 8)
+        assert size > 1 << 19 and often == once * 8
+        assert large < 1.6 * small
+
+
 def test_counts_beyond_32_bits():
     """Counts cross the exchange and stay in the files whole."""
     huge = np.array([1, 1 << 33, 3], np.int64)
